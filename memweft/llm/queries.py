@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import canonical, neardup, quantiles, spans
+from . import canonical, language, markup, neardup, quantiles, spans
 
 
 # --- p1: near-duplicates -------------------------------------------------------------------------
@@ -18,6 +18,24 @@ def p1_groups(spark, sf) -> DataFrame:
     return neardup.groups(table(spark, sf, "chunks"))
 
 
+# --- p2: markup residue --------------------------------------------------------------------------
+def p2_found(spark, sf) -> DataFrame:
+    return markup.found(table(spark, sf, "chunks"))
+
+
+def p2_clean(spark, sf) -> DataFrame:
+    return markup.convert(table(spark, sf, "chunks"))
+
+
+# --- p4: languages -------------------------------------------------------------------------------
+def p4_found(spark, sf) -> DataFrame:
+    return language.found(table(spark, sf, "chunks"))
+
+
+def p4_segments(spark, sf) -> DataFrame:
+    return language.segment_languages(table(spark, sf, "chunks").dropDuplicates(["cid"]))
+
+
 # --- p5: duplicates hidden by formatting ---------------------------------------------------------
 def _ledger(spark, sf):
     """The chunks in two deliveries, by tenant, added to a ledger one after the other."""
@@ -77,7 +95,7 @@ def p10_shared(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p10_found, p10_shared)
+    for f in (p1_found, p1_groups, p2_found, p2_clean, p4_found, p4_segments, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p10_found, p10_shared)
 }
 
 _KEYED = r"""
