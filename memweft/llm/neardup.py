@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +23,7 @@ from ..session import materialize
 from . import vectext as V
 from .canonical import canonical_key
 from .components import components
+from .spans import LEAST_CELLS, MOST_CELLS, ROWS, merged_counts
 
 #: Words in a k-mer and the least similarity, as the data's statement of the problem has them.
 K, THRESHOLD = 3, 0.6
@@ -93,24 +95,27 @@ def order_sketches(texts: list[str], heavy, k: int = K, sketches: int = SKETCHES
     seg, _ = _segments(ids)
     which, size = ids[seg], np.diff(np.r_[seg, len(ids)])
     sums = [np.add.reduceat(V.mix(hs[new] + V.U(s)), seg) for s in (11, 12)]
-    # exponential race: the smaller the value, the earlier the k-mer
-    cost = np.ones(len(h))
+    # exponential race, in the form u ** cost: the larger the value, the earlier the k-mer
+    common = np.empty(0, np.int64)
     if len(hot):
         at = np.searchsorted(hot, h).clip(max=len(hot) - 1)
-        cost = np.where(hot[at] == h, weight[at], 1.0)
+        common = np.flatnonzero(hot[at] == h)
+        power = weight[at[common]]
     first, at_run = _segments(doc)
     out = np.empty((len(first), sketches), V.U)
-    n = len(h)
     for j in range(sketches):
-        u = ((V.mix(label ^ V.U(0xA0761D6478BD642F * (j + 1) & 0xFFFFFFFFFFFFFFFF)) >> V.U(11)).astype(float) + 1.0) * 2.0**-53
-        e = -np.log(u) * cost
+        x = V.mix(label ^ V.U(0xA0761D6478BD642F * (j + 1) & 0xFFFFFFFFFFFFFFFF))
+        e = (x >> V.U(11)).view(np.int64) * 2.0**-53
+        if len(common):
+            e[common] **= power
         picks = []
         for _ in range(ell):
-            low = np.minimum.reduceat(e, first)
-            at = np.where(e == low[at_run], np.arange(n), n)
-            pick = np.minimum.reduceat(at, first)
+            top = np.maximum.reduceat(e, first)
+            hit = np.flatnonzero(e == top[at_run])
+            run = at_run[hit]
+            pick = hit[np.r_[True, run[1:] != run[:-1]]]  # of ties the first
             picks.append(pick)
-            e[pick] = np.inf
+            e[pick] = -1.0
         picks = np.sort(np.stack(picks), axis=0)
         acc = np.full(len(first), V.U(j + 1))
         for p in picks:
@@ -140,6 +145,38 @@ def sketch_table(chunks: DataFrame, k: int = K, sketches: int = SKETCHES, ell: i
     return materialize(rows.select("cid", "key", F.xxhash64("key", "s1", "s2").alias("cls"), "n_set", "sketch"))
 
 
+def _flat(batch, column: str) -> np.ndarray:
+    """The values of an array column, one after the other."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False)
+
+
+def _offsets(batch, column: str) -> np.ndarray:
+    """Where each row's values start in ``_flat``, and their end."""
+    off = batch.column(column).offsets.to_numpy()
+    return off - off[0]
+
+
+def _maybe_shared(docs: DataFrame) -> DataFrame:
+    """(cls, bucket) of the sketches that more than one chunk may have.
+
+    Most sketches occur once. A count-min sketch of fixed size that counts them, merged from the
+    tasks' own, drops those before anything is shuffled; it never counts too low.
+    """
+    rows = docs.agg(F.count(F.lit(1))).first()[0]
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * rows * SKETCHES).bit_length()))
+
+    seen = docs.sparkSession.sparkContext.broadcast(merged_counts(docs.select("sketch"), lambda b: _flat(b, "sketch").view(V.U), cells, ROWS))
+
+    def keep(batches):
+        for b in batches:
+            h = _flat(b, "sketch").view(V.U)
+            hit = seen.value.repeated(h)
+            cls = np.repeat(b.column("cls").to_numpy(zero_copy_only=False), np.diff(_offsets(b, "sketch")))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(h[hit].view(np.int64))], ["cls", "bucket"])
+
+    return docs.select("cls", "sketch").mapInArrow(keep, "cls long, bucket long")
+
+
 def _pairs_in(ids: str) -> F.Column:
     return F.expr(f"flatten(transform({ids}, (x, i) -> transform(slice({ids}, i + 2, size({ids})), y -> struct(least(x, y) as a, greatest(x, y) as b))))")
 
@@ -151,7 +188,7 @@ def candidates(docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float
     are joined on the k-mers of their prefix, ordered by how rare they are within the bucket, which
     every pair at or above the threshold must share.
     """
-    reps = docs.dropDuplicates(["cls"]).select("cls", F.explode("sketch").alias("bucket"))
+    reps = _maybe_shared(docs).distinct()
     # counted before they are gathered: map-side combine takes a hot bucket apart
     sizes = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(reps.join(sizes, "bucket"))
@@ -195,52 +232,67 @@ def prefix_pairs(members: DataFrame, kmers: DataFrame, threshold: float) -> Data
     return a.join(b, ["bucket", "h"]).where("a < b").select("a", "b").distinct()
 
 
-def edit_similarity(a: list[np.ndarray], b: list[np.ndarray], band: int = 24) -> np.ndarray:
+def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sequences without their common start and end, which an optimal alignment may match."""
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    s = n if same.all() else int(same.argmin())
+    x, y, n = x[s:], y[s:], n - s
+    same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
+    e = n if same.all() else int(same.argmin())
+    return x[: len(x) - e], y[: len(y) - e]
+
+
+def edit_similarity(a: list[np.ndarray], b: list[np.ndarray], band: int = 16) -> np.ndarray:
     """1 - distance / longer length of each pair of word sequences, by alignment within a diagonal band.
 
-    The band has ``band`` diagonals to both sides beyond the difference of the lengths. Where the best
-    alignment leaves it (a block was moved far), the similarity is a lower bound.
+    Besides the diagonals between the two corners, the band has ``band`` more to both sides. Where the
+    best alignment leaves it (a block was moved far), the similarity is a lower bound.
     """
-    out = np.zeros(len(a))
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    order = np.argsort(np.maximum(la, lb), kind="stable")
-    for s in range(0, len(order), 256):
-        part = order[s : s + 256]
-        na, nb = la[part], lb[part]
-        w = int(np.abs(na - nb).max()) + band
-        rows, width = int(na.max()), 2 * w + 1
-        pa = np.full((len(part), rows), -1, np.int64)
-        pb = np.full((len(part), rows + width + int(nb.max())), -2, np.int64)
+    longest = np.maximum(1, np.array([max(len(x), len(y)) for x, y in zip(a, b)]))
+    cut = [_trimmed(*((x, y) if len(x) <= len(y) else (y, x))) for x, y in zip(a, b)]
+    na = np.array([len(x) for x, _ in cut])
+    extra = np.array([len(y) for _, y in cut]) - na  # >= 0: the second is the longer
+    dist = np.where(na == 0, extra, 0).astype(np.int64)
+    todo = np.flatnonzero(na > 0)
+    todo = todo[np.lexsort((extra[todo], (na[todo] + 15) // 16))]
+    far = np.int32(1 << 28)
+    for s in range(0, len(todo), 128):
+        part = todo[s : s + 128]
+        rows, width = int(na[part].max()), int(extra[part].max()) + 2 * band + 1
+        pa = np.full((rows, len(part)), -1, np.int32)
+        pb = np.full((rows + width + band, len(part)), -2, np.int32)
         for i, p in enumerate(part):
-            pa[i, : na[i]] = a[p]
-            pb[i, w : w + nb[i]] = b[p]
-        diag = np.arange(width)
-        col0 = diag - w  # column of diagonal d in row 0
-        far = np.int32(1 << 28)
-        d = np.where(col0 >= 0, col0, far).astype(np.int32)[None, :].repeat(len(part), 0)
-        d[col0[None, :] > nb[:, None]] = far
-        final = np.where(na == 0, nb, 0).astype(np.int64)
+            x, y = cut[p]
+            pa[: len(x), i] = x
+            pb[band : band + len(y), i] = y
+        nb = (na + extra)[part]
+        diag = np.arange(width, dtype=np.int32)[:, None]
+        col = diag - band
+        d = np.where((col >= 0) & (col <= nb), col, far).astype(np.int32)
         for i in range(rows):
-            col = col0 + i + 1
-            cost = (pb[:, i : i + width] != pa[:, i : i + 1]).astype(np.int32)
-            new = d + cost
-            new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
-            new[:, col < 0] = far
-            if 0 <= -col[0] < width:
-                new[:, -col[0]] = np.minimum(new[:, -col[0]], i + 1)
-            new[col[None, :] > nb[:, None]] = far
-            new = np.minimum.accumulate(new - diag, axis=1) + diag
-            new[:, col < 0] = far
-            d = new.astype(np.int32)
-            done = na == i + 1
-            if done.any():
-                final[done] = d[done, (nb - na)[done] + w]
-        out[part] = 1 - final / np.maximum(1, np.maximum(na, nb))
-    return out
-
-
-def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K) -> DataFrame:
-    """(a, b, jaccard, edit_similarity) of candidate pairs of classes, over their whole texts."""
+            col = diag - band + (i + 1)
+            new = d + (pb[i : i + width] != pa[i])
+            np.minimum(new[:-1], d[1:] + 1, out=new[:-1])
+            edge = band - i - 1  # where the column is 0
+            if edge >= 0:
+                new[:edge] = far
+                new[edge] = i + 1
+            new = np.minimum.accumulate(new - diag, axis=0) + diag
+            if edge > 0:
+                new[:edge] = far
+            d = new
+            done = np.flatnonzero(na[part] == i + 1)
+            if len(done):
+                dist[part[done]] = d[extra[part[done]] + band, done]
+    return 1 - dist / longest
+
+
+def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, align_from: float = THRESHOLD / 2) -> DataFrame:
+    """(a, b, jaccard, edit_similarity) of candidate pairs of classes, over their whole texts.
+
+    Pairs whose Jaccard similarity is below ``align_from`` aren't aligned: their edit similarity is null.
+    """
 
     def tokens(batches):
         for pdf in batches:
@@ -251,28 +303,31 @@ def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K) ->
                 yield pd.DataFrame({"cls": pdf["cls"].to_numpy()[i:j], "w": np.split((w >> V.U(32)).astype(np.uint32).view(np.int32), at[1:-1])})
 
     def compare(batches):
-        for pdf in batches:
-            for s in range(0, len(pdf), 2000):
-                part = pdf.iloc[s : s + 2000]
-                sets = []
-                for col in ("wa", "wb"):
-                    at = np.zeros(len(part) + 1, np.int64)
-                    np.cumsum(part[col].map(len).to_numpy(), out=at[1:])
-                    word = np.concatenate(part[col].tolist()).astype(np.int32).view(np.uint32).astype(V.U)
-                    h, doc = V.shingles(V.mix(word + V.U(1)), at, k)
-                    sets.append(_distinct(doc, h))
-                size = [np.bincount(d, minlength=len(part)) for d, _ in sets]
-                doc, h = (np.concatenate(x) for x in zip(*sets))
-                order = np.lexsort((h, doc))
-                same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-                both = np.bincount(doc[order][1:][same], minlength=len(part))
-                union = size[0] + size[1] - both
-                yield pd.DataFrame({"a": part["a"], "b": part["b"], "jaccard": both / np.maximum(1, union), "edit_similarity": edit_similarity(part["wa"].tolist(), part["wb"].tolist())})
+        for b in batches:
+            n = b.num_rows
+            words, ats, sets = [], [], []
+            for col in ("wa", "wb"):
+                at = _offsets(b, col).astype(np.int64)
+                w = _flat(b, col)
+                h, doc = V.shingles(V.mix(w.view(np.uint32).astype(V.U) + V.U(1)), at, k)
+                words.append(w), ats.append(at), sets.append(_distinct(doc, h))
+            size = [np.bincount(d, minlength=n) for d, _ in sets]
+            doc, h = (np.concatenate(x) for x in zip(*sets))
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+            both = np.bincount(doc[1:][same], minlength=n)
+            jaccard = both / np.maximum(1, size[0] + size[1] - both)
+            near = np.flatnonzero(jaccard >= align_from)
+            sides = [[w[at[i] : at[i + 1]] for i in near] for w, at in zip(words, ats)]
+            edit = np.full(n, np.nan)
+            edit[near] = edit_similarity(*sides)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(jaccard), pa.array(edit, from_pandas=True)], ["a", "b", "jaccard", "edit_similarity"])
 
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     words = materialize(_texts_of(ids, docs, chunks).mapInPandas(tokens, "cls long, w array<int>"))
     both = pairs.join(words.select(F.col("cls").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("cls").alias("b"), F.col("w").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").mapInPandas(compare, "a long, b long, jaccard double, edit_similarity double")
+    return both.select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long, jaccard double, edit_similarity double")
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,8 @@ def merge_counters(parts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return s, t
 
 
-def repeated_sketch(docs: DataFrame, length: int, width: int, cells: int, rows: int, blocks: int = 32) -> CountMin:
-    """The merged sketch of all windows of ``docs`` (text).
+def merged_counts(df: DataFrame, hashes, cells: int, rows: int = ROWS, blocks: int = 32) -> CountMin:
+    """The merged sketch of the hashes that ``hashes`` finds in each Arrow batch of ``df``.
 
     Each task sends the nonzero blocks of its sketch, blocks are merged by number on the executors,
     and only the one merged sketch, whose size is fixed, comes to the driver.
@@ -134,16 +135,10 @@ def repeated_sketch(docs: DataFrame, length: int, width: int, cells: int, rows:
 
     def count(batches):
         own = CountMin(cells, rows)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for i, j in V.blocks(texts):
-                h, doc, _ = windows(texts[i:j], length, width)
-                # a window repeated within one text is no repetition
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                own.add(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h)
+        for batch in batches:
+            own.add(hashes(batch))
         got = list(own.blocks(blocks))
-        yield pd.DataFrame({"block": [b for b, _ in got], "data": [d for _, d in got]})
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], ["block", "data"])
 
     size = rows * cells // 8 // blocks
 
@@ -151,10 +146,26 @@ def repeated_sketch(docs: DataFrame, length: int, width: int, cells: int, rows:
         s, t = merge_counters(pdf["data"], size)
         return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(s.tobytes() + t.tobytes(), 1)]})
 
-    parts = docs.select("text").mapInPandas(count, "block int, data binary")
+    parts = df.mapInArrow(count, "block int, data binary")
     return CountMin.merged([(r["block"], bytes(r["data"])) for r in parts.groupBy("block").applyInPandas(merge, "block int, data binary").collect()], cells, rows, blocks)
 
 
+def repeated_sketch(docs: DataFrame, length: int, width: int, cells: int, rows: int = ROWS) -> CountMin:
+    """The merged sketch of all kept windows of ``docs`` (text)."""
+
+    def hashes(batch):
+        texts, out = batch.column("text").to_pylist(), [np.empty(0, V.U)]
+        for i, j in V.blocks(texts):
+            h, doc, _ = windows(texts[i:j], length, width)
+            # a window repeated within one text is no repetition
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            out.append(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h)
+        return np.concatenate(out)
+
+    return merged_counts(docs.select("text"), hashes, cells, rows)
+
+
 def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, cells: int | None = None, rows: int = ROWS) -> DataFrame:
     """(h, same, doc_id, pos, around, lead) of windows that may be repeated, written to scratch.
 
