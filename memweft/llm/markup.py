@@ -158,7 +158,7 @@ def leaves(text: str) -> list[Leaf]:
                 push(Leaf("cell", at, m.end(), m["cell"] + ("closed" if line.endswith("|") else "")))
             continue
         m = _AT[c].match(text, p) if c in _AT else None
-        if m is None:
+        if m is None or c == "_" and text[p - 1 : p].isalnum() or m[0] == "!!" and text[text.rfind("\n", 0, p) + 1 : p].lstrip()[:1] != "!":
             pos = p + 1
             continue
         pos = m.end()
