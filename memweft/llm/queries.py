@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import canonical, language, markup, neardup, quantiles, spans
+from . import canonical, knngraph, language, markup, mixing, neardup, packing, quantiles, spans
 
 
 # --- p1: near-duplicates -------------------------------------------------------------------------
@@ -27,6 +27,15 @@ def p2_clean(spark, sf) -> DataFrame:
     return markup.convert(table(spark, sf, "chunks"))
 
 
+# --- p3: most similar vectors --------------------------------------------------------------------
+def p3_found(spark, sf) -> DataFrame:
+    return knngraph.found(table(spark, sf, "emb_cache"), table(spark, sf, "models"))
+
+
+def p3_recall(spark, sf) -> DataFrame:
+    return knngraph.recall(table(spark, sf, "emb_cache"), table(spark, sf, "models"))
+
+
 # --- p4: languages -------------------------------------------------------------------------------
 def p4_found(spark, sf) -> DataFrame:
     return language.found(table(spark, sf, "chunks"))
@@ -84,6 +93,24 @@ def p7_daily(spark, sf) -> DataFrame:
     return quantiles.percentiles(_daily(spark, sf), {"p50": 0.5, "p95": 0.95})
 
 
+# --- p8: packing ---------------------------------------------------------------------------------
+def p8_pack(spark, sf) -> DataFrame:
+    return packing.pack_all(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
+
+
+def p8_usage(spark, sf) -> DataFrame:
+    return packing.usage(p8_pack(spark, sf), table(spark, sf, "pack_limits"))
+
+
+# --- p9: mixing ----------------------------------------------------------------------------------
+def p9_mix(spark, sf) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark, sf) -> DataFrame:
+    return mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
 # --- p10: long shared spans ----------------------------------------------------------------------
 def p10_found(spark, sf) -> DataFrame:
     return spans.found(table(spark, sf, "documents"))
@@ -95,7 +122,7 @@ def p10_shared(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_clean, p4_found, p4_segments, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p10_found, p10_shared)
+    for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared)
 }
 
 _KEYED = r"""
@@ -122,6 +149,10 @@ SQL = {
 SELECT x AS cid_a, y AS cid_b FROM common JOIN sizes s ON s.cid = x JOIN sizes t ON t.cid = y
 JOIN (SELECT DISTINCT cid, key FROM keyed) k ON k.cid = x JOIN (SELECT DISTINCT cid, key FROM keyed) l ON l.cid = y
 WHERE k.key <> l.key AND c >= 0.6 * (s.n + t.n - c)""",
+    "p3_found": """WITH ok AS (SELECT DISTINCT e.vec_id, e.model, e.vec FROM emb_cache e JOIN models m ON e.model = m.model AND len(e.vec) = m.dim
+    WHERE len(list_filter(e.vec, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(e.vec, lambda v: v <> 0)) > 0),
+  ranked AS (SELECT a.vec_id, b.vec_id AS near_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.vec::DOUBLE[], b.vec::DOUBLE[]), b.vec_id) AS r FROM ok a JOIN ok b ON a.model = b.model AND a.vec_id <> b.vec_id)
+SELECT vec_id, near_id FROM ranked WHERE r <= 5""",
     "p5_found": f"""WITH {_KEYED}, firsts AS (SELECT key, min(cid) AS cid_first FROM keyed GROUP BY key)
 SELECT DISTINCT cid_first, cid AS cid_copy FROM keyed JOIN firsts USING (key) WHERE cid <> cid_first""",
     "p5_ledger": f"""WITH {_KEYED}
