@@ -52,15 +52,15 @@ def term_frequencies(occ: DataFrame, phrases: DataFrame) -> DataFrame:
     return single.union(whole.groupBy("tenant", "phrase", "m", "cid").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, occ: DataFrame | None = None) -> DataFrame:
     """(tenant, qid, cid, score) of all chunks of the query's tenant with any of its terms, higher is better.
 
     ``chunks`` (tenant, cid, text) has each cid once; ``queries`` is (tenant, qid, query). A term
     that occurs twice in a query counts twice. Frequencies are of the tenant alone, so one tenant's
-    text never shows in another's ranking.
+    text never shows in another's ranking. ``occ`` are stored occurrences of the chunks, if there are any.
     """
     phrases = query_phrases(queries)
-    tf = term_frequencies(occurrences(chunks), phrases)
+    tf = term_frequencies(occurrences(chunks) if occ is None else occ, phrases)
     df = tf.groupBy("tenant", "phrase").agg(F.count(F.lit(1)).alias("df"))
     lengths = doc_lengths(chunks)
     stats = corpus_stats(lengths)
@@ -81,9 +81,9 @@ def top(scored: DataFrame, k: int, by: list, per: list[str], rank: str) -> DataF
     return scored.withColumn(rank, r).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
+def bm25_top(chunks: DataFrame, queries: DataFrame, pool: int, occ: DataFrame | None = None) -> DataFrame:
     """(tenant, qid, cid, score, fts_rank): the ``pool`` best of each query; equal scores (to nine digits) by cid."""
-    scored = bm25(chunks, queries).withColumn("score", F.round("score", 9))
+    scored = bm25(chunks, queries, occ).withColumn("score", F.round("score", 9))
     return top(scored, pool, [F.desc("score"), F.asc("cid")], ["tenant", "qid"], "fts_rank")
 
 

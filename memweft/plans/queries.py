@@ -248,12 +248,21 @@ def recall_event_json(spark, sf) -> DataFrame:
     return back.select("line_no", *[f"j.{c}" for c in cols if c != "scores"], F.size(F.slice("j.scores", 1, 5)).alias("n_scores"))
 
 
+def windowed_recalls(spark, sf) -> DataFrame:
+    """The stream's aggregation over the table: recalls by tenant and day."""
+    from ..streaming.log_stream import windowed_recalls as windows
+
+    log = table(spark, sf, "query_log").withColumn("latency_ms", F.when(~F.isnan("latency_ms"), F.col("latency_ms")))
+    w = windows(log, "1 day", "2 days")
+    return w.select("tenant", F.date_format("start", "yyyy-MM-dd").alias("day"), "recalls", F.round("empty_rate", 6).alias("empty_rate"), F.round("mean_latency_ms", 3).alias("mean_latency_ms"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         recall_full, recall_plain, mmr_diversity, rrf_hybrid, bm25_scores, bm25_topk, corpus_stats, knn_l2, vector_ranks, temporal_decay, tenant_isolation, render_recall, hit_at_k_mrr,
         fts_tokens, fts_query_terms, chunk_markdown, strip_frontmatter, chunk_ids, chunk_dedup, provenance_dupes, evergreen_flag, ignore_globs, card_slug, snippets,
-        p6_found, p6_diff, snapshot_counters, embed_cache_counters, embed_misses, index_stats, analyze_overall, analyze_by_tenant, recent_misses, recall_event_json,
+        p6_found, p6_diff, snapshot_counters, embed_cache_counters, embed_misses, index_stats, analyze_overall, analyze_by_tenant, recent_misses, recall_event_json, windowed_recalls,
     )
 }
 
@@ -399,5 +408,7 @@ SELECT m.model, count(t.hash) AS cached, (SELECT count(*) FROM t) - count(t.hash
 SELECT count(*) AS recalls, round(count(*) FILTER (e) / count(*), 3) AS empty_rate, round(median(lat), 1) AS latency_p50_ms, round((SELECT v[floor(len(v) * 0.95)::BIGINT + 1] FROM s WHERE len(v) > 2), 1) AS latency_p95_ms, round(avg(top_score), 5) AS avg_top_score FROM l""",
     "analyze_by_tenant": "SELECT coalesce(tenant, '?') AS tenant, count(*) AS n FROM query_log WHERE event = 'recall' GROUP BY 1",
     "recent_misses": "SELECT line_no, substr(query, 1, 70) AS query FROM query_log WHERE event = 'recall' AND \"empty\" ORDER BY line_no DESC LIMIT 8",
+    "windowed_recalls": """SELECT coalesce(tenant, '?') AS tenant, strftime(make_timestamp(floor(ts / 86400)::BIGINT * 86400000000), '%Y-%m-%d') AS day, count(*) AS recalls, round(avg(CASE WHEN coalesce("empty", false) THEN 1.0 ELSE 0.0 END), 6) AS empty_rate, round(avg(CASE WHEN NOT isnan(latency_ms) THEN latency_ms END), 3) AS mean_latency_ms
+FROM query_log WHERE event = 'recall' AND ts IS NOT NULL GROUP BY 1, 2""",
     "recall_event_json": "SELECT line_no, ts, event, tenant, query, n_results, top_score, top_file, latency_ms, \"empty\", len(scores[1:5])::INTEGER AS n_scores FROM query_log WHERE latency_ms IS NULL OR NOT isnan(latency_ms)",
 }

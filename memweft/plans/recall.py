@@ -10,7 +10,7 @@ from ..functions.text import snippet, words
 from ..operators import fusion, keyword, vectors
 
 
-def recall(chunks: DataFrame, chunk_vecs: DataFrame, queries: DataFrame, query_vecs: DataFrame, config: RecallConfig) -> DataFrame:
+def recall(chunks: DataFrame, chunk_vecs: DataFrame, queries: DataFrame, query_vecs: DataFrame, config: RecallConfig, occ: DataFrame | None = None) -> DataFrame:
     """(tenant, qid, pos, id, score, file, text, snippet): the hits of each query in order of selection.
 
     ``chunks`` (tenant, cid, path, text, age_days, evergreen) has each cid once; ``chunk_vecs`` is (tenant,
@@ -21,7 +21,7 @@ def recall(chunks: DataFrame, chunk_vecs: DataFrame, queries: DataFrame, query_v
     keys = ["tenant", "qid"]
     vec = vectors.nearest(chunk_vecs.withColumnRenamed("cid", "id"), query_vecs, "tenant", config.vec_pool)
     vec = vec.select("tenant", "qid", F.col("id").alias("cid"), F.col("rank").alias("vec_rank"))
-    fts = keyword.bm25_top(chunks.select("tenant", "cid", "text"), queries.select("tenant", "qid", "query"), config.fts_pool)
+    fts = keyword.bm25_top(chunks.select("tenant", "cid", "text"), queries.select("tenant", "qid", "query"), config.fts_pool, occ)
     fused = fusion.reciprocal_rank_fusion(vec, fts, config.rrf_k, keys)
     return select_hits(fused, chunks, queries, config)
 
