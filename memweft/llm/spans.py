@@ -194,8 +194,18 @@ def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, cells
     return materialize(one.select("h", "same", F.col("o.doc_id").alias("doc_id"), "pos", F.col("o.around").alias("around"), F.col("o.lead").alias("lead")))
 
 
+def contexts(occ: DataFrame) -> DataFrame:
+    """(h, same, cx, doc_id, around, lead): the different contexts that a window has in a text.
+
+    A text that repeats a pattern has the same window in the same context at thousands of places; for
+    what it shares with other texts one of them says it all.
+    """
+    cx = F.md5(F.concat_ws(":", "lead", "around"))
+    return occ.withColumn("cx", cx).groupBy("h", "same", "cx").agg(F.min("doc_id").alias("doc_id"), F.first("around").alias("around"), F.first("lead").alias("lead"))
+
+
 def _reach(batches, length: int, width: int):
-    """Extend each pair of occurrences over its context; keep pairs whose span reaches ``length``."""
+    """Extend each pair of windows over its context; keep pairs whose span reaches ``length``."""
     side = length - width
     for pdf in batches:
         if not len(pdf):
@@ -218,36 +228,54 @@ def _reach(batches, length: int, width: int):
         wa = [x[q : q + width] for x, q in zip(pdf["xa"], pdf["la"])]
         wb = [x[q : q + width] for x, q in zip(pdf["xb"], pdf["lb"])]
         ok &= np.fromiter((x == y for x, y in zip(wa, wb)), bool, n)
-        yield pd.DataFrame({"sa": pdf["sa"], "sb": pdf["sb"], "da": pdf["da"], "db": pdf["db"], "pa": pdf["pa"] - ext[0], "pb": pdf["pb"] - ext[0], "n": width + ext.sum(0)})[ok]
-
+        yield pd.DataFrame({"sa": pdf["sa"], "sb": pdf["sb"], "h": pdf["h"], "ca": pdf["ca"], "cb": pdf["cb"], "left": ext[0], "right": ext[1]})[ok]
 
-def shared_spans(occ: DataFrame, length: int = LENGTH, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
-    """(sa, sb, da, db, pa, pb, n): spans of n >= length code points that two different texts share.
 
-    da < db are the texts' smallest documents, pa and pb where the span starts in them. A span longer
-    than the context comes out as several overlapping ones that cover it.
+class Shared:
+    """What texts share, from the occurrences of windows that may be repeated.
 
-    Windows of more than ``crowd`` occurrences are not paired: each of their occurrences is first
-    turned into all the whole spans of ``length`` around it, and only occurrences that agree in
-    a whole span are paired, so every pair that comes out is one that belongs in the result.
+    Windows of more than ``crowd`` contexts are not paired: each of their contexts is first turned into
+    all the whole spans of ``length`` around the window, and only texts that agree in a whole span are
+    paired, once for each span, so every pair is one that belongs in the result.
     """
-    sizes = occ.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "k")
-    rows = occ.join(sizes, "h")
-    quiet, loud = rows.where(F.col("k") <= crowd).drop("k"), rows.where(F.col("k") > crowd).drop("k")
-
-    def pairs(r: DataFrame, key: list[str]) -> DataFrame:
-        side = lambda t: r.select(*key, F.col("same").alias(f"s{t}"), F.col("doc_id").alias(f"d{t}"), F.col("pos").alias(f"p{t}"), F.col("around").alias(f"x{t}"), F.col("lead").alias(f"l{t}"))
-        # one side's window at most as often as there are different texts: a < b by document
-        return side("a").join(side("b"), key).where("da < db and sa <> sb")
 
-    got = pairs(quiet, ["h"])
-    if not loud.isEmpty():
-        starts = F.sequence(F.greatest(F.lit(0), F.col("lead") - (length - width)), F.least(F.col("lead"), F.length("around") - length))
-        spans = loud.where(F.length("around") >= length).withColumn("at", F.explode(starts)).withColumn("span", F.md5(F.substring("around", F.col("at") + 1, F.lit(length))))
-        many = spans.groupBy("h", "span").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "span")
-        got = got.union(pairs(spans.join(many, ["h", "span"]).drop("at"), ["h", "span"]).drop("span").distinct())
-    cols = ["sa", "sb", "da", "db", "pa", "pb", "xa", "xb", "la", "lb"]
-    return got.select(*cols).mapInPandas(lambda b: _reach(b, length, width), "sa string, sb string, da long, db long, pa int, pb int, n int")
+    def __init__(self, occ: DataFrame, length: int = LENGTH, width: int = WIDTH, crowd: int = CROWD):
+        self.occ, self.length, self.width = occ, length, width
+        cx = contexts(occ)
+        sizes = cx.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "k")
+        rows = materialize(cx.join(sizes, "h"))
+        quiet, loud = rows.where(F.col("k") <= crowd).drop("k"), rows.where(F.col("k") > crowd).drop("k")
+        side = lambda t: quiet.select("h", F.col("same").alias(f"s{t}"), F.col("doc_id").alias(f"d{t}"), F.col("cx").alias(f"c{t}"), F.col("around").alias(f"x{t}"), F.col("lead").alias(f"l{t}"))
+        both = side("a").join(side("b"), "h").where("da < db and sa <> sb").select("sa", "sb", "h", "ca", "cb", "xa", "xb", "la", "lb")
+        self.pairs = both.mapInPandas(lambda b: _reach(b, length, width), "sa string, sb string, h long, ca string, cb string, left int, right int")
+        self.spans = None
+        if not loud.isEmpty():
+            first = F.greatest(F.lit(0), F.col("lead") - (length - width))
+            starts = F.sequence(first, F.least(F.col("lead"), F.length("around") - length))
+            spans = loud.where((F.length("around") >= length) & (first <= F.length("around") - length)).withColumn("at", F.explode(starts))
+            spans = spans.select("h", "same", "cx", "doc_id", "lead", "at", F.md5(F.substring("around", F.col("at") + 1, F.lit(length))).alias("span"))
+            many = spans.groupBy("h", "span").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "span")
+            self.spans = materialize(spans.join(many, ["h", "span"]))
+
+    def links(self) -> DataFrame:
+        """(sa, sb): pairs of texts that share a span."""
+        got = self.pairs.select("sa", "sb")
+        if self.spans is not None:
+            one = self.spans.groupBy("h", "span", "same").agg(F.min("doc_id").alias("d"))
+            a, b = (one.select("h", "span", F.col("same").alias(f"s{t}"), F.col("d").alias(f"d{t}")) for t in "ab")
+            got = got.union(a.join(b, ["h", "span"]).where("da < db").select("sa", "sb"))
+        return got.distinct()
+
+    def covered(self) -> DataFrame:
+        """(same, p, e): stretches of each text that are shared, a row for each occurrence of a shared window."""
+        p = self.pairs
+        ends = p.select("h", F.col("sa").alias("same"), F.col("ca").alias("cx"), "left", "right").union(p.select("h", "sb", "cb", "left", "right"))
+        if self.spans is not None:
+            right = F.max(F.col("at") + self.length - F.col("lead") - self.width)
+            ends = ends.union(self.spans.groupBy("h", "same", "cx").agg(F.max(F.col("lead") - F.col("at")).alias("left"), right.alias("right")))
+        most = ends.groupBy("h", "same", "cx").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+        at = self.occ.select("h", "same", "pos", F.md5(F.concat_ws(":", "lead", "around")).alias("cx")).join(most, ["h", "same", "cx"])
+        return at.select("same", (F.col("pos") - F.col("left")).alias("p"), (F.col("pos") + self.width + F.col("right")).alias("e"))
 
 
 def _copies(docs: DataFrame, length: int) -> DataFrame:
@@ -262,7 +290,7 @@ def found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     a doc_id delivered twice with the same text counts once.
     """
     members = materialize(_copies(docs, length))
-    links = shared_spans(occurrences(docs, length), length).select("sa", "sb").distinct()
+    links = Shared(occurrences(docs, length), length).links()
     a, b = members.select(F.col("same").alias("sa"), F.col("doc_id").alias("x")), members.select(F.col("same").alias("sb"), F.col("doc_id").alias("y"))
     across = links.join(a, "sa").join(b, "sb").select("x", "y")
     many = members.groupBy("same").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("same")
@@ -281,9 +309,7 @@ def shared_share(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    spans = shared_spans(occurrences(docs, length), length)
-    ends = spans.select(F.col("sa").alias("same"), F.col("pa").alias("p"), (F.col("pa") + F.col("n")).alias("e")).union(spans.select("sb", "pb", F.col("pb") + F.col("n")))
-    ends = ends.groupBy("same", "p").agg(F.max("e").alias("e"))
+    ends = Shared(occurrences(docs, length), length).covered().groupBy("same", "p").agg(F.max("e").alias("e"))
     before = F.max("e").over(W.partitionBy("same").orderBy("p").rowsBetween(W.unboundedPreceding, -1))
     cover = ends.withColumn("b", before).withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("p", F.coalesce("b", F.lit(0)))))
     cover = cover.groupBy("same").agg(F.sum("new").alias("c"))
