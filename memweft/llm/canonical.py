@@ -74,6 +74,7 @@ class Ledger:
         self.spark, self.buckets = spark, buckets
         self.root = root or scratch_dir(spark)
         self.current: dict[int, str] = {}
+        self.updates = 0
 
     def _read(self, which) -> DataFrame:
         paths = [f"{self.current[b]}/bucket={b}" for b in which if b in self.current]
@@ -87,7 +88,8 @@ class Ledger:
 
     def update(self, rows: DataFrame) -> None:
         """Add a batch of (cid, hash, key) rows."""
-        version = f"{self.root}/v{len(set(self.current.values())) + 1}-{len(self.current)}"
+        self.updates += 1
+        version = f"{self.root}/v{self.updates}"
         new = aggregate_batch(rows, self.buckets)
         if self.current:
             # Buckets are few and their number is fixed; with a small batch only some are touched.

@@ -138,6 +138,8 @@ def sketch_table(chunks: DataFrame, k: int = K, sketches: int = SKETCHES, ell: i
             texts = pdf["text"].tolist()
             for i, j in V.blocks(texts):
                 which, size, s1, s2, sk = order_sketches(texts[i:j], heavy.value, k, sketches, ell)
+                if not len(which):
+                    continue
                 part = pdf.iloc[i:j].iloc[which]
                 yield pd.DataFrame({"cid": part["cid"], "key": part["key"], "s1": s1.view(np.int64), "s2": s2.view(np.int64), "n_set": size, "sketch": list(sk.view(np.int64))})
 
@@ -300,6 +302,8 @@ def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, ali
             for i, j in V.blocks(texts):
                 w, at = V.words(texts[i:j])
                 # 32 bits are enough to tell the words of two texts apart
+                if i == j:
+                    continue
                 yield pd.DataFrame({"cls": pdf["cls"].to_numpy()[i:j], "w": np.split((w >> V.U(32)).astype(np.uint32).view(np.int32), at[1:-1])})
 
     def compare(batches):
