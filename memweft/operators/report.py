@@ -41,7 +41,7 @@ def overall(lines: DataFrame) -> DataFrame:
     """
     one = lines.agg(
         F.count(F.lit(1)).alias("recalls"),
-        F.round(F.count_if(F.coalesce("empty", F.lit(False))) / F.count(F.lit(1)), 3).alias("empty_rate"),
+        F.round(F.try_divide(F.count_if(F.coalesce("empty", F.lit(False))), F.count(F.lit(1))), 3).alias("empty_rate"),
         F.round(F.median("latency_ms"), 1).alias("latency_p50_ms"),
         F.round(F.avg("top_score"), 5).alias("avg_top_score"),
     )

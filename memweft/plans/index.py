@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,25 @@ def listing(spark: SparkSession, root: str, tenant: str, config: RecallConfig) -
     return files.where(~ignored(F.col("path"), config.ignore_globs)) if config.ignore_globs else files
 
 
+class DamagedIndex(Exception):
+    """Files of a published snapshot are missing."""
+
+
+def part_files(folder: str) -> int:
+    try:
+        return sum(n.startswith("part-") for n in os.listdir(folder))
+    except OSError:
+        return -1
+
+
 class Snapshot:
-    """The tables of one published version."""
+    """The tables of one published version. Raises DamagedIndex if files of it are missing."""
 
     def __init__(self, spark: SparkSession, store: SnapshotStore, meta: dict | None):
         self.meta = meta
+        for name, n in (meta or {}).get("parts", {}).items():
+            if part_files(store.path(meta["version"], name)) != n:
+                raise DamagedIndex(f"version {meta['version']} lacks files of {name}")
         read = lambda name, schema: spark.read.schema(schema).parquet(store.path(meta["version"], name)) if meta else spark.createDataFrame([], schema)
         self.chunks, self.cache = read("chunks", CHUNKS), read("emb_cache", CACHE)
         self.manifest, self.occ = read("manifest", MANIFEST), read("occurrences", OCC)
@@ -78,7 +93,8 @@ def reindex(spark: SparkSession, store: SnapshotStore, root: str, tenant: str, c
             occ.select("tenant", "cid", "pos", "term").repartitionByRange("term").sortWithinPartitions("term").write.parquet(store.path(version, "occurrences"))
             result["chunks"], result["embedded"] = new.count(), made.count()
             result["cached"] = result["chunks"] - result["embedded"]
-            store.publish(version, {"model": config.model, "dim": config.dim})
+            parts = {name: part_files(store.path(version, name)) for name in ("chunks", "emb_cache", "manifest", "occurrences")}
+            store.publish(version, {"model": config.model, "dim": config.dim, "parts": parts})
         except BaseException:
             store.discard(version)
             raise

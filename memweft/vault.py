@@ -107,4 +107,4 @@ class Vault:
 def _damaged(e: Exception) -> bool:
     """Whether an error comes from index files that are missing or unreadable."""
     text = str(e)
-    return any(s in text for s in ("PATH_NOT_FOUND", "FileNotFound", "does not exist", "FAILED_READ_FILE", "CANNOT_READ_FILE", "not a Parquet file", "UNABLE_TO_INFER_SCHEMA"))
+    return isinstance(e, index.DamagedIndex) or any(s in text for s in ("PATH_NOT_FOUND", "FileNotFound", "does not exist", "FAILED_READ_FILE", "CANNOT_READ_FILE", "not a Parquet file", "UNABLE_TO_INFER_SCHEMA"))
