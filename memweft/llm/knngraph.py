@@ -350,4 +350,4 @@ def recall(cache: DataFrame, models: DataFrame, k: int = 5) -> DataFrame:
     true = neighbours(cache, models, k, ask, exact=True).select("model", "vec_id", F.transform("near", lambda e: e["id"]).alias("true"))
     both = true.join(got, ["model", "vec_id"], "left")
     hit = F.size(F.array_intersect("true", F.coalesce("got", F.array().cast("array<bigint>"))))
-    return both.groupBy("model").agg(F.count(F.lit(1)).alias("n_queries"), (F.sum(hit) / F.sum(F.size("true"))).alias("recall"))
+    return both.groupBy("model").agg(F.count(F.lit(1)).alias("n_queries"), F.try_divide(F.sum(hit), F.sum(F.size("true"))).alias("recall"))

@@ -137,4 +137,4 @@ def shares(docs: DataFrame, targets: DataFrame, fill: float = FILL, seed: int =
     known = spark.createDataFrame([(s, r["texts"], r["tokens"], r["target"]) for s, r in rate.items()], "source string, texts long, tokens long, target_share double")
     whole = got.agg(F.sum("mixed_tokens").alias("whole"))
     rows = known.join(got, "source", "left").join(F.broadcast(whole), how="cross")  # one row
-    return rows.select("source", "texts", "tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), "most_copies", "target_share", F.round(F.coalesce("mixed_tokens", F.lit(0)) / F.col("whole"), 6).alias("actual_share"))
+    return rows.select("source", "texts", "tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), "most_copies", "target_share", F.round(F.try_divide(F.coalesce("mixed_tokens", F.lit(0)), F.col("whole")), 6).alias("actual_share"))
