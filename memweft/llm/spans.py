@@ -25,11 +25,11 @@ from . import vectext as V
 
 #: The least length of a shared span, and the width of a window.
 LENGTH, WIDTH = 160, 100
-#: Rows of the sketch, and the least and most two-bit counters in a row. The most take 64 MB a row; this
-#: bounds what is broadcast. Beyond some 200 million kept windows the prefilter lets more through, and
+#: Rows of the sketch, and the least and most two-bit counters in a row. The most take 32 MB a row; this
+#: bounds what is broadcast. Beyond some 100 million kept windows the prefilter lets more through, and
 #: the exact grouping after it has more rows to shuffle, but the result stays the same.
 ROWS = 2
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
+LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
 #: Windows shared by more texts than this take the exact path through whole spans.
 CROWD = 64
 
