@@ -21,8 +21,9 @@ from ..session import materialize
 
 #: Most nodes of a shard, nodes that a cell should have, and vectors a model's sample may have.
 SHARD, CELL, SAMPLE = 16384, 6144, 16384
-#: Cells that a query looks into; out-degree, pruning slack, and width of the beam.
-PROBES, DEGREE, ALPHA, BEAM = 3, 24, 1.2, 64
+#: Cells that a query looks into; out-degree, pruning slack, and width of the beam. With more slack than this, the
+#: edges of dense clusters of nearly equal vectors fill up with members of the cluster, and it becomes an island.
+PROBES, DEGREE, ALPHA, BEAM = 3, 32, 1.05, 64
 #: Queries of one shard that one task takes; more are spread over tasks that each build the graph.
 QUERIES = 131072
 
