@@ -23,7 +23,7 @@ from ..session import materialize
 from . import vectext as V
 from .canonical import canonical_key
 from .components import components
-from .spans import LEAST_CELLS, MOST_CELLS, ROWS, merged_counts
+from .spans import LEAST_CELLS, MOST_CELLS, ROWS, members_to_pair, merged_counts
 
 #: Words in a k-mer and the least similarity, as the data's statement of the problem has them.
 K, THRESHOLD = 3, 0.6
@@ -355,9 +355,14 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, k: int = K)
 
 
 def found(chunks: DataFrame) -> DataFrame:
-    """p1_found: (cid_a, cid_b) of all linked chunks that are not the same record."""
+    """p1_found: (cid_a, cid_b) of all linked chunks that are not the same record.
+
+    Of more than ``spans.COPIES`` exact copies of one text only the smallest cid stands in pairs.
+    """
     links, docs = near_duplicates(chunks)
-    members = docs.select("cls", "cid", "key").distinct()
+    linked = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).distinct()
+    members = docs.select("cls", "cid", "key").join(linked, "cls", "left_semi").distinct()
+    members = members_to_pair(members, "cls", "cid")
     a = members.select(F.col("cls").alias("a"), F.col("cid").alias("x"), F.col("key").alias("kx"))
     b = members.select(F.col("cls").alias("b"), F.col("cid").alias("y"), F.col("key").alias("ky"))
     got = links.select("a", "b").join(a, "a").join(b, "b").where("kx <> ky and x <> y")

@@ -30,6 +30,8 @@ LENGTH, WIDTH = 160, 100
 #: the exact grouping after it has more rows to shuffle, but the result stays the same.
 ROWS = 2
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
+#: Groups of more exact copies than this are represented by their smallest member in pairs.
+COPIES = 1000
 #: Windows shared by more texts than this take the exact path through whole spans.
 CROWD = 64
 
@@ -283,19 +285,36 @@ def _copies(docs: DataFrame, length: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select(F.md5("text").alias("same"), "doc_id").distinct()
 
 
+def members_to_pair(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
+    """Members of groups of exact copies that stand in pairs: all, or of groups of more than ``most`` the smallest.
+
+    A group of copies that holds a share of all rows would otherwise make pairs in proportion to the
+    square of the rows, all of which say the same of one text; its membership is in the operator's tables.
+    """
+    most = COPIES if most is None else most
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_members"), F.min(member).alias("_first"))
+    rows = members.join(sizes, group).where((F.col("_members") <= most) | (F.col(member) == F.col("_first")))
+    return rows.drop("_members", "_first")
+
+
 def found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """p10_found: (doc_a, doc_b) of all documents that share ``length`` code points verbatim.
 
-    Copies of one text share all of it. Null texts and texts shorter than ``length`` have no pairs;
+    Copies of one text share all of it; of more than ``COPIES`` copies, each is paired with the smallest
+    doc_id, which alone stands in the pairs with other texts. Null texts and texts shorter than ``length`` have no pairs;
     a doc_id delivered twice with the same text counts once.
     """
     members = materialize(_copies(docs, length))
     links = Shared(occurrences(docs, length), length).links()
-    a, b = members.select(F.col("same").alias("sa"), F.col("doc_id").alias("x")), members.select(F.col("same").alias("sb"), F.col("doc_id").alias("y"))
+    linked = links.select(F.col("sa").alias("same")).union(links.select(F.col("sb").alias("same"))).distinct()
+    few = members_to_pair(members.join(linked, "same", "left_semi"), "same", "doc_id")
+    a, b = few.select(F.col("same").alias("sa"), F.col("doc_id").alias("x")), few.select(F.col("same").alias("sb"), F.col("doc_id").alias("y"))
     across = links.join(a, "sa").join(b, "sb").select("x", "y")
-    many = members.groupBy("same").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("same")
+    many = members.groupBy("same").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("first")).where("k > 1")
     alike = members.join(many, "same")
-    within = alike.select("same", F.col("doc_id").alias("x")).join(alike.select("same", F.col("doc_id").alias("y")), "same").where("x < y").select("x", "y")
+    star = alike.where((F.col("k") > COPIES) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    alike = alike.where(F.col("k") <= COPIES)
+    within = alike.select("same", F.col("doc_id").alias("x")).join(alike.select("same", F.col("doc_id").alias("y")), "same").where("x < y").select("x", "y").union(star)
     both = across.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
     return both.union(within.select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"))).distinct()
 

@@ -248,3 +248,12 @@ def test_plan_places_everything():
 @pytest.mark.parametrize(("mean", "cap"), [(0.3, 1), (0.9, 1), (1.7, 2), (3.5, 4), (0.01, 5)])
 def test_poisson_rate(mean, cap):
     assert mixing.cut_mean(mixing.poisson_rate(mean, cap), cap) == pytest.approx(mean, abs=1e-9)
+
+
+def test_huge_groups_of_copies_are_stars(spark, monkeypatch):
+    monkeypatch.setattr(spans, "COPIES", 5)
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abcdefgh "), 300))
+    docs = spark.createDataFrame([(i, text) for i in range(12)] + [(20, text[:200] + "#")], "doc_id long, text string")
+    got = {tuple(r) for r in spans.found(docs).collect()}
+    assert got == {(0, i) for i in range(1, 12)} | {(0, 20)}
