@@ -7,10 +7,14 @@ earliest representative is kept; only buckets the batch touches are rewritten.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import delete_path, scratch_dir
+from . import vectext as V
 
 LEDGER = "key string, copies long, n_rows long, first_cid string, first_hash string, bucket int"
 #: One field: a one-word name, a colon or an equals sign, and a value.
@@ -35,6 +39,27 @@ def canonical_key(text: Column) -> Column:
     return F.when(text.isNotNull(), F.md5(F.when(is_fields, fields).otherwise(bare(text))))
 
 
+_FIELD = re.compile(r"[\s\ufeff]*[\w\-]+\s*[:=]")
+
+
+def canonical_hashes(texts: list[str]) -> np.ndarray:
+    """64-bit hashes that agree where ``canonical_key`` agrees: the same rule, for batches of texts in Python."""
+    bare_ = V.word_table().copy()
+    bare_[ord("_")] = False
+    rest = []
+    for t in texts:
+        t = t.lower()
+        if _FIELD.match(t):
+            parts = [p for p in re.split(r"[\r\n;]+", t) if p.strip("\ufeff \t\x0b\x0c")]
+            if len(parts) > 1 and all((m := _FIELD.match(p)) and any(map(str.isalnum, p[m.end() :])) for p in parts):
+                t = "\ue000".join(sorted("".join(filter(str.isalnum, p)) for p in parts))
+        rest.append(t)
+    code, offsets = V.codes(rest)
+    keep = bare_[code] | (code == 0xE000)
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return V.span_hashes(code[keep], at[:-1], at[1:]) if len(texts) else np.empty(0, V.U)
+
+
 def keyed(chunks: DataFrame, extra: Column | None = None) -> DataFrame:
     """(cid, hash, key[, batch]) of every row that has a cid and a text; a null hash stays null."""
     cols = [F.col("cid"), F.col("hash"), canonical_key(F.col("text")).alias("key")]

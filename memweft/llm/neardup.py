@@ -21,14 +21,14 @@ from pyspark.sql import Window as W
 
 from ..session import materialize
 from . import vectext as V
-from .canonical import canonical_key
+from .canonical import canonical_hashes
 from .components import components
 from .spans import LEAST_CELLS, MOST_CELLS, ROWS, members_to_pair, merged_counts
 
 #: Words in a k-mer and the least similarity, as the data's statement of the problem has them.
 K, THRESHOLD = 3, 0.6
 #: Sketches for each record, and k-mers in a sketch.
-SKETCHES, ELL = 20, 2
+SKETCHES, ELL = 18, 2
 #: At most so many k-mers have a weight of their own.
 HOT = 1 << 17
 #: Buckets of more classes than this take the exact prefix path.
@@ -141,9 +141,10 @@ def sketch_table(chunks: DataFrame, k: int = K, sketches: int = SKETCHES, ell: i
                 if not len(which):
                     continue
                 part = pdf.iloc[i:j].iloc[which]
-                yield pd.DataFrame({"cid": part["cid"], "key": part["key"], "s1": s1.view(np.int64), "s2": s2.view(np.int64), "n_set": size, "sketch": list(sk.view(np.int64))})
+                key = canonical_hashes(part["text"].tolist())
+                yield pd.DataFrame({"cid": part["cid"], "key": key.view(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "n_set": size, "sketch": list(sk.view(np.int64))})
 
-    rows = usable.withColumn("key", canonical_key(F.col("text"))).mapInPandas(run, "cid string, key string, s1 long, s2 long, n_set long, sketch array<long>")
+    rows = usable.mapInPandas(run, "cid string, key long, s1 long, s2 long, n_set long, sketch array<long>")
     return materialize(rows.select("cid", "key", F.xxhash64("key", "s1", "s2").alias("cls"), "n_set", "sketch"))
 
 
@@ -290,7 +291,7 @@ def edit_similarity(a: list[np.ndarray], b: list[np.ndarray], band: int = 16) ->
     return 1 - dist / longest
 
 
-def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, align_from: float = THRESHOLD / 2) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, align_from: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard, edit_similarity) of candidate pairs of classes, over their whole texts.
 
     Pairs whose Jaccard similarity is below ``align_from`` aren't aligned: their edit similarity is null.
@@ -335,6 +336,7 @@ def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, ali
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (doc, h) once; ``doc`` ascends."""
     order = np.lexsort((h, doc))
     d, x = doc[order], h[order]
     new = np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])] if len(d) else np.empty(0, bool)
@@ -361,7 +363,8 @@ def found(chunks: DataFrame) -> DataFrame:
     """
     links, docs = near_duplicates(chunks)
     linked = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).distinct()
-    members = docs.select("cls", "cid", "key").join(linked, "cls", "left_semi").distinct()
+    # few rows, used on both sides: written once, so that the docs aren't shuffled again for each use
+    members = materialize(docs.select("cls", "cid", "key").join(linked, "cls", "left_semi").distinct())
     members = members_to_pair(members, "cls", "cid")
     a = members.select(F.col("cls").alias("a"), F.col("cid").alias("x"), F.col("key").alias("kx"))
     b = members.select(F.col("cls").alias("b"), F.col("cid").alias("y"), F.col("key").alias("ky"))

@@ -305,7 +305,7 @@ def found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     a doc_id delivered twice with the same text counts once.
     """
     members = materialize(_copies(docs, length))
-    links = Shared(occurrences(docs, length), length).links()
+    links = materialize(Shared(occurrences(docs, length), length).links())
     linked = links.select(F.col("sa").alias("same")).union(links.select(F.col("sb").alias("same"))).distinct()
     few = members_to_pair(members.join(linked, "same", "left_semi"), "same", "doc_id")
     a, b = few.select(F.col("same").alias("sa"), F.col("doc_id").alias("x")), few.select(F.col("same").alias("sb"), F.col("doc_id").alias("y"))
