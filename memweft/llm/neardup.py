@@ -204,9 +204,22 @@ def candidates(docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(cls, text) of one chunk for each class in ``ids`` (cls)."""
-    one = docs.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("cid").alias("cid"))
-    return chunks.select("cid", "text").join(one, "cid").dropDuplicates(["cid"]).select("cls", "text")
+    """(cls, text) of one chunk for each class in ``ids`` (cls).
+
+    A sketch of fixed size of the wanted cids, which may let through too much but never too little,
+    keeps most other texts out of the shuffle of the join.
+    """
+    one = materialize(docs.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("cid").alias("cid")))
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * one.count()).bit_length()))
+    hashed = lambda b: b.column("x").to_numpy(zero_copy_only=False).view(V.U)
+    wanted = docs.sparkSession.sparkContext.broadcast(merged_counts(one.select(F.xxhash64("cid").alias("x")), hashed, cells, ROWS))
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.counted(hashed(b)))).select(["cid", "text"])
+
+    some = chunks.where(F.col("cid").isNotNull() & F.col("text").isNotNull()).select("cid", "text", F.xxhash64("cid").alias("x")).mapInArrow(keep, "cid string, text string")
+    return some.join(one, "cid").dropDuplicates(["cid"]).select("cls", "text")
 
 
 def _kmer_sets(ids: DataFrame, docs: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -92,6 +92,14 @@ class CountMin:
             out &= self.twice[r, cell >> 3] & (1 << (cell & 7)).astype(np.uint8) > 0
         return out
 
+    def counted(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash may have been counted at all. Never wrongly false."""
+        out = np.ones(len(h), bool)
+        for r in range(self.rows):
+            cell = self.at(h, r)
+            out &= self.seen[r, cell >> 3] & (1 << (cell & 7)).astype(np.uint8) > 0
+        return out
+
     def blocks(self, n: int = 32):
         """(block number, compressed counters) of the blocks that aren't all zero."""
         size = self.seen.size // n
