@@ -23,7 +23,7 @@ from ..session import materialize
 from . import vectext as V
 from .canonical import canonical_hashes
 from .components import components
-from .spans import LEAST_CELLS, MOST_CELLS, ROWS, members_to_pair, merged_counts
+from .spans import LEAST_CELLS, MOST_CELLS, ROWS, merged_counts
 
 #: Words in a k-mer and the least similarity, as the data's statement of the problem has them.
 K, THRESHOLD = 3, 0.6
@@ -33,6 +33,8 @@ SKETCHES, ELL = 18, 2
 HOT = 1 << 17
 #: Buckets of more classes than this take the exact prefix path.
 CROWD = 64
+#: Classes of more chunks than this are cut into parts when pairs are expanded.
+PART = 1000
 
 
 def heavy_kmers(texts: DataFrame, k: int = K, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -369,19 +371,33 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, k: int = K)
     return links, docs
 
 
-def found(chunks: DataFrame) -> DataFrame:
-    """p1_found: (cid_a, cid_b) of all linked chunks that are not the same record.
+def _expanded(links: DataFrame, members: DataFrame, part: int | None = None) -> DataFrame:
+    """(x, kx, y, ky): every member of class a with every member of class b, for each link (a, b).
 
-    Of more than ``spans.COPIES`` exact copies of one text only the smallest cid stands in pairs.
+    Classes of more than ``part`` members are cut into parts by hash and each part of the one side meets
+    each of the other, so that no task has a huge class whole. No pair is left out.
     """
+    part = PART if part is None else part
+    big = materialize(members.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).where("parts > 1"))
+    cut = not big.isEmpty()
+    if cut:
+        members = members.join(big, "cls", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("cid"), "parts"), F.lit(0)))
+    got = links.select("a", "b")
+    for side, cid, key in (("a", "x", "kx"), ("b", "y", "ky")):
+        rows = members.withColumnsRenamed({"cls": side, "cid": cid, "key": key, "part": f"p{side}"}).drop("parts")
+        if cut:
+            got = got.join(big.withColumnRenamed("cls", side), side, "left").withColumn(f"p{side}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        got = got.join(rows, [side, f"p{side}"] if cut else [side])
+    return got.select("x", "kx", "y", "ky")
+
+
+def found(chunks: DataFrame) -> DataFrame:
+    """p1_found: (cid_a, cid_b) of all linked chunks that are not the same record, every chunk of every class."""
     links, docs = near_duplicates(chunks)
     linked = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).distinct()
     # few rows, used on both sides: written once, so that the docs aren't shuffled again for each use
     members = materialize(docs.select("cls", "cid", "key").join(linked, "cls", "left_semi").distinct())
-    members = members_to_pair(members, "cls", "cid")
-    a = members.select(F.col("cls").alias("a"), F.col("cid").alias("x"), F.col("key").alias("kx"))
-    b = members.select(F.col("cls").alias("b"), F.col("cid").alias("y"), F.col("key").alias("ky"))
-    got = links.select("a", "b").join(a, "a").join(b, "b").where("kx <> ky and x <> y")
+    got = _expanded(links, members).where("kx <> ky and x <> y")
     return got.select(F.least("x", "y").alias("cid_a"), F.greatest("x", "y").alias("cid_b"))
 
 

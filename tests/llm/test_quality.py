@@ -257,3 +257,16 @@ def test_huge_groups_of_copies_are_stars(spark, monkeypatch):
     docs = spark.createDataFrame([(i, text) for i in range(12)] + [(20, text[:200] + "#")], "doc_id long, text string")
     got = {tuple(r) for r in spans.found(docs).collect()}
     assert got == {(0, i) for i in range(1, 12)} | {(0, 20)}
+
+
+def test_huge_classes_stand_in_pairs_whole(spark, monkeypatch):
+    """Layout variants of one record are texts of their own, and each of them is a near-duplicate of each edit."""
+    monkeypatch.setattr(spans, "COPIES", 5)
+    monkeypatch.setattr(neardup, "PART", 5, raising=False)
+    base = [f"w{i}" for i in range(60)]
+    variants = [(f"a{i:02d}", (" " * (1 + i % 3)).join(base) + "." * i) for i in range(12)]
+    edits = [(f"b{i:02d}", " ".join(base[:40] + ["edit"] + base[41:]) + "!" * i) for i in range(7)]
+    ch = spark.createDataFrame(variants + edits + [("c00", " ".join(base[:59] + ["end"]))], "cid string, text string")
+    got = [tuple(r) for r in neardup.found(ch).collect()]
+    want = {(a, b) for a, _ in variants for b, _ in edits} | {(a, "c00") for a, _ in variants} | {(b, "c00") for b, _ in edits}
+    assert len(got) == len(set(got)) and set(got) == want
