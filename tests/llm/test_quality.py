@@ -270,3 +270,24 @@ def test_huge_classes_stand_in_pairs_whole(spark, monkeypatch):
     got = [tuple(r) for r in neardup.found(ch).collect()]
     want = {(a, b) for a, _ in variants for b, _ in edits} | {(a, "c00") for a, _ in variants} | {(b, "c00") for b, _ in edits}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_sketches_find_edits_of_mostly_stock_text():
+    """The hardest true pairs: two thirds of a text are stock phrases of low weight, and the edits are in the rest."""
+    rng = np.random.default_rng(6)
+    stock = [f"s{i}" for i in range(64)]
+    texts, pairs = [], 400
+    for p in range(pairs):
+        own = [f"r{p}x{i}" for i in range(32)]
+        edit = list(own)
+        for i in rng.choice(np.arange(1, 8), 4, replace=False) * 4:
+            edit[i] = f"e{p}x{i}"
+        texts += [" ".join(stock + own), " ".join(stock + edit)]
+    h, doc = V.shingles(*V.words(texts), 3)
+    sets = [set(h[doc == i].tolist()) for i in range(2 * pairs)]
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) > 0.72 for i in range(0, 2 * pairs, 2))
+    heavy, n = np.unique(h, return_counts=True)
+    often = n > 8
+    which, _, _, _, sk = neardup.order_sketches(texts, (heavy[often], n[often] / 8))
+    assert len(which) == 2 * pairs
+    assert (sk[::2] == sk[1::2]).any(axis=1).all()
