@@ -6,8 +6,8 @@ their order keep many sketches. k-mers are drawn with odds inverse to their docu
 exponential race), because stock phrases say nothing about identity; only k-mers common enough to be
 one of at most ``HOT`` heavy hitters need a weight, so what is broadcast has a fixed bound.
 
-Candidates are verified by banded alignment of their word sequences (edit similarity) and by the
-exact Jaccard similarity of their k-mer sets.
+Candidates are verified by the exact Jaccard similarity of their k-mer sets alone; banded alignment of
+their word sequences gives accepted pairs an edit similarity.
 """
 
 from __future__ import annotations
