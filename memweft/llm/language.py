@@ -318,13 +318,16 @@ def document_languages(segs: DataFrame) -> DataFrame:
     """(cid, label, lang, confidence, sentences, n_langs): the languages of each chunk's whole sentences.
 
     Ambiguous segments count only towards a language that another, unambiguous sentence of the chunk has.
+    If all whole sentences of a chunk are ambiguous, it has the language of the surest one, with its low confidence.
     """
     good = segs.where("is_whole and lang is not null")
     per = good.groupBy("cid", "lang").agg(
         F.max("label").alias("label"), F.max("confidence").alias("confidence"), F.countDistinct("seg").alias("sentences"), F.min("ambiguous").alias("unsure")
     )
-    sure = per.where("not unsure").drop("unsure")
-    return sure.withColumn("n_langs", F.count(F.lit(1)).over(W.partitionBy("cid")))
+    own = W.partitionBy("cid")
+    first = F.row_number().over(own.orderBy("unsure", F.desc("confidence"), F.desc("sentences"), "lang"))
+    sure = per.withColumn("first", first).where("not unsure or first = 1").drop("unsure", "first")
+    return sure.withColumn("n_langs", F.count(F.lit(1)).over(own))
 
 
 def found(chunks: DataFrame) -> DataFrame:

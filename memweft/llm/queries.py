@@ -45,6 +45,12 @@ def p4_segments(spark, sf) -> DataFrame:
     return language.segment_languages(table(spark, sf, "chunks").dropDuplicates(["cid"]))
 
 
+def p4_languages(spark, sf) -> DataFrame:
+    """The languages of every chunk that has a whole sentence, each with its confidence."""
+    segs = language.segment_languages(table(spark, sf, "chunks").dropDuplicates(["cid"]))
+    return language.document_languages(segs).select("cid", "lang", "confidence", "sentences", "n_langs")
+
+
 # --- p5: duplicates hidden by formatting ---------------------------------------------------------
 def _ledger(spark, sf):
     """The chunks in two deliveries, by tenant, added to a ledger one after the other."""
@@ -122,7 +128,7 @@ def p10_shared(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared)
+    for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared)
 }
 
 _KEYED = r"""

@@ -291,3 +291,10 @@ def test_sketches_find_edits_of_mostly_stock_text():
     which, _, _, _, sk = neardup.order_sketches(texts, (heavy[often], n[often] / 8))
     assert len(which) == 2 * pairs
     assert (sk[::2] == sk[1::2]).any(axis=1).all()
+
+
+def test_chunks_of_ambiguous_sentences_have_a_language(spark):
+    rows = [("a", None, 0, "es", 0.4, True), ("a", None, 1, "pt", 0.5, True), ("b", "en", 0, "en", 0.9, False), ("b", "en", 1, "nl", 0.3, True)]
+    segs = spark.createDataFrame([(*r, True, 6) for r in rows] + [("c", None, 0, "en", 0.9, False, False, 2)], language.SEGMENTS)
+    got = {(r["cid"], r["lang"], r["confidence"], r["n_langs"]) for r in language.document_languages(segs).collect()}
+    assert got == {("a", "pt", 0.5, 1), ("b", "en", 0.9, 1)}
