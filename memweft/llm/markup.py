@@ -56,17 +56,17 @@ _LINE = re.compile(
 _AT = {
     "<": re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)(?P<attrs>(?:\s+[^<>]*|\s*)?)(?P<self>/?)>", re.S),
     "&": re.compile(r"&(?:(?P<named>[A-Za-z][A-Za-z0-9]{1,30})|#(?P<dec>\d{1,7})|#[xX](?P<hex>[0-9A-Fa-f]{1,6}));"),
-    "\\": re.compile(r"\\(?:begin\{(?P<begin>\w+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?|end\{(?P<end>\w+\*?)\}|\[(?P<disp>.{1,2000}?)\\\]|\((?P<inl>[^\n]{1,400}?)\\\)|(?P<cmd>[A-Za-z]+)(?P<star>\*?)(?P<opt>\[[^\]\n]*\])?(?P<arg>\{(?P<body>[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*)\})?|(?P<esc>[%&$#_{}~^\\]))", re.S),
-    "$": re.compile(r"\$\$(?P<disp>.{1,2000}?)\$\$|\$(?P<inl>[^$\n]{1,300})\$", re.S),
-    "*": re.compile(r"(?P<run>\*{1,3})(?=\S)(?P<body>[^*\n]{1,400}?)(?<=\S)(?P=run)"),
-    "_": re.compile(r"(?P<run>_{1,3})(?=\S)(?P<body>[^_\n]{1,400}?)(?<=\S)(?P=run)(?![^\W_])"),
-    "~": re.compile(r"~~(?=\S)(?P<body>[^~\n]{1,400}?)(?<=\S)~~|~(?=\\)"),
+    "\\": re.compile(r"\\(?:begin\{(?P<begin>\w+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?|end\{(?P<end>\w+\*?)\}|\[(?P<disp>.+?)\\\]|\((?P<inl>[^\n]+?)\\\)|(?P<cmd>[A-Za-z]+)(?P<star>\*?)(?P<opt>\[[^\]\n]*\])?(?P<arg>\{(?P<body>[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*)\})?|(?P<esc>[%&$#_{}~^\\]))", re.S),
+    "$": re.compile(r"\$\$(?P<disp>.+?)\$\$|\$(?P<inl>[^$\n]+)\$", re.S),
+    "*": re.compile(r"(?P<run>\*{1,3})(?=\S)(?P<body>[^*\n]+?)(?<=\S)(?P=run)"),
+    "_": re.compile(r"(?P<run>_{1,3})(?=\S)(?P<body>[^_\n]+?)(?<=\S)(?P=run)(?![^\W_])"),
+    "~": re.compile(r"~~(?=\S)(?P<body>[^~\n]+?)(?<=\S)~~|~(?=\\)"),
     "`": re.compile(r"(?P<run>`{1,3})(?P<body>[^`\n]+)(?P=run)"),
-    "[": re.compile(r"\[\[(?P<wiki>[^\[\]\n]{1,400})\]\]|\[(?P<body>[^\[\]\n]{0,400})\](?:\((?P<url>[^()\s]{1,400})(?:\s+\"[^\"\n]*\")?\)|\[(?P<refid>[^\[\]\n]{0,80})\])|\[(?P<ext>(?:https?:)?//[^\s\]]+)(?:[ \t]+(?P<extlabel>[^\]\n]*))?\]|\[(?P<plain>[^\[\]\n]{1,80})\]"),
-    "!": re.compile(r"!\[(?P<body>[^\[\]\n]{0,400})\]\((?P<url>[^()\s]{1,400})(?:\s+\"[^\"\n]*\")?\)|!!"),
-    "{": re.compile(r"\{\{(?P<tpl>[^{}\n]{1,800}(?:\{\{[^{}\n]*\}\}[^{}\n]*)*)\}\}"),
+    "[": re.compile(r"\[\[(?P<wiki>[^\[\]\n]++)\]\]|\[(?P<body>[^\[\]\n]*+)\](?:\((?P<url>[^()\s]++)(?:\s+\"[^\"\n]*\")?\)|\[(?P<refid>[^\[\]\n]*+)\])|\[(?P<ext>(?:https?:)?//[^\s\]]+)(?:[ \t]+(?P<extlabel>[^\]\n]*))?\]|\[(?P<plain>[^\[\]\n]{1,80})\]"),
+    "!": re.compile(r"!\[(?P<body>[^\[\]\n]*+)\]\((?P<url>[^()\s]++)(?:\s+\"[^\"\n]*\")?\)|!!"),
+    "{": re.compile(r"\{\{(?P<tpl>[^{}\n]++(?:\{\{[^{}\n]*\}\}[^{}\n]*)*)\}\}"),
     "|": re.compile(r"\|\||\|(?=[ \t\n]|\Z)|\|\}"),
-    "'": re.compile(r"(?P<run>'{2,5})(?=[^'\s])(?P<body>[^'\n]{1,600}(?:'(?!')[^'\n]*)*?)(?P=run)"),
+    "'": re.compile(r"(?P<run>'{2,5})(?=[^'\s])(?P<body>[^'\n]++(?:'(?!')[^'\n]*)*?)(?P=run)"),
 }
 
 
@@ -92,6 +92,15 @@ def leaves(text: str) -> list[Leaf]:
     pos = start = 0
     n = len(text)
 
+    found_at: dict[str, int] = {}
+
+    def ahead(mark: str, at: int, none: int = -1) -> int:
+        """Where ``mark`` next stands at or after ``at``; each stretch of the text is searched once."""
+        last = found_at.get(mark, -2)
+        if last != -1 and last < at:
+            last = found_at[mark] = text.find(mark, at)
+        return none if last == -1 else last
+
     def push(leaf: Leaf) -> None:
         nonlocal start
         if leaf.start > start:
@@ -157,7 +166,9 @@ def leaves(text: str) -> list[Leaf]:
                 line = text[m.end() : line_end if line_end >= 0 else n].rstrip()
                 push(Leaf("cell", at, m.end(), m["cell"] + ("closed" if line.endswith("|") else "")))
             continue
-        m = _AT[c].match(text, p) if c in _AT else None
+        # without a closing mark the scan for it would run to the end of the text from each opening one
+        open_ended = c == "\\" and (text[p + 1 : p + 2] == "[" and not 0 <= p + 3 <= ahead("\\]", p + 3) or text[p + 1 : p + 2] == "(" and not p + 3 <= ahead("\\)", p + 3) < ahead("\n", p + 3, n))
+        m = _AT[c].match(text, p) if c in _AT and not open_ended else None
         if m is None or c == "_" and text[p - 1 : p].isalnum() or m[0] == "!!" and text[text.rfind("\n", 0, p) + 1 : p].lstrip()[:1] != "!":
             pos = p + 1
             continue

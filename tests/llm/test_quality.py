@@ -298,3 +298,24 @@ def test_chunks_of_ambiguous_sentences_have_a_language(spark):
     segs = spark.createDataFrame([(*r, True, 6) for r in rows] + [("c", None, 0, "en", 0.9, False, False, 2)], language.SEGMENTS)
     got = {(r["cid"], r["lang"], r["confidence"], r["n_langs"]) for r in language.document_languages(segs).collect()}
     assert got == {("a", "pt", 0.5, 1), ("b", "en", 0.9, 1)}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "type"),
+    [("$${}$$", "formula"), (r"\[{}\]", "formula"), (r"\({}\)", "formula"), ("${}$", "formula"), ("**{}**", "emph"), ("_{}_", "emph"), ("~~{}~~", "strike"), ("''{}''", "quotes"), ("{{{{t|{}}}}}", "template"), ("[[{}]]", "wlink"), ("[{}](http://x.y)", "mlink"), ("![{}](http://x.y)", "image")],
+)
+def test_long_constructs_are_one_leaf(pattern, type):
+    body = r"\alpha \leq " * 300 + "y" if type == "formula" else "abcd " * 700 + "y"
+    text = "Before. " + pattern.format(body) + " After."
+    got = [x for x in markup.leaves(text) if x.type == type]
+    assert [(x.start, x.end) for x in got] == [(8, len(text) - 7)]
+
+
+@pytest.mark.parametrize("mark", ["\\[", "\\(", "$$", "**", "{{", "[[", "''", "![", "__a"])
+def test_unclosed_marks_take_linear_time(mark):
+    import time
+
+    text = (mark + " a") * 40_000
+    began = time.process_time()
+    markup.leaves(text)
+    assert time.process_time() - began < 20
