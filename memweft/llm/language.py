@@ -325,7 +325,7 @@ def document_languages(segs: DataFrame) -> DataFrame:
         F.max("label").alias("label"), F.max("confidence").alias("confidence"), F.countDistinct("seg").alias("sentences"), F.min("ambiguous").alias("unsure")
     )
     own = W.partitionBy("cid")
-    first = F.row_number().over(own.orderBy("unsure", F.desc("confidence"), F.desc("sentences"), "lang"))
+    first = F.row_number().over(own.orderBy("unsure", F.desc("confidence"), "lang"))
     sure = per.withColumn("first", first).where("not unsure or first = 1").drop("unsure", "first")
     return sure.withColumn("n_langs", F.count(F.lit(1)).over(own))
 
