@@ -4,12 +4,16 @@ Only how many items have which length matters for a good packing, and there are
 lengths as the capacity. So the plan is made on the driver from that bounded histogram: the longest
 remaining length opens a container, a bitset subset-sum over the remaining multiset of lengths finds the
 sum closest to the room that is left, backtracking gives the counts, and the pattern is repeated as often
-as the counts allow. The items themselves stay distributed: each gets its rank among the items of
-its length and finds its container from the plan by that rank.
+as the counts allow. If that leaves more than ``SLACK`` above a proven lower bound, plans that open containers
+by any length over half the capacity, in a seeded order, are made too, and the one with the fewest containers
+is taken. The items themselves stay distributed: each gets its rank among the items of its length and finds
+its container from the plan by that rank.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .tokens import token_count
 
-#: Parts into which the items of one length are cut to rank them.
-SALTS = 64
+#: Items of one length that one task ranks; lengths of more items are cut into parts of this size on average.
+PART = 100_000
+#: Further plans that are tried, and the share above the lower bound at which none is.
+TRIES, SLACK = 6, 0.001
 
 
 def fill(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -52,21 +58,36 @@ def fill(room: int, counts: dict[int, int]) -> dict[int, int]:
     return used
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: items of it in one container}) so that all items are placed.
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A number of containers that no packing can go below.
 
-    Each step leaves some length with fewer items than the pattern needs, so that the number of
-    steps is bounded by capacity * log(capacity), however many items there are.
+    The largest bound of dual feasible functions: with (k + 1) * size not a multiple of the capacity, a length counts
+    floor((k + 1) * size / capacity) / k of a container, else its own share; lengths over capacity - e count whole where
+    those under e count nothing.
     """
+    size, n = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    best = -(-int((size * n).sum()) // capacity)
+    edges = sorted({0, *(int(s) for s in size if 2 * s <= capacity)})[-64:]
+    for k in range(1, 41):
+        whole, rest = np.divmod((k + 1) * size, capacity)
+        worth = np.where(rest == 0, k * size, whole * capacity)  # times k * capacity
+        for e in edges:
+            w = np.where(size > capacity - e, k * capacity, np.where(size < e, 0, worth))
+            best = max(best, -(-sum(int(a) * int(b) for a, b in zip(w, n)) // (k * capacity)))
+    return best
+
+
+def _planned(counts: dict[int, int], capacity: int, opener, share: int) -> list[tuple[int, dict[int, int]]]:
+    """One plan: ``opener`` picks the length that opens a container; a pattern takes 1/``share`` of what it could."""
     counts = {s: n for s, n in counts.items() if n > 0}
     out = []
     while counts:
-        top = max(counts)
+        top = opener(counts)
         rest = dict(counts)
         rest[top] -= 1
         used = fill(capacity - top, rest)
         used[top] = used.get(top, 0) + 1
-        times = min(counts[s] // n for s, n in used.items())
+        times = -(-min(counts[s] // n for s, n in used.items()) // share)
         for s, n in used.items():
             counts[s] -= n * times
             if not counts[s]:
@@ -75,6 +96,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
     return out
 
 
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: items of it in one container}) so that all items are placed.
+
+    Each step leaves some length with fewer items than the pattern needs, or takes half of what it could, so that
+    the number of steps is bounded by capacity * log(items).
+    """
+    if not any(counts.values()):
+        return []
+    size = lambda p: sum(t for t, _ in p)
+    best, least = _planned(counts, capacity, max, 1), None
+    for seed in range(TRIES):
+        if size(best) <= (1 + SLACK) * (least := least or least_bins(counts, capacity)):
+            break
+        rng = random.Random(seed)
+        other = _planned(counts, capacity, lambda c: rng.choice([s for s in c if 2 * s > capacity] or [max(c)]), 2)
+        best = min(best, other, key=size)
+    return best
+
+
 def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of documents with at least one token, written to scratch. Null ids and texts drop out."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", token_count(docs.sparkSession, F.col("text"), path).alias("n_tokens"))
@@ -91,12 +131,15 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     cut = F.when(F.col("n_tokens") > capacity, F.expr(f"sequence(0L, (n_tokens - 1) div {capacity})")).otherwise(F.array(F.lit(0).cast("long")))
     items = sizes.select("doc_id", "n_tokens", F.explode(cut).alias("piece"))
     items = items.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).alias("size"))
-    # ranks among equal lengths: within parts of a length, plus the counts of the parts before
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    counts = {int(r["size"]): int(r["n"]) for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    # ranks among equal lengths: within parts of a length, as many as its count asks for, plus the counts of the parts before
+    spark = sizes.sparkSession
+    hot = spark.createDataFrame([(s, -(-n // PART)) for s, n in counts.items() if n > PART], "size long, salts int")  # at most ``capacity`` rows
+    salts = F.coalesce("salts", F.lit(1))
+    items = items.join(F.broadcast(hot), "size", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int")).drop("salts")
     parts = items.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    parts = materialize(parts.select("size", "salt", "n", before.alias("before")))
-    counts = {int(r["size"]): int(r["n"]) for r in parts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    parts = parts.select("size", "salt", before.alias("before")).where("before > 0")
     # for each length: from which rank on its items go to which containers, how many in each
     table: dict[int, list] = {}
     taken = dict.fromkeys(counts, 0)
@@ -122,8 +165,10 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
             yield pd.DataFrame({"bin_id": out, "doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": size})
 
     own = F.row_number().over(W.partitionBy("size", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = items.withColumn("own", own).join(parts.select("size", "salt", "before"), ["size", "salt"])
-    ranked = ranked.select("doc_id", "piece", "size", (F.col("before") + F.col("own")).alias("rank"))
+    ranked = items.withColumn("own", own)
+    if any(n > PART for n in counts.values()):
+        ranked = ranked.join(parts, ["size", "salt"], "left").withColumn("own", F.col("own") + F.coalesce("before", F.lit(0)))
+    ranked = ranked.select("doc_id", "piece", "size", F.col("own").alias("rank"))
     return ranked.mapInPandas(place, "bin_id long, doc_id long, piece long, n_tokens long")
 
 

@@ -231,8 +231,9 @@ def test_fill_is_optimal(seed):
     assert sum(s * n for s, n in used.items()) == max(t for t in sums if t <= room)
 
 
-def test_plan_places_everything():
-    rng = np.random.default_rng(3)
+@pytest.mark.parametrize("seed", range(3, 8))
+def test_plan_places_everything(seed):
+    rng = np.random.default_rng(seed)
     counts = {int(s): int(rng.integers(1, 5000)) for s in rng.integers(1, 97, 60)}
     plan = packing.plan(counts, 96)
     left = dict(counts)
@@ -241,8 +242,48 @@ def test_plan_places_everything():
         for s, n in used.items():
             left[s] -= n * times
     assert not any(left.values()) and len(plan) < 96 * 12
-    bins = sum(t for t, _ in plan)
-    assert bins <= 1.02 * -(-sum(s * n for s, n in counts.items()) // 96) + 1 or bins <= sum(n for s, n in counts.items() if s > 48) * 1.05 + 1
+    bins, least = sum(t for t, _ in plan), packing.least_bins(counts, 96)
+    assert least >= -(-sum(s * n for s, n in counts.items()) // 96)
+    assert least <= bins <= 1.02 * least
+
+
+def test_lower_bound_is_never_above_a_best_packing():
+    """Against the best packing of a few items, by trying all."""
+
+    def best(items, cap):
+        if not items:
+            return 0
+        todo = [(tuple(sorted(items, reverse=True)), ())]
+        least = len(items)
+        while todo:
+            rest, bins = todo.pop()
+            if len(bins) >= least and rest:
+                continue
+            if not rest:
+                least = min(least, len(bins))
+                continue
+            for i in {b: i for i, b in enumerate(bins)}.values():
+                if bins[i] + rest[0] <= cap:
+                    todo.append((rest[1:], tuple(sorted(bins[:i] + (bins[i] + rest[0],) + bins[i + 1 :]))))
+            todo.append((rest[1:], (*bins, rest[0])))
+        return least
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        items = rng.integers(1, 21, rng.integers(1, 8)).tolist()
+        counts = {s: items.count(s) for s in set(items)}
+        least, got = best(items, 20), sum(t for t, _ in packing.plan(counts, 20))
+        assert packing.least_bins(counts, 20) <= least <= got
+
+
+def test_hot_lengths_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    sizes = spark.createDataFrame([(i, (5, 5, 5, 3, 9)[i % 5]) for i in range(200)], "doc_id long, n_tokens long")
+    rows = packing.pack(sizes, 10).collect()
+    bins = {}
+    for r in rows:
+        bins[r["bin_id"]] = bins.get(r["bin_id"], 0) + r["n_tokens"]
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 200 and max(bins.values()) <= 10 and sorted(bins) == list(range(len(bins)))
 
 
 @pytest.mark.parametrize(("mean", "cap"), [(0.3, 1), (0.9, 1), (1.7, 2), (3.5, 4), (0.01, 5)])
