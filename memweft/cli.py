@@ -67,12 +67,11 @@ def main(argv=None) -> int:
 
 def analyze(tenant: str | None, as_json: bool, spark=None) -> int:
     """Print how well recall works, from the log."""
-    from .obs import log_path
     from .operators import report
-    from .sources.querylog import read_log
+    from .sources.querylog import RecallLog, read_log
     from .vault import default_session
 
-    path = log_path()
+    path = RecallLog.configured().path
     if not path or not os.path.exists(path):
         print(f"No query log yet. Run some recalls first (log: {path or 'disabled'}).")
         return 0
@@ -81,7 +80,7 @@ def analyze(tenant: str | None, as_json: bool, spark=None) -> int:
     if not one["recalls"]:
         print("No recall events match.")
         return 0
-    tenants = sorted(((r["tenant"], r["n"]) for r in report.by_tenant(lines).collect()), key=lambda x: (-x[1], x[0]))
+    tenants = [(r["tenant"], r["n"]) for r in report.busiest_tenants(lines).collect()]
     if as_json:
         print(json.dumps({**one.asDict(), "by_tenant": dict(tenants)}, indent=2))
         return 0

@@ -21,6 +21,7 @@ def cache_home() -> str:
 class RecallConfig:
     """All settings of one vault; immutable, so that it can be closed over by plans."""
 
+    # The published names and defaults of the settings, down to the extensions.
     model: str = field(default_factory=lambda: os.environ.get(MODEL_ENV) or DEFAULT_MODEL)
     dim: int = 384
     chunk_chars: int = 1500

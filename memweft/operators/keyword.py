@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_tokens, query_terms
+from ..session import materialize
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Slots of the filter through which a scan's tokens pass; this bounds what a batch of queries sends along.
+SLOTS = 1 << 16
 
 
 def occurrences(chunks: DataFrame) -> DataFrame:
@@ -52,17 +55,40 @@ def term_frequencies(occ: DataFrame, phrases: DataFrame) -> DataFrame:
     return single.union(whole.groupBy("tenant", "phrase", "m", "cid").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, occ: DataFrame | None = None) -> DataFrame:
+def scanned(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(tenant, cid, dl, hits): each chunk's length and those of its tokens that the phrases may ask for, written to scratch.
+
+    A text is cut into tokens once. Tokens pass a table of ``SLOTS`` hash slots that the phrases fill, so what is
+    exploded and joined later is in proportion to what is asked, not to the corpus; a slot that two terms share
+    only lets a token through that the join then drops.
+    """
+    slot = lambda tenant, term: F.pmod(F.xxhash64(tenant, term), F.lit(SLOTS)).cast("int")
+    table = bytearray(SLOTS)
+    for r in phrases.select(slot(F.col("tenant"), F.col("term")).alias("s")).distinct().collect():  # at most SLOTS rows
+        table[r["s"]] = 1
+    asked = lambda e: F.substring(F.lit(bytes(table)), slot(F.col("tenant"), e["term"]) + 1, F.lit(1)) == F.lit(b"\x01")
+    placed = lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("term")))
+    # one lambda over the array of tokens, or the text would be cut for each of the two uses
+    both = F.transform(F.array(keyword_tokens("text")), lambda t: F.struct(F.greatest(F.size(t), F.lit(0)).alias("dl"), F.filter(placed(t), asked).alias("hits")))[0]
+    return materialize(chunks.select("tenant", "cid", both.alias("b")).select("tenant", "cid", "b.dl", "b.hits"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, occ: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(tenant, qid, cid, score) of all chunks of the query's tenant with any of its terms, higher is better.
 
     ``chunks`` (tenant, cid, text) has each cid once; ``queries`` is (tenant, qid, query). A term
     that occurs twice in a query counts twice. Frequencies are of the tenant alone, so one tenant's
-    text never shows in another's ranking. ``occ`` are stored occurrences of the chunks, if there are any.
+    text never shows in another's ranking. ``occ`` and ``lengths`` (tenant, cid, dl) are stored occurrences and
+    lengths of the chunks, if there are any.
     """
-    phrases = query_phrases(queries)
-    tf = term_frequencies(occurrences(chunks) if occ is None else occ, phrases)
+    phrases = materialize(query_phrases(queries))
+    if occ is None:
+        scan = scanned(chunks, phrases)
+        occ, lengths = scan.select("tenant", "cid", F.inline("hits")), scan.select("tenant", "cid", "dl")
+    elif lengths is None:
+        lengths = doc_lengths(chunks)
+    tf = term_frequencies(occ, phrases)
     df = tf.groupBy("tenant", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    lengths = doc_lengths(chunks)
     stats = corpus_stats(lengths)
     asked = phrases.groupBy("tenant", "qid", "ti").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("phrase"))
     asked = asked.groupBy("tenant", "qid", "phrase").agg(F.count(F.lit(1)).alias("times"))
@@ -81,9 +107,9 @@ def top(scored: DataFrame, k: int, by: list, per: list[str], rank: str) -> DataF
     return scored.withColumn(rank, r).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, pool: int, occ: DataFrame | None = None) -> DataFrame:
+def bm25_top(chunks: DataFrame, queries: DataFrame, pool: int, occ: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(tenant, qid, cid, score, fts_rank): the ``pool`` best of each query; equal scores (to nine digits) by cid."""
-    scored = bm25(chunks, queries, occ).withColumn("score", F.round("score", 9))
+    scored = bm25(chunks, queries, occ, lengths).withColumn("score", F.round("score", 9))
     return top(scored, pool, [F.desc("score"), F.asc("cid")], ["tenant", "qid"], "fts_rank")
 
 

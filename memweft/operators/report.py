@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,25 +13,24 @@ def recall_lines(log: DataFrame, tenant: str | None = None) -> DataFrame:
     return rows.where(F.col("tenant") == tenant) if tenant else rows
 
 
-def nth_of(lines: DataFrame, column: str, share: float) -> DataFrame:
-    """One row (n, v): the value at index int(n * share) of the sorted non-null values, null if n <= 2.
+def order_statistics(lines: DataFrame, column: str, places: dict[str, Column]) -> DataFrame:
+    """One row (n, names...): the values at given places of the sorted non-null values, null where there is none.
 
-    Sorted in ranges over the cluster; only the counts of the ranges are collected, then the one value.
+    ``places`` maps names to 0-based indices as expressions over ``n``, the number of values. Equal values are counted
+    before they are shuffled, then sorted in ranges over the cluster; a range's place comes from the counts of the
+    ranges before it, one row a range. No task has all values.
     """
     vals = lines.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    parts = counted.repartitionByRange("v").select("v", "c", F.spark_partition_id().alias("p"))
+    parts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("v").select("v", "c", F.spark_partition_id().alias("p"))
     sums = parts.groupBy("p").agg(F.sum("c").alias("s"))
-    from pyspark.sql import Window as W
-
-    before = sums.withColumn("before", F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("s"))
-    total = sums.agg(F.sum("s").alias("n"))
-    own = F.sum("c").over(W.partitionBy("p").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    at = F.floor(F.col("n") * F.lit(share))
-    placed = parts.join(F.broadcast(before), "p").join(F.broadcast(total), how="cross")
-    placed = placed.withColumn("end", F.col("before") + own)
-    hit = placed.where((F.col("end") > at) & (F.col("end") - F.col("c") <= at)).agg(F.max("v").alias("v"))
-    return total.join(hit, how="cross").select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 2, F.col("v")).alias("v"))
+    until = F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow))
+    before = sums.withColumn("before", until - F.col("s")).drop("s")  # one row a range
+    total = sums.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n"))
+    within = F.sum("c").over(W.partitionBy("p").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = parts.withColumn("end", within).join(F.broadcast(before), "p").join(F.broadcast(total), how="cross").withColumn("end", F.col("before") + F.col("end"))
+    at = lambda i: (F.col("end") > i) & (F.col("end") - F.col("c") <= i)
+    hit = placed.agg(*[F.max(F.when(at(i), F.col("v"))).alias(name) for name, i in places.items()])
+    return total.join(hit, how="cross")  # one row each
 
 
 def overall(lines: DataFrame) -> DataFrame:
@@ -42,11 +42,12 @@ def overall(lines: DataFrame) -> DataFrame:
     one = lines.agg(
         F.count(F.lit(1)).alias("recalls"),
         F.round(F.try_divide(F.count_if(F.coalesce("empty", F.lit(False))), F.count(F.lit(1))), 3).alias("empty_rate"),
-        F.round(F.median("latency_ms"), 1).alias("latency_p50_ms"),
         F.round(F.avg("top_score"), 5).alias("avg_top_score"),
     )
-    p95 = nth_of(lines, "latency_ms", 0.95).select(F.round("v", 1).alias("latency_p95_ms"))
-    return one.join(p95, how="cross").select("recalls", "empty_rate", "latency_p50_ms", "latency_p95_ms", "avg_top_score")  # one row each
+    n = F.col("n")
+    at = order_statistics(lines, "latency_ms", {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2), "high": F.floor(n * F.lit(0.95))})
+    at = at.select(F.round((F.col("lower") + F.col("upper")) / 2, 1).alias("latency_p50_ms"), F.round(F.when(n > 2, F.col("high")), 1).alias("latency_p95_ms"))
+    return one.join(at, how="cross").select("recalls", "empty_rate", "latency_p50_ms", "latency_p95_ms", "avg_top_score")  # one row each
 
 
 def by_tenant(lines: DataFrame) -> DataFrame:
@@ -57,3 +58,9 @@ def by_tenant(lines: DataFrame) -> DataFrame:
 def recent_misses(lines: DataFrame, n: int = 8) -> DataFrame:
     """The last n empty recalls in log order: (line_no, query), the query cut to 70 characters."""
     return lines.where("empty").orderBy(F.desc("line_no")).limit(n).select("line_no", F.substring("query", 1, 70).alias("query")).orderBy("line_no")
+
+
+def busiest_tenants(lines: DataFrame, n: int | None = None) -> DataFrame:
+    """(tenant, n): tenants by falling number of recalls, equal ones by name; the first ``n`` of them if given."""
+    rows = by_tenant(lines).orderBy(F.desc("n"), F.asc("tenant"))
+    return rows if n is None else rows.limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,13 @@ class HashEmbedder:
         self.dim = dim
 
     def counts(self, texts) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.int32)
-        for i, t in enumerate(texts):
-            for w in _WORD.findall((t or "").lower()):
-                at, sign = _slot(w, self.dim)
-                out[i, at] += sign
-        return out
+        """Signed counts of each text's slots; a word is hashed once however often a batch has it."""
+        found = [_WORD.findall((t or "").lower()) for t in texts]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        code, words = pd.factorize(np.array(list(chain.from_iterable(found)), object))
+        slot = np.array([_slot(w, self.dim) for w in words], np.int64).reshape(-1, 2)[code]
+        at = np.repeat(np.arange(len(found)), n) * self.dim + slot[:, 0]
+        return np.bincount(at, slot[:, 1], len(found) * self.dim).astype(np.int32).reshape(len(found), self.dim)
 
     def __call__(self, texts) -> np.ndarray:
         c = self.counts(texts).astype(np.float64)
@@ -93,42 +95,42 @@ def nearest(base: DataFrame, queries: DataFrame, group: str, k: int) -> DataFram
 
     Exact. Both sides are cut into blocks within their group, and each task compares one block of
     vectors with one block of queries by matrix product in double precision; only its k best for each
-    query leave it. Equal distances are in order of id. Rows whose vector is null or of another
-    length than the block's first query are left out.
+    query leave it. Equal distances are in order of id. A query is compared with vectors of its own length;
+    rows with a null group, id or vector are left out.
     """
-    sizes = base.groupBy(group).agg(F.count(F.lit(1)).alias("nb")).join(queries.groupBy(group).agg(F.count(F.lit(1)).alias("nq")), group)
-    cuts = sizes.select(group, F.ceil(F.col("nb") / BLOCK).cast("int").alias("bb"), F.ceil(F.col("nq") / QUERIES).cast("int").alias("qb"))
+    base = base.where(F.col(group).isNotNull() & F.col("id").isNotNull() & F.col("vec").isNotNull())
+    queries = queries.where(F.col(group).isNotNull() & F.col("qid").isNotNull() & F.col("vec").isNotNull())
+    sizes = base.groupBy(group).agg(F.count(F.lit(1)).alias("_nb")).join(queries.groupBy(group).agg(F.count(F.lit(1)).alias("_nq")), group)
+    cuts = sizes.select(group, F.ceil(F.col("_nb") / BLOCK).cast("int").alias("_bb"), F.ceil(F.col("_nq") / QUERIES).cast("int").alias("_qb"))
     id_type, q_type = base.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
     g_type = base.schema[group].dataType.simpleString()
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = base.where(F.col("vec").isNotNull()).join(cuts, group).select(group, own("id", "bb").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.col("id"), F.lit(None).cast(q_type).alias("qid"), "vec")
-    right = queries.where(F.col("vec").isNotNull()).join(cuts, group).select(group, F.explode(F.sequence(F.lit(0), F.col("bb") - 1)).alias("b"), own("qid", "qb").alias("q"), F.lit(None).cast(id_type).alias("id"), F.col("qid"), "vec")
-
-    def run(pdf):
-        is_q = pdf["qid"].notna().to_numpy()
-        b, q = pdf[~is_q], pdf[is_q]
-        empty = pd.DataFrame({group: [], "qid": [], "id": [], "dist": []})
-        if not len(b) or not len(q):
-            return empty
-        dim = len(q["vec"].iloc[0])
-        b, q = b[b["vec"].map(len) == dim].sort_values("id"), q[q["vec"].map(len) == dim]
-        if not len(b):
-            return empty
-        x, y = np.stack(b["vec"].tolist()).astype(float), np.stack(q["vec"].tolist()).astype(float)
-        sq, most = (x * x).sum(1), min(k, len(b))
-        out = []
-        for s in range(0, len(y), 256):
-            part = y[s : s + 256]
-            near = sq[None, :] - 2 * part @ x.T
-            # a few more than k, so that rounding in the product can't push out an equal one
-            some = min(len(b), most + 16)
-            at = np.argpartition(near, some - 1, axis=1)[:, :some] if some < len(b) else np.tile(np.arange(len(b)), (len(part), 1))
-            at.sort(axis=1)
-            d = np.sqrt(((x[at] - part[:, None, :]) ** 2).sum(2))
-            order = np.argsort(d, axis=1, kind="stable")[:, :most]
-            at, d = np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
-            out.append(pd.DataFrame({group: q[group].iloc[0], "qid": np.repeat(q["qid"].to_numpy()[s : s + len(part)], most), "id": b["id"].to_numpy()[at.ravel()], "dist": d.ravel()}))
-        return pd.concat(out)
-
-    found = left.unionByName(right).groupBy(group, "b", "q").applyInPandas(run, f"`{group}` {g_type}, qid {q_type}, id {id_type}, dist double")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # all columns are named anew, as both sides may come from one table
+    left = base.join(cuts, group).select(F.col(group).alias("_g"), own("id", "_bb").alias("_b"), each("_qb").alias("_q"), F.col("id").alias("_id"), F.col("vec").alias("_vec"))
+    right = queries.join(cuts, group).select(F.col(group).alias("_h"), each("_bb").alias("_c"), own("qid", "_qb").alias("_r"), F.col("qid").alias("_qid"), F.col("vec").alias("_asked"))
+
+    # the two sides come apart, so that no id passes through a column with nulls, where pandas would make it a double
+    def run(key, b, q):
+        out = [pd.DataFrame({group: [], "qid": [], "id": [], "dist": []})]
+        b = b.sort_values("_id")
+        blen, qlen = b["_vec"].map(len).to_numpy(int), q["_asked"].map(len).to_numpy(int)
+        for dim in np.intersect1d(blen, qlen):
+            ids, qids = b["_id"].to_numpy()[blen == dim], q["_qid"].to_numpy()[qlen == dim]
+            x, y = (np.stack(v.to_numpy()[n == dim]).astype(float) for v, n in ((b["_vec"], blen), (q["_asked"], qlen)))
+            sq, most = (x * x).sum(1), min(k, len(x))
+            for s in range(0, len(y), 256):
+                part = y[s : s + 256]
+                near = sq[None, :] - 2 * part @ x.T
+                # a few more than k, so that rounding in the product can't push out an equal one
+                some = min(len(x), most + 16)
+                at = np.argpartition(near, some - 1, axis=1)[:, :some] if some < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
+                at.sort(axis=1)
+                d = np.sqrt(((x[at] - part[:, None, :]) ** 2).sum(2))
+                order = np.argsort(d, axis=1, kind="stable")[:, :most]
+                at, d = np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
+                out.append(pd.DataFrame({group: key[0], "qid": np.repeat(qids[s : s + len(part)], most), "id": ids[at.ravel()], "dist": d.ravel()}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    found = left.groupBy("_g", "_b", "_q").cogroup(right.groupBy("_h", "_c", "_r")).applyInPandas(run, f"`{group}` {g_type}, qid {q_type}, id {id_type}, dist double")
     return top(found, k, [F.asc("dist"), F.asc("id")], [group, "qid"], "rank")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple] = []
+_bases: list[tuple] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new directory all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``, the folder the cluster shares. Only where that is
-    unset (tests, local mode) is a machine-local folder made, once per session.
+    It lies under ``spark.checkpoint.dir``, the folder the cluster shares. Only in local mode, where that may be
+    unset, is a machine-local folder made, once per session; on a cluster the setting must be there, as
+    executors that each write to a disk of their own would lose rows silently.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = getattr(spark.sparkContext, "_memweft_scratch", None)
         if local is None:
             local = "file://" + tempfile.mkdtemp(prefix="memweft-")
             spark.sparkContext._memweft_scratch = local
-            _made.append((spark.sparkContext, local))
+            _bases.append((spark.sparkContext, local))
         base = local
     return f"{base.rstrip('/')}/memweft-{uuid.uuid4().hex}"
 
@@ -54,9 +60,14 @@ def delete_path(sc, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@atexit.register
-def _clean() -> None:
-    for sc, path in _made:
+def release(since: int = 0) -> None:
+    """Delete the scratch tables made after the first ``since``; plans that read them are done then."""
+    _delete(_made[since:])
+    del _made[since:]
+
+
+def _delete(made) -> None:
+    for sc, path in made:
         try:
             if sc._jsc is not None:
                 delete_path(sc, path)
@@ -64,6 +75,19 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def scratch():
+    """Delete, at the end of the block, the scratch tables made in it. Results must have been written or collected by then."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        release(since)
+
+
+atexit.register(lambda: _delete(_made + _bases))
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable by the Python workers of every executor; once per application."""
     sc = spark.sparkContext

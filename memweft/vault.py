@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RecallConfig, cache_home
-from .obs import log_recall
 from .operators import vectors
 from .plans import index, recall
 from .session import ship
+from .sources import cards
+from .sources.querylog import Recall, RecallLog
 from .store import SnapshotStore
 
 
@@ -77,9 +78,17 @@ class Vault:
                 if not _damaged(e):
                     raise
                 self.heal()
-        log_recall(self.dir, query, hits, (time.perf_counter() - start) * 1000)
+        took = (time.perf_counter() - start) * 1000
+        RecallLog.configured().append(Recall(os.path.basename(self.dir), query, tuple((h["score"], h["file"]) for h in hits), time.time(), took))
         return hits
 
+    def record(self, content: str, title: str | None = None) -> str:
+        """Keep a fact as a note of its own and index it; returns the note's file name."""
+        fact = self.spark.range(1).select(F.lit(title).cast("string").alias("title"), F.lit(content).alias("content"), F.current_timestamp().alias("at"))
+        (row,) = cards.write_cards(fact, self.dir).collect()
+        self.reindex()
+        return row["file"]
+
     def heal(self) -> threading.Thread | None:
         """Rebuild in the background unless a rebuild is under way."""
         if not self._healing.acquire(blocking=False):

@@ -60,3 +60,70 @@ def test_log_reader_passes_over_bad_lines(spark, tmp_path):
     p.write_text('{"event":"recall","tenant":"t","query":"a","latency_ms":1}\nnot json\n{"event":"other"}\n{"event":"recall","query":"b","top_score":null}\n')
     rows = read_log(spark, str(p)).orderBy("line_no").collect()
     assert [r["event"] for r in rows] == ["recall", "other", "recall"] and rows[2]["tenant"] is None
+
+
+def test_log_of_rotated_files_is_read_in_order(spark, tmp_path):
+    """Files are read largest first by Spark, but the order of the log is by time of change."""
+    import json
+    import os
+
+    from memweft.operators import report
+    from memweft.sources.querylog import read_log
+
+    for k, n in enumerate((3, 400, 1)):
+        p = tmp_path / f"log-{9 - k}.jsonl"
+        p.write_text("".join(json.dumps({"event": "recall", "query": f"{k}-{i}", "empty": True}) + "\n" for i in range(n)))
+        os.utime(p, (1_000_000 + k, 1_000_000 + k))
+    rows = read_log(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r["query"] for r in rows] == [f"{k}-{i}" for k, n in enumerate((3, 400, 1)) for i in range(n)]
+    assert len({r["line_no"] for r in rows}) == 404
+    assert [r["query"] for r in report.recent_misses(read_log(spark, str(tmp_path)), 2).collect()] == ["1-399", "2-0"]
+
+
+def test_events_and_typed_lines_agree(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from memweft.sources import querylog as L
+
+    queries = spark.createDataFrame([("t", 1, "a"), ("t", 2, None)], "tenant string, qid long, query string")
+    hits = spark.createDataFrame([("t", 1, i, 1.0 / (i + 1), f"f{i}") for i in range(7)], "tenant string, qid long, pos int, score double, file string")
+    rows = {r["qid"]: r for r in L.recall_events(queries, hits, F.lit(5.00049), F.lit(1.26)).collect()}
+    assert rows[1]["n_results"] == 7 and len(rows[1]["scores"]) == L.HEAD and rows[1]["top_file"] == "f0" and not rows[1]["empty"]
+    assert rows[2]["empty"] and rows[2]["scores"] == [] and rows[2]["top_score"] is None and rows[2]["latency_ms"] == 1.3
+    log = L.RecallLog(str(tmp_path / "d" / "log.jsonl"))
+    log.append(L.Recall("t", "a", tuple((1.0 / (i + 1), f"f{i}") for i in range(7)), 5.00049, 1.26))
+    mine = json.loads(open(log.path).read())
+    theirs = json.loads(L.as_lines(L.recall_events(queries, hits, F.lit(5.00049), F.lit(1.26)).where("qid = 1")).first()["value"])
+    assert mine == theirs and list(mine) == [f.name for f in L.SCHEMA.fields]
+    L.RecallLog(None).append(L.Recall("t", "a", (), 0.0, 0.0))
+    L.RecallLog(str(tmp_path)).append(L.Recall("t", "a", (), 0.0, 0.0))  # a folder: dropped without an error
+
+
+def test_medians_and_percentiles_match_sorted_lists(spark):
+    from memweft.operators import report
+
+    for n in (0, 1, 2, 3, 20, 21):
+        vals = [float((i * 7) % 5) for i in range(n)]
+        lines = spark.createDataFrame([(v, False, 1.0) for v in vals] + [(None, None, None)], "latency_ms double, empty boolean, top_score double")
+        got = report.overall(lines).first()
+        s = sorted(vals)
+        assert got["latency_p50_ms"] == ((s[(n - 1) // 2] + s[n // 2]) / 2 if n else None)
+        assert got["latency_p95_ms"] == (s[int(n * 0.95)] if n > 2 else None)
+
+
+def test_neighbours_keep_any_id(spark):
+    from memweft.operators.vectors import nearest
+
+    big = 2**53
+    base = spark.createDataFrame([("g", big + 1, [1.0, 0.0]), ("g", big + 3, [1.0, 0.0]), ("g", -big - 5, [0.0, 1.0]), ("g", None, [1.0, 0.0]), ("g", 7, None), (None, 8, [1.0, 0.0]), ("g", 9, [1.0])], "g string, id long, vec array<float>")
+    asked = spark.createDataFrame([("g", big + 5, [1.0, 0.0]), ("g", big + 7, [0.0, 1.0]), ("g", 1, [2.0]), ("h", 2, [1.0, 0.0])], "g string, qid long, vec array<float>")
+    got = {}
+    for r in nearest(base, asked, "g", 2).orderBy("rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {big + 5: [big + 1, big + 3], big + 7: [-big - 5, big + 1], 1: [9]}
+    words = base.selectExpr("g", "concat('x', id) as id", "vec")
+    rows = nearest(words, asked.selectExpr("g", "cast(qid as string) as qid", "vec"), "g", 1).collect()
+    assert {(r["qid"], r["id"]) for r in rows} == {(str(big + 5), f"x{big + 1}"), (str(big + 7), f"x{-big - 5}"), ("1", "x9")}
+    assert nearest(base.limit(0), asked, "g", 2).count() == 0

@@ -7,7 +7,8 @@ import threading
 
 import pytest
 
-from memweft import RecallConfig, obs, server
+from memweft import RecallConfig, server
+from memweft.sources.querylog import RecallLog
 from memweft.vault import Vault
 
 
@@ -53,7 +54,7 @@ def test_index_edit_delete(make):
     full = v.reindex(full=True)
     assert full["files_reindexed"] == 2 and full["embedded"] == 0 and full["cached"] == 2
     # the log has a line for each search
-    lines = [json.loads(x) for x in open(obs.log_path())]
+    lines = [json.loads(x) for x in open(RecallLog.configured().path)]
     assert len(lines) == 5 and lines[0]["empty"] and lines[1]["top_file"] == "a.md"
 
 
@@ -129,5 +130,5 @@ def test_tool_server_and_command_line(make, capsys, monkeypatch, tmp_path):
     assert cli.analyze(None, True, v.spark) == 0 and '"recalls": 1' in capsys.readouterr().out
     assert cli.analyze("other", False, v.spark) == 0 and "No recall events match." in capsys.readouterr().out
     monkeypatch.setenv("MEMWEFT_LOG", "off")
-    assert obs.log_path() is None and cli.analyze(None, False, v.spark) == 0
+    assert RecallLog.configured().path is None and cli.analyze(None, False, v.spark) == 0
     assert "No query log yet" in capsys.readouterr().out
