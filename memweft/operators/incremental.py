@@ -1,20 +1,17 @@
 """Processing only new or changed records: a high-watermark over a monotonic commit sequence.
 
-``changed_files`` is the stateless comparison (what is due now), ``IncrementalRun`` the durable loop
-around it: the upper limit of the commit sequence is fixed when a run starts, the run's output is
-written to its own version folder, and one atomic rename publishes output and watermark together.
+``IncrementalRun`` is the durable operator: a run reads the watermark of the last one as its lower bound, fixes the
+upper limits of what it reads when it starts, reads only what lies between, and publishes its output, the state it
+leaves and the new watermark by one atomic rename. ``snapshot_diff`` compares whole tables without a state.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .commits import CommitLog
+
 
 def committed_runs(runs: DataFrame, upper: int | None = None) -> DataFrame:
     """``run_id`` of successful runs up to ``upper``: status ``committed`` in any letter case; null means killed."""
@@ -78,67 +75,114 @@ def changed_files(files: DataFrame, manifest: DataFrame, runs: DataFrame, upper:
     return snapshot_diff(files, manifest, runs, upper).where(F.col("state").isin("new", "changed")).select("tenant", "path", "mtime")
 
 
-class IncrementalRun:
-    """Exactly-once processing of changed files over a state folder.
+#: Files that one bucket of the state should hold, and the most buckets.
+BUCKET, MOST_BUCKETS = 250_000, 4096
+KNOWN = "struct<run:bigint,step:bigint,mtime:double>"
 
-    ``step(files, process)`` does one run: it reads the watermark (last committed run and its
-    manifest), fixes the listing's upper limit, processes only what changed, writes output and the
-    next manifest below ``runs/<n>-<token>/`` and then publishes both by renaming one small file.
-    A run that dies before the rename leaves no trace that a later run reads: nothing is skipped and
-    nothing comes out twice. Two runs that race for the same number cannot both win, since the
-    pointer of each number is created exclusively.
 
-    The folder must be on a file system with atomic link and rename (a shared POSIX mount).
+class IncrementalRun:
+    """Exactly-once processing of changed files over a state folder on a shared file system.
+
+    The state has a row for each file: its latest listing, and what is known of it, in buckets by hash of tenant and
+    path. A step reads of the listing only rows from the last step's upper time on (rows without a time are the
+    earliest and always looked at), of an earlier system's commit log only notes of runs above the last step's
+    highest run, and of the state only the buckets these touch; it rewrites no others. Runs up to the mark that hadn't
+    succeeded are kept in it by number, so that one that commits late is still read. Rows at a limit may be read twice,
+    which changes nothing, as the state keeps maxima.
+
+    Output, state and mark become current together when the step's entry in the commit log appears. A step that dies
+    before leaves nothing that a later one reads, so nothing is skipped and nothing comes out twice; of two steps that
+    race for a number one raises ``Conflict``. Listing rows must not arrive with a time below the mark.
     """
 
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(os.path.join(root, "runs"), exist_ok=True)
-        os.makedirs(os.path.join(root, "commits"), exist_ok=True)
+    def __init__(self, spark, root: str, buckets: int | None = None):
+        self.spark, self.buckets, self.log = spark, buckets, CommitLog(spark, root)
 
     def watermark(self) -> dict | None:
-        done = sorted((int(n) for n in os.listdir(os.path.join(self.root, "commits")) if n.isdigit()))
-        if not done:
-            return None
-        with open(os.path.join(self.root, "commits", str(done[-1]))) as f:
-            return json.load(f)
+        """The last committed entry: its number, the highest run and listing time read, runs still open, and folders."""
+        return self.log.last()
 
-    def manifest(self) -> DataFrame:
+    def _state_schema(self, time_type: str) -> str:
+        return f"tenant string, path string, seen struct<t:{time_type},m:double>, known {KNOWN}, due boolean"
+
+    def _state(self, mark: dict, buckets) -> DataFrame:
+        paths = [self.log.at(f"{mark['parts'][str(b)]}/state/bucket={b}") for b in buckets if str(b) in mark["parts"]]
+        schema = self._state_schema(mark["time_type"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def state(self) -> DataFrame:
+        """(tenant, path, seen, known, due) of every file, as of the last committed step; due: processed by its last step."""
         mark = self.watermark()
-        if mark is None:
-            return self.spark.createDataFrame([], "tenant string, path string, mtime double")
-        return self.spark.read.parquet(os.path.join(self.root, mark["dir"], "manifest"))
+        return self._state(mark, range(mark["buckets"])) if mark else self.spark.createDataFrame([], self._state_schema("timestamp"))
+
+    def output(self, entry: dict) -> DataFrame:
+        """What a committed step put out."""
+        return self.spark.read.parquet(self.log.at(f"{entry['folder']}/output"))
 
     def outputs(self) -> list[str]:
         """Folders of all committed outputs, oldest first."""
-        at = os.path.join(self.root, "commits")
-        out = []
-        for n in sorted(int(x) for x in os.listdir(at) if x.isdigit()):
-            with open(os.path.join(at, str(n))) as f:
-                out.append(os.path.join(self.root, json.load(f)["dir"], "output"))
-        return out
-
-    def step(self, files: DataFrame, process) -> dict:
-        """One run. ``process`` maps the changed (tenant, path, mtime) rows to the output rows."""
-        mark = self.watermark()
-        number = (mark["run"] if mark else 0) + 1
-        upper = files.agg(F.max("listed_at")).first()[0]
-        bounded = current_state(files, upper)
-        known = self.manifest().select("tenant", "path", F.col("mtime").alias("known_mtime"))
-        due = bounded.join(known, ["tenant", "path"], "left").where(~F.col("mtime").eqNullSafe(F.col("known_mtime"))).select("tenant", "path", "mtime")
-        rel = os.path.join("runs", f"{number}-{uuid.uuid4().hex}")
-        at = os.path.join(self.root, rel)
+        entries = map(self.log.read, self.log.numbers())
+        return [self.log.at(f"{e['folder']}/output") for e in entries if e["has_output"]]
+
+    def adopt(self, manifest: DataFrame, runs: DataFrame) -> dict:
+        """Take over what an earlier system's commit log says of the files: its successful notes since the mark."""
+        return self._advance(None, None, manifest, runs)
+
+    def step(self, files: DataFrame, process=lambda due: due, manifest: DataFrame | None = None, runs: DataFrame | None = None) -> dict:
+        """One run over a listing: ``process`` maps the due (tenant, path, mtime) rows to the output. Returns its entry."""
+        return self._advance(files, process, manifest, runs)
+
+    def _advance(self, files, process, manifest, runs) -> dict:
+        mark = self.watermark() or {"number": 0, "run": None, "listed": None, "open": [], "parts": {}, "buckets": self.buckets, "time_type": None}
+        number, low, listed = mark["number"] + 1, mark["run"], mark["listed"]
+        time_type = mark["time_type"] or (files.schema["listed_at"].dataType.simpleString() if files is not None else "timestamp_ntz")
+        # the upper limits, before anything else is read
+        run, still_open = low, mark["open"]
+        if runs is not None:
+            run = max(committed_runs(runs).agg(F.max("run_id")).first()[0] or 0, low or 0)
+            ok = committed_runs(runs).withColumn("ok", F.lit(True))
+            ids = runs.where(F.col("run_id") <= run).select("run_id").distinct().join(ok, "run_id", "left").where("ok IS NULL")
+            still_open = sorted(r["run_id"] for r in ids.collect())  # a number for each run that hasn't succeeded
+        upper = files.agg(F.max("listed_at").cast("string")).first()[0] if files is not None else None
+
+        empty = lambda t: F.lit(None).cast(t)
+        seen_type = f"struct<t:{time_type},m:double>"
+        rows = []
+        named = F.col("tenant").isNotNull() & F.col("path").isNotNull()
+        if files is not None:
+            at = F.col("listed_at").cast(time_type)
+            between = at <= F.lit(upper).cast(time_type)
+            between = between & (at >= F.lit(listed).cast(time_type)) if listed is not None else between
+            fresh = files.where(named & F.col("mtime").isNotNull() & (F.col("listed_at").isNull() | between))
+            rows.append(fresh.select("tenant", "path", F.struct(at.alias("t"), F.col("mtime").alias("m")).cast(seen_type).alias("seen"), empty(KNOWN).alias("known")))
+        if manifest is not None:
+            window = F.col("run_id") <= run
+            if low is not None:
+                window = window & ((F.col("run_id") > low) | F.col("run_id").isin(mark["open"] or [-1]))
+            notes = manifest.where(named & window).join(F.broadcast(committed_runs(runs)), "run_id", "left_semi")  # a number a run
+            note = F.struct(F.col("run_id").cast("long").alias("run"), F.lit(0).cast("long").alias("step"), F.col("mtime").alias("mtime"))
+            rows.append(notes.select("tenant", "path", empty(seen_type).alias("seen"), note.cast(KNOWN).alias("known")))
+        fresh = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        buckets = mark["buckets"] or min(MOST_BUCKETS, max(8, -(-fresh.count() // BUCKET)))
+        bucket = F.pmod(F.xxhash64("tenant", "path"), F.lit(buckets)).cast("int")
+        fresh = fresh.withColumn("bucket", bucket)
+        if mark["parts"]:
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most MOST_BUCKETS
+            fresh = fresh.unionByName(self._state(mark, touched).select("tenant", "path", "seen", "known").withColumn("bucket", bucket))
+        # one shuffle, by bucket, serves the merge and the write
+        merged = fresh.repartition("bucket").groupBy("bucket", "tenant", "path").agg(F.max("seen").alias("seen"), F.max("known").alias("known"))
+        due = F.lit(files is not None) & F.col("seen").isNotNull() & ~F.col("seen.m").eqNullSafe(F.col("known.mtime"))
+        ours = F.struct(F.lit(run or 0).cast("long").alias("run"), F.lit(number).cast("long").alias("step"), F.col("seen.m").alias("mtime"))
+        merged = merged.withColumn("due", due).withColumn("known", F.when(F.col("due"), ours).otherwise(F.col("known")))
+        folder = self.log.folder()
         try:
-            process(due).write.parquet(os.path.join(at, "output"))
-            bounded.select("tenant", "path", "mtime").write.parquet(os.path.join(at, "manifest"))
-            entry = {"run": number, "dir": rel, "upper": str(upper)}
-            pending = os.path.join(at, "commit.json")
-            with open(pending, "w") as f:
-                json.dump(entry, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.link(pending, os.path.join(self.root, "commits", str(number)))  # fails if another run won
+            merged.write.partitionBy("bucket").parquet(self.log.at(f"{folder}/state"))
+            written = self.spark.read.schema(self._state_schema(time_type) + ", bucket int").parquet(self.log.at(f"{folder}/state"))
+            parts = {str(r["bucket"]): folder for r in written.select("bucket").distinct().collect()}  # at most MOST_BUCKETS
+            if process is not None:
+                process(written.where("due").select("tenant", "path", F.col("seen.m").alias("mtime"))).write.parquet(self.log.at(f"{folder}/output"))
+            entry = {"run": run, "listed": max(filter(None, (upper, listed)), default=None), "open": still_open, "parts": {**mark["parts"], **parts}, "buckets": buckets, "time_type": time_type, "folder": folder, "has_output": process is not None}
+            return self.log.commit(number, entry)
         except BaseException:
-            shutil.rmtree(at, ignore_errors=True)
+            self.log.discard(folder)
             raise
-        return entry

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import RecallConfig
 from ..functions import text as T
 from ..operators import chunking, fusion, incremental, keyword, report, vectors
-from ..session import materialize, table
+from ..session import materialize, scratch_dir, table
 from . import recall as R
 
 CONFIG = RecallConfig(model="signed-hash-64", dim=64)
@@ -108,7 +108,24 @@ def _p6(spark, sf):
 
 
 def p6_found(spark, sf) -> DataFrame:
-    return incremental.changed_files(*_p6(spark, sf)).select("tenant", "path")
+    """The durable operator: it takes over the commit log, commits, and then runs over the listing from that mark."""
+    files, manifest, runs = (table(spark, sf, t) for t in ("files", "manifest", "runs"))
+    run = incremental.IncrementalRun(spark, scratch_dir(spark))
+    run.adopt(manifest, runs)
+    return run.output(run.step(files)).select("tenant", "path")
+
+
+def p6_deliveries(spark, sf) -> DataFrame:
+    """What each of three runs processes, the first over the first third of the listing's time, and so on; no file is known before."""
+    files = table(spark, sf, "files")
+    lo, hi = files.agg(F.min("listed_at"), F.max("listed_at")).first()
+    run = incremental.IncrementalRun(spark, scratch_dir(spark))
+    out = None
+    for k in (1, 2, 3):
+        entry = run.step(files.where(F.col("listed_at").isNull() | (F.col("listed_at") <= F.lit(lo + (hi - lo) * k // 3))))
+        one = run.output(entry).select("tenant", "path", "mtime", F.lit(k).alias("run"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p6_diff(spark, sf) -> DataFrame:
@@ -262,7 +279,7 @@ QUERIES = {
     for f in (
         recall_full, recall_plain, mmr_diversity, rrf_hybrid, bm25_scores, bm25_topk, corpus_stats, knn_l2, vector_ranks, temporal_decay, tenant_isolation, render_recall, hit_at_k_mrr,
         fts_tokens, fts_query_terms, chunk_markdown, strip_frontmatter, chunk_ids, chunk_dedup, provenance_dupes, evergreen_flag, ignore_globs, card_slug, snippets,
-        p6_found, p6_diff, snapshot_counters, embed_cache_counters, embed_misses, index_stats, analyze_overall, analyze_by_tenant, recent_misses, recall_event_json, windowed_recalls,
+        p6_found, p6_diff, p6_deliveries, snapshot_counters, embed_cache_counters, embed_misses, index_stats, analyze_overall, analyze_by_tenant, recent_misses, recall_event_json, windowed_recalls,
     )
 }
 
@@ -399,6 +416,12 @@ SELECT doc_id, seq::INTEGER AS seq, length(done)::INTEGER AS n, md5(done) AS chu
     "snippets": "SELECT DISTINCT cid, substr(text, 1, 100) AS snippet FROM chunks",
     "p6_found": f"WITH {_STATES} SELECT tenant, path FROM diff WHERE state IN ('new', 'changed')",
     "p6_diff": f"WITH {_STATES} SELECT tenant, path, mtime, known_mtime, state FROM diff",
+    "p6_deliveries": """WITH lim AS (SELECT min(listed_at) AS lo, epoch_us(max(listed_at)) - epoch_us(min(listed_at)) AS span FROM files),
+  k AS (SELECT unnest([1, 2, 3]) AS run),
+  st AS (SELECT run, tenant, path, arg_max(mtime, (coalesce(listed_at, TIMESTAMP '0001-01-01'), mtime)) AS mtime FROM files, lim, k
+    WHERE mtime IS NOT NULL AND tenant IS NOT NULL AND path IS NOT NULL AND (listed_at IS NULL OR listed_at <= lo + to_microseconds(span * run // 3)) GROUP BY ALL),
+  was AS (SELECT *, lag(mtime) OVER (PARTITION BY tenant, path ORDER BY run) AS old FROM st)
+SELECT tenant, path, mtime, run FROM was WHERE old IS NULL OR old <> mtime""",
     "snapshot_counters": f"WITH {_STATES} SELECT tenant, count(*) FILTER (state = 'new') AS n_new, count(*) FILTER (state = 'changed') AS n_changed, count(*) FILTER (state = 'unchanged') AS n_unchanged, count(*) FILTER (state = 'deleted') AS n_deleted FROM diff GROUP BY tenant",
     "embed_cache_counters": """WITH t AS (SELECT DISTINCT sha256(text) AS hash FROM chunks WHERE text IS NOT NULL), e AS (SELECT DISTINCT hash, model FROM emb_cache WHERE hash IS NOT NULL AND vec IS NOT NULL)
 SELECT m.model, count(t.hash) AS cached, (SELECT count(*) FROM t) - count(t.hash) AS to_embed FROM models m LEFT JOIN e ON e.model = m.model LEFT JOIN t ON t.hash = e.hash GROUP BY m.model""",

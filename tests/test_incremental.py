@@ -26,7 +26,7 @@ def test_states(spark):
 
 
 def test_runs_skip_and_repeat_nothing(spark, tmp_path):
-    run = I.IncrementalRun(spark, str(tmp_path))
+    run = I.IncrementalRun(spark, str(tmp_path), buckets=4)
     first = files(spark, [("t", f"p{i}", 1.0, T0) for i in range(5)])
     with pytest.raises(RuntimeError):
         run.step(first, lambda d: (_ for _ in ()).throw(RuntimeError("lost")))
@@ -35,10 +35,92 @@ def test_runs_skip_and_repeat_nothing(spark, tmp_path):
     second = first.union(files(spark, [("t", "p1", 2.0, T0 + dt.timedelta(1)), ("t", "p9", 1.0, T0 + dt.timedelta(1))]))
     with pytest.raises(RuntimeError):
         run.step(second, lambda d: (_ for _ in ()).throw(RuntimeError("lost")))
+    # another process opens the same folder
+    run = I.IncrementalRun(spark, str(tmp_path))
     run.step(second, lambda d: d)
     run.step(second, lambda d: d)
     out = [sorted(r["path"] for r in spark.read.schema("path string").parquet(p).collect()) for p in run.outputs()]
     assert out == [[f"p{i}" for i in range(5)], ["p1", "p9"], []]
+    assert run.step(first.limit(0))["number"] == 4 and run.state().count() == 6
+
+
+@pytest.mark.parametrize("at", ["state", "output", "commit"])
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_crash_around_each_write(spark, tmp_path, monkeypatch, at, when):
+    """A step that dies before its commit counts for nothing; one that dies after it has happened."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    class Crash(BaseException):
+        pass
+
+    run = I.IncrementalRun(spark, str(tmp_path), buckets=2)
+    run.step(files(spark, [("t", "a", 1.0, T0)]))
+    more = files(spark, [("t", "a", 2.0, T0 + dt.timedelta(1)), ("t", "b", 1.0, T0 + dt.timedelta(1))])
+
+    def dying(real):
+        def call(self, *a, **k):
+            hit = at == "commit" or str(a[0]).endswith(at)
+            if hit and when == "before":
+                raise Crash
+            got = real(self, *a, **k)
+            if hit:
+                raise Crash
+            return got
+
+        return call
+
+    if at == "commit":
+        monkeypatch.setattr(I.CommitLog, "commit", dying(I.CommitLog.commit))
+    else:
+        monkeypatch.setattr(DataFrameWriter, "parquet", dying(DataFrameWriter.parquet))
+    monkeypatch.setattr(I.CommitLog, "discard", lambda *a: None)  # the process is gone: nobody cleans up
+    with pytest.raises(Crash):
+        run.step(more)
+    monkeypatch.undo()
+    run = I.IncrementalRun(spark, str(tmp_path))
+    done = at == "commit" and when == "after"
+    assert run.watermark()["number"] == (2 if done else 1)
+    run.step(more)
+    got = [sorted((r["path"], r["mtime"]) for r in spark.read.parquet(p).collect()) for p in run.outputs()]
+    assert got == [[("a", 1.0)], [("a", 2.0), ("b", 1.0)]] + ([[]] if done else [])
+
+
+def test_only_one_of_two_racing_steps_commits(spark, tmp_path):
+    from memweft.operators.commits import Conflict
+
+    a, b = (I.IncrementalRun(spark, str(tmp_path), buckets=2) for _ in "ab")
+    listing = files(spark, [("t", "a", 1.0, T0)])
+
+    def slow(due):
+        b.step(listing)
+        return due
+
+    with pytest.raises(Conflict):
+        a.step(listing, slow)
+    assert len(a.outputs()) == 1 and a.watermark()["number"] == 1
+
+
+def test_lower_bounds_are_used(spark, tmp_path):
+    """Rows below the mark aren't read again, runs that commit late are, and the state of other buckets stays as it was."""
+    man = lambda rows: spark.createDataFrame(rows, "run_id int, tenant string, path string, mtime double")
+    runs = lambda rows: spark.createDataFrame(rows, "run_id int, status string")
+    run = I.IncrementalRun(spark, str(tmp_path), buckets=64)
+    notes = [(1, "t", "a", 1.0), (2, "t", "b", 1.0), (3, "t", "c", 1.0), (3, "t", "a", 3.0)]
+    run.adopt(man(notes), runs([(1, "committed"), (2, "running"), (3, "committed")]))
+    assert run.watermark()["run"] == 3 and run.watermark()["open"] == [2]
+    listing = files(spark, [("t", p, 1.0 if p != "a" else 3.0, T0) for p in "abc"])
+    # run 2 commits late; a note of run 1 that turns up now lies below the mark and isn't read
+    late = man([*notes, (1, "t", "z", 9.0)])
+    entry = run.step(listing, manifest=late, runs=runs([(1, "committed"), (2, "committed"), (3, "committed")]))
+    assert run.output(entry).count() == 0 and run.watermark()["open"] == []
+    assert {r["path"] for r in run.state().collect()} == {"a", "b", "c"}
+    before = run.watermark()["parts"]
+    entry = run.step(listing.union(files(spark, [("t", "a", 4.0, T0 + dt.timedelta(1)), ("t", "b", 8.0, T0 - dt.timedelta(1))])))
+    assert {tuple(r) for r in run.output(entry).collect()} == {("t", "a", 4.0)}
+    later = files(spark, [("t", "d", 1.0, T0 + dt.timedelta(2))])
+    entry = run.step(later)
+    changed = [b for b, f in run.watermark()["parts"].items() if f == entry["folder"]]
+    assert len(changed) == 1 and len(before) >= 2 and {tuple(r) for r in run.output(entry).collect()} == {("t", "d", 1.0)}
 
 
 def test_stream_equals_table(spark, tmp_path):
