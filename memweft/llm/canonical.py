@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting: canonical keys and an incremental ledger of their counts.
 
-The ledger is a table (bucket, key, copies, n_rows, first_cid, first_hash) in bucket folders. A batch is
-aggregated by canonical key, full-outer-joined with the matching buckets, counts are added and the
-earliest representative is kept; only buckets the batch touches are rewritten.
+The ledger is a table (bucket, key, copies, n_rows, first_cid, first_hash) in bucket folders, with the cids it has
+counted beside it. A batch is aggregated by canonical key, full-outer-joined with the matching buckets, counts are
+added and the earliest representative is kept; only buckets the batch touches are rewritten.
 """
 
 from __future__ import annotations
@@ -13,10 +13,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import delete_path, scratch_dir
+from ..operators.commits import CommitLog
+from ..session import scratch_dir
 from . import vectext as V
 
-LEDGER = "key string, copies long, n_rows long, first_cid string, first_hash string, bucket int"
+LEDGER = "key binary, copies long, n_rows long, first_cid string, first_hash string"
+MEMBERS = "key binary, cid string, hash string, n long, is_new boolean"
+#: Rows of a first batch that one bucket should get, and the most buckets.
+BUCKET, MOST_BUCKETS = 100_000, 8192
+#: Folders of members that a bucket may have before the next batch that touches it makes one of them.
+FOLDERS = 8
 #: One field: a one-word name, a colon or an equals sign, and a value.
 FIELD = r"(?s)^[\s\x{FEFF}]*[\p{L}\p{N}_\-]+\s*[:=].*[\p{L}\p{N}].*$"
 
@@ -27,7 +33,7 @@ def bare(text: Column) -> Column:
 
 
 def canonical_key(text: Column) -> Column:
-    """128-bit hex key under which texts that differ only in layout agree; null for a null text.
+    """128-bit key under which texts that differ only in layout agree; null for a null text.
 
     A text made up only of ``name: value`` or ``name = value`` fields, one per line or separated by
     ``;``, is compared as the sorted bag of its fields; any other text by its letters and digits in
@@ -36,7 +42,7 @@ def canonical_key(text: Column) -> Column:
     parts = F.filter(F.split(text, r"[\r\n;]+"), lambda p: p.rlike(r"[^\s\x{FEFF}]"))
     is_fields = (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(FIELD))
     fields = F.array_join(F.array_sort(F.transform(parts, bare)), "\u0001")
-    return F.when(text.isNotNull(), F.md5(F.when(is_fields, fields).otherwise(bare(text))))
+    return F.when(text.isNotNull(), F.unhex(F.md5(F.when(is_fields, fields).otherwise(bare(text)))))
 
 
 _FIELD = re.compile(r"[\s\ufeff]*[\w\-]+\s*[:=]")
@@ -60,91 +66,94 @@ def canonical_hashes(texts: list[str]) -> np.ndarray:
     return V.span_hashes(code[keep], at[:-1], at[1:]) if len(texts) else np.empty(0, V.U)
 
 
-def keyed(chunks: DataFrame, extra: Column | None = None) -> DataFrame:
-    """(cid, hash, key[, batch]) of every row that has a cid and a text; a null hash stays null."""
-    cols = [F.col("cid"), F.col("hash"), canonical_key(F.col("text")).alias("key")]
-    if extra is not None:
-        cols.append(extra.alias("batch"))
-    return chunks.where(F.col("cid").isNotNull() & F.col("text").isNotNull()).select(*cols)
-
-
-def aggregate_batch(rows: DataFrame, buckets: int) -> DataFrame:
-    """One ledger row per key of a batch. Repeated rows of one cid count once.
-
-    Both aggregations combine before they shuffle, so a record that holds a third of all rows costs
-    its task one row per map task.
-    """
-    per_cid = rows.groupBy("key", "cid").agg(F.max("hash").alias("hash"), F.count(F.lit(1)).alias("n"))
-    return per_cid.groupBy("key").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.sum("n").alias("n_rows"),
-        F.min(F.struct("cid", "hash")).alias("first"),
-    ).select(
-        "key", "copies", "n_rows", F.col("first.cid").alias("first_cid"), F.col("first.hash").alias("first_hash"),
-        F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
+def keyed(chunks: DataFrame) -> DataFrame:
+    """(cid, hash, key) of every row that has a cid and a text; a null hash stays null."""
+    return chunks.where(F.col("cid").isNotNull() & F.col("text").isNotNull()).select("cid", "hash", canonical_key(F.col("text")).alias("key"))
 
 
 class Ledger:
-    """Canonical-key counts in ``buckets`` folders, updated batch by batch.
-
-    Batches must not repeat a cid of an earlier batch (each is one delivery of new records); a cid
-    repeated within a batch counts once. "Earliest" is the smallest cid, so the result does not
-    depend on the order of the batches. An update writes a new version of the buckets it touches and
-    leaves the others; the list of (bucket, version) that is current is kept by the caller's Ledger
-    object and only changes after the write has succeeded.
+    """Canonical-key counts and their members in buckets by key, updated batch by batch; durable below ``root``.
+
+    The commit log below ``root`` says which folder holds each bucket and which batches are in; a Ledger opened on it
+    by another process goes on from there. An update writes the buckets it touches to a new folder and then
+    commits; one that dies before has not happened and can be tried again, and a batch name that is already in is
+    passed over. A cid that an earlier batch delivered isn't counted again in ``copies``, only in ``n_rows``.
+    "Earliest" is the smallest cid, so the result does not depend on the order of the batches. ``buckets`` is fixed by the
+    first batch: by default in proportion to its rows.
     """
 
-    def __init__(self, spark, root: str | None = None, buckets: int = 64):
+    def __init__(self, spark, root: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
-        self.root = root or scratch_dir(spark)
-        self.current: dict[int, str] = {}
-        self.updates = 0
+        self.log = CommitLog(spark, root or scratch_dir(spark))
 
-    def _read(self, which) -> DataFrame:
-        paths = [f"{self.current[b]}/bucket={b}" for b in which if b in self.current]
-        if not paths:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER.rpartition(",")[0]).parquet(*paths).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+    def _read(self, name: str, schema: str, mark: dict | None, which=None) -> DataFrame:
+        """The table ``name`` of the buckets in ``which`` (default: all)."""
+        parts = mark[name] if mark else {}
+        folders = [f"{f}/{name}/bucket={b}" for b, fs in parts.items() if which is None or int(b) in which for f in fs]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*map(self.log.at, folders))
 
     def table(self) -> DataFrame:
-        """The whole ledger."""
-        return self._read(sorted(self.current))
-
-    def update(self, rows: DataFrame) -> None:
-        """Add a batch of (cid, hash, key) rows."""
-        self.updates += 1
-        version = f"{self.root}/v{self.updates}"
-        new = aggregate_batch(rows, self.buckets)
-        if self.current:
-            # Buckets are few and their number is fixed; with a small batch only some are touched.
-            touched = [r[0] for r in new.select("bucket").distinct().collect()]
-            old = self._read(touched)
+        """The whole ledger: (key, copies, n_rows, first_cid, first_hash)."""
+        return self._read("ledger", LEDGER, self.log.last())
+
+    def members(self) -> DataFrame:
+        """(key, cid) of every cid counted, once."""
+        return self._read("members", MEMBERS, self.log.last()).where("is_new").select("key", "cid")
+
+    def update(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Add a batch of (cid, hash, key) rows. A ``batch`` of a name that is in already changes nothing.
+
+        Repeated rows of one cid count once. Every aggregation combines before it shuffles, so a record that holds a
+        third of all rows costs its task one row per map task and cid, or one per map task.
+        """
+        mark = self.log.last() or {"number": 0, "ledger": {}, "members": {}, "batches": [], "buckets": self.buckets}
+        if batch is not None and batch in mark["batches"]:
+            return
+        buckets = mark["buckets"] or min(MOST_BUCKETS, max(16, -(-rows.count() // BUCKET)))
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+        folder = self.log.folder()
+        # rebalanced, not repartitioned: the bucket of a hot record is cut into as many files as it needs
+        put = lambda df, name: df.hint("rebalance", F.col("bucket")).write.option("compression", "zstd").partitionBy("bucket").parquet(self.log.at(f"{folder}/{name}"))
+        per_cid = rows.groupBy("key", "cid").agg(F.max("hash").alias("hash"), F.count(F.lit(1)).alias("n"))
+        touched, crowded = None, set()
+        if mark["ledger"]:
+            # which cids are new: matched with the members of the same keys, which lie in the same buckets
+            touched = {r["bucket"] for r in rows.select(bucket).distinct().collect()}  # at most MOST_BUCKETS
+            crowded = {b for b in touched if len(mark["members"].get(str(b), [])) >= FOLDERS}
+            seen = self._read("members", MEMBERS, mark, touched).where("is_new").select("key", "cid", F.lit(True).alias("old"))
+            per_cid = per_cid.join(seen, ["key", "cid"], "left").select("key", "cid", "hash", "n", F.col("old").isNull().alias("is_new"), bucket)
         else:
-            touched, old = None, self.spark.createDataFrame([], LEDGER)
-        n, o = new.alias("n"), old.alias("o")
-        first = F.least(
-            F.when(F.col("o.first_cid").isNotNull(), F.struct(F.col("o.first_cid").alias("c"), F.col("o.first_hash").alias("h"))),
-            F.when(F.col("n.first_cid").isNotNull(), F.struct(F.col("n.first_cid").alias("c"), F.col("n.first_hash").alias("h"))),
-        )
-        add = lambda c: (F.coalesce(f"o.{c}", F.lit(0)) + F.coalesce(f"n.{c}", F.lit(0))).alias(c)
-        merged = n.join(o, (F.col("n.bucket") == F.col("o.bucket")) & (F.col("n.key") == F.col("o.key")), "full_outer").select(
-            F.coalesce("o.key", "n.key").alias("key"), add("copies"), add("n_rows"), first.alias("f"),
-            F.coalesce("o.bucket", "n.bucket").alias("bucket"),
-        )
-        merged = merged.select("key", "copies", "n_rows", F.col("f.c").alias("first_cid"), F.col("f.h").alias("first_hash"), "bucket")
-        # Few files: every bucket goes to one of the write tasks.
-        merged.repartition(min(self.buckets, 16), "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(version)
-        if touched is None:
-            touched = [int(d) for d in _buckets_of(self.spark, version)]
-        self.current |= {b: version for b in touched}
+            per_cid = per_cid.select("*", F.lit(True).alias("is_new"), bucket)
+        try:
+            put(per_cid, "members")
+            new = self.spark.read.schema(MEMBERS).parquet(self.log.at(f"{folder}/members")).groupBy("key")
+            new = new.agg(F.count_if("is_new").alias("copies"), F.sum("n").alias("n_rows"), F.min(F.when(F.col("is_new"), F.struct("cid", "hash"))).alias("first"))
+            if mark["ledger"]:
+                old = self._read("ledger", LEDGER, mark, touched).select("key", "copies", "n_rows", F.struct(F.col("first_cid").alias("cid"), F.col("first_hash").alias("hash")).alias("first"))
+                n, o = new.alias("n"), old.alias("o")
+                add = lambda c: (F.coalesce(f"o.{c}", F.lit(0)) + F.coalesce(f"n.{c}", F.lit(0))).alias(c)
+                earliest = F.when(F.col("o.first").isNull() | (F.col("n.first.cid") < F.col("o.first.cid")), F.col("n.first")).otherwise(F.col("o.first"))
+                new = n.join(o, F.col("n.key") == F.col("o.key"), "full_outer").select(F.coalesce("o.key", "n.key").alias("key"), add("copies"), add("n_rows"), earliest.alias("first"))
+            put(new.select("key", "copies", "n_rows", F.col("first.cid").alias("first_cid"), F.col("first.hash").alias("first_hash"), bucket), "ledger")
+            if crowded:
+                put(self._read("members", MEMBERS, mark, crowded).where("is_new").select("*", bucket), "older/members")
+            here = lambda name: {d["bucket"] for d in self._written(f"{folder}/{name}")}
+            ledger = {**mark["ledger"], **{str(b): [folder] for b in here("ledger")}}
+            members = {b: [f"{folder}/older"] if int(b) in crowded else fs for b, fs in mark["members"].items()}
+            for b in here("members"):
+                members[str(b)] = [*members.get(str(b), []), folder]
+            batches = [*mark["batches"], *([batch] if batch is not None else [])]
+            self.log.commit(mark["number"] + 1, {"ledger": ledger, "members": members, "buckets": buckets, "batches": batches})
+        except BaseException:
+            self.log.discard(folder)
+            raise
+
+    def _written(self, relative: str):
+        """The different buckets of a table that was just written (at most MOST_BUCKETS)."""
+        schema = (LEDGER if relative.endswith("ledger") else MEMBERS) + ", bucket int"
+        return self.spark.read.schema(schema).parquet(self.log.at(relative)).select("bucket").distinct().collect()
 
     def drop(self) -> None:
-        delete_path(self.spark.sparkContext, self.root)
-
-
-def _buckets_of(spark, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName().split("=")[1] for s in fs.listStatus(where) if s.getPath().getName().startswith("bucket=")]
+        self.log.drop()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import scratch_dir, table
 from . import canonical, knngraph, language, markup, mixing, neardup, packing, quantiles, spans
 
 
@@ -52,26 +52,27 @@ def p4_languages(spark, sf) -> DataFrame:
 
 
 # --- p5: duplicates hidden by formatting ---------------------------------------------------------
-def _ledger(spark, sf):
-    """The chunks in two deliveries, by tenant, added to a ledger one after the other."""
-    batch = F.pmod(F.crc32(F.coalesce("tenant", F.lit(""))), F.lit(2)).cast("int")
-    # a cid stands for one path and so for one tenant; its copies come with one delivery
-    rows = materialize(canonical.keyed(table(spark, sf, "chunks"), batch))
-    ledger = canonical.Ledger(spark)
-    for n in (0, 1):
-        ledger.update(rows.where(F.col("batch") == n))
-    return ledger.table(), rows
+def _ledger(spark, sf) -> canonical.Ledger:
+    """The chunks in two deliveries, by tenant, added to a ledger one after the other, the second delivered twice."""
+    chunks = table(spark, sf, "chunks")
+    half = F.pmod(F.crc32(F.coalesce("tenant", F.lit(""))), F.lit(2))
+    root = scratch_dir(spark)
+    canonical.Ledger(spark, root).update(canonical.keyed(chunks.where(half == 0)), "first")
+    ledger = canonical.Ledger(spark, root)  # as the next process would open it
+    for _ in range(2):
+        ledger.update(canonical.keyed(chunks.where(half == 1)), "second")
+    return ledger
 
 
 def p5_found(spark, sf) -> DataFrame:
-    ledger, rows = _ledger(spark, sf)
-    many = ledger.where("copies > 1").select("key", F.col("first_cid").alias("cid_first"))
-    copies = rows.select("key", F.col("cid").alias("cid_copy")).join(many, "key").where("cid_copy <> cid_first")
-    return copies.select("cid_first", "cid_copy").distinct()
+    ledger = _ledger(spark, sf)
+    many = ledger.table().where("copies > 1").select("key", F.col("first_cid").alias("cid_first"))
+    copies = ledger.members().withColumnRenamed("cid", "cid_copy")
+    return copies.join(many, "key").where("cid_copy <> cid_first").select("cid_first", "cid_copy")
 
 
 def p5_ledger(spark, sf) -> DataFrame:
-    return _ledger(spark, sf)[0].select("first_cid", "first_hash", "copies", "n_rows")
+    return _ledger(spark, sf).table().select("first_cid", "first_hash", "copies", "n_rows")
 
 
 # --- p7: percentiles -----------------------------------------------------------------------------

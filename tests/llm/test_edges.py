@@ -63,6 +63,35 @@ def test_ledger_records(spark, odd, none):
     assert empty.table().count() == ledger.table().count()
 
 
+def test_ledger_is_durable_and_counts_once(spark, tmp_path, monkeypatch):
+    def batch(rows):
+        return canonical.keyed(spark.createDataFrame([(c, None, t) for c, t in rows], "cid string, hash string, text string"))
+
+    root = str(tmp_path)
+    monkeypatch.setattr(canonical, "FOLDERS", 2)
+    canonical.Ledger(spark, root, buckets=4).update(batch([("c5", "Some text."), ("c6", "some TEXT"), ("c7", "other")]), "one")
+    open_ = lambda: canonical.Ledger(spark, root)
+    state = lambda: {r["first_cid"]: (r["copies"], r["n_rows"]) for r in open_().table().collect()}
+    open_().update(batch([("c9", "unused")]), "one")  # the same delivery again
+    assert state() == {"c5": (2, 3 - 1), "c7": (1, 1)}
+    # a crash between the tables and the commit leaves the ledger as it was, and the retry counts once
+    monkeypatch.setattr(canonical.CommitLog, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    more = batch([("c1", "some text"), ("c6", "Some Text"), ("c8", "new")])
+    with pytest.raises(KeyboardInterrupt):
+        open_().update(more, "two")
+    monkeypatch.undo()
+    monkeypatch.setattr(canonical, "FOLDERS", 2)
+    assert state() == {"c5": (2, 2), "c7": (1, 1)}
+    open_().update(more, "two")
+    want = {"c1": (3, 4), "c7": (1, 1), "c8": (1, 1)}  # c6 was delivered again: a row more, no copy more
+    assert state() == want
+    for k in range(4):
+        open_().update(batch([("c1", "some text"), (f"d{k}", "some text!")]), f"x{k}")
+    assert state() == {**want, "c1": (7, 12)}
+    members = open_().members().collect()
+    assert len(members) == len({r["cid"] for r in members}) == 9 and max(len(v) for v in open_().log.last()["members"].values()) <= 3
+
+
 def test_markup(odd, none):
     rows = {r["cid"]: r for r in markup.convert(odd).collect()}
     assert rows["c000"]["clean_text"] is None and rows["c000"]["kinds"] == []
