@@ -23,7 +23,7 @@ from ..session import materialize
 from . import vectext as V
 from .canonical import canonical_hashes
 from .components import components
-from .spans import LEAST_CELLS, MOST_CELLS, ROWS, merged_counts
+from .repeats import cells_for, counted_sketch, in_ranges, merged_counts
 
 #: Words in a k-mer and the least similarity, as the data's statement of the problem has them.
 K, THRESHOLD = 3, 0.6
@@ -165,22 +165,28 @@ def _offsets(batch, column: str) -> np.ndarray:
 def _maybe_shared(docs: DataFrame) -> DataFrame:
     """(cls, bucket) of the sketches that more than one chunk may have.
 
-    Most sketches occur once. A count-min sketch of fixed size that counts them, merged from the
-    tasks' own, drops those before anything is shuffled; it never counts too low.
+    Most sketches occur once. Count-min sketches drop those: while one sketch can hold them all, before anything is
+    shuffled, beyond that in the tasks of their hash ranges.
     """
     rows = docs.agg(F.count(F.lit(1))).first()[0]
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * rows * SKETCHES).bit_length()))
 
-    seen = docs.sparkSession.sparkContext.broadcast(merged_counts(docs.select("sketch"), lambda b: _flat(b, "sketch").view(V.U), cells, ROWS))
+    def keys(b):
+        cls = np.repeat(b.column("cls").to_numpy(zero_copy_only=False), np.diff(_offsets(b, "sketch")))
+        return _flat(b, "sketch").view(V.U), cls, np.zeros(len(cls), np.int32)
+
+    docs = docs.select("cls", "sketch")
+    sketch = counted_sketch(docs, keys, rows * SKETCHES, 4)
+    if sketch is None:
+        return in_ranges(docs, keys, rows * SKETCHES).select(F.col("owner").alias("cls"), F.col("h").alias("bucket"))
+    seen = docs.sparkSession.sparkContext.broadcast(sketch)  # at most MOST_CELLS counters
 
     def keep(batches):
         for b in batches:
-            h = _flat(b, "sketch").view(V.U)
+            h, cls, _ = keys(b)
             hit = seen.value.repeated(h)
-            cls = np.repeat(b.column("cls").to_numpy(zero_copy_only=False), np.diff(_offsets(b, "sketch")))
             yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(h[hit].view(np.int64))], ["cls", "bucket"])
 
-    return docs.select("cls", "sketch").mapInArrow(keep, "cls long, bucket long")
+    return docs.mapInArrow(keep, "cls long, bucket long")
 
 
 def _pairs_in(ids: str) -> F.Column:
@@ -209,19 +215,21 @@ def candidates(docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float
 def _texts_of(ids: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(cls, text) of one chunk for each class in ``ids`` (cls).
 
-    A sketch of fixed size of the wanted cids, which may let through too much but never too little,
-    keeps most other texts out of the shuffle of the join.
+    A sketch of the wanted cids, which may let through too much but never too little, keeps most other texts out of
+    the shuffle of the join; where it would be too large, the join does without.
     """
     one = materialize(docs.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("cid").alias("cid")))
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * one.count()).bit_length()))
-    hashed = lambda b: b.column("x").to_numpy(zero_copy_only=False).view(V.U)
-    wanted = docs.sparkSession.sparkContext.broadcast(merged_counts(one.select(F.xxhash64("cid").alias("x")), hashed, cells, ROWS))
+    some = chunks.where(F.col("cid").isNotNull() & F.col("text").isNotNull()).select("cid", "text")
+    cells = cells_for(one.count(), 4)
+    if cells:
+        hashed = lambda b: b.column("x").to_numpy(zero_copy_only=False).view(V.U)
+        wanted = docs.sparkSession.sparkContext.broadcast(merged_counts(one.select(F.xxhash64("cid").alias("x")), hashed, cells))
 
-    def keep(batches):
-        for b in batches:
-            yield b.filter(pa.array(wanted.value.counted(hashed(b)))).select(["cid", "text"])
+        def keep(batches):
+            for b in batches:
+                yield b.filter(pa.array(wanted.value.counted(hashed(b)))).select(["cid", "text"])
 
-    some = chunks.where(F.col("cid").isNotNull() & F.col("text").isNotNull()).select("cid", "text", F.xxhash64("cid").alias("x")).mapInArrow(keep, "cid string, text string")
+        some = some.select("cid", "text", F.xxhash64("cid").alias("x")).mapInArrow(keep, "cid string, text string")
     return some.join(one, "cid").dropDuplicates(["cid"]).select("cls", "text")
 
 

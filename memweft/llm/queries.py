@@ -123,13 +123,17 @@ def p10_found(spark, sf) -> DataFrame:
     return spans.found(table(spark, sf, "documents"))
 
 
+def p10_members(spark, sf) -> DataFrame:
+    return spans.members(table(spark, sf, "documents"))
+
+
 def p10_shared(spark, sf) -> DataFrame:
     return spans.shared_share(table(spark, sf, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared)
+    for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared, p10_members)
 }
 
 _KEYED = r"""
@@ -169,6 +173,8 @@ SELECT min(cid) AS first_cid, arg_min(hash, cid) AS first_hash, count(DISTINCT c
 SELECT tenant, 'latency_ms' AS field FROM lines WHERE isfinite(latency_ms) AND latency_ms >= 0 GROUP BY tenant HAVING quantile_cont(latency_ms, 0.95) > 400
 UNION ALL SELECT tenant, 'top_score' AS field FROM lines WHERE top_score IS NOT NULL AND NOT isnan(top_score) GROUP BY tenant HAVING median(top_score) < 0.02""",
     "p10_found": f"""WITH {_SPANS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.w = b.w AND a.doc_id < b.doc_id""",
+    "p10_members": """WITH d AS (SELECT DISTINCT doc_id, md5(text) AS text_key FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160)
+SELECT doc_id, text_key, min(doc_id) OVER (PARTITION BY text_key) AS first_id, count(*) OVER (PARTITION BY text_key) AS copies FROM d""",
     "p10_shared": f"""WITH {_SPANS},
   steps AS (SELECT doc_id, least(160, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 160)) AS c FROM hits),
   cover AS (SELECT doc_id, sum(c) AS c FROM steps GROUP BY doc_id),

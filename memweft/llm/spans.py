@@ -2,9 +2,9 @@
 
 A window is ``width`` code points of a text. Winnowing keeps the windows that are smallest in some
 run of ``length - width + 1`` starts, so two texts that share ``length`` code points verbatim share a
-kept window inside the span. Tasks count kept windows in count-min sketches of fixed size that are
-merged into one; a second pass groups exactly only windows that the sketch says may be repeated.
-The sketch never counts too low, so no repeated window is lost; counting too high only costs a row.
+kept window inside the span. Tasks count kept windows in count-min sketches (``repeats``); a second pass groups
+exactly only windows that a sketch says may be repeated. Sketches never count too low, so no repeated window
+is lost; counting too high only costs a row.
 
 Each occurrence carries the ``length - width`` code points to both sides of its window, which is all
 that is needed to decide whether the shared span around it reaches ``length``.
@@ -12,28 +12,23 @@ that is needed to decide whether the shared span around it reaches ``length``.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import vectext as V
+from .repeats import counted_sketch, in_ranges
 
 #: The least length of a shared span, and the width of a window.
 LENGTH, WIDTH = 160, 100
-#: Rows of the sketch, and the least and most two-bit counters in a row. The most take 32 MB a row; this
-#: bounds what is broadcast. Beyond some 100 million kept windows the prefilter lets more through, and
-#: the exact grouping after it has more rows to shuffle, but the result stays the same.
-ROWS = 2
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
 #: Groups of more exact copies than this are represented by their smallest member in pairs.
 COPIES = 1000
 #: Windows shared by more texts than this take the exact path through whole spans.
 CROWD = 64
+#: Texts with one span are cut into parts of this size on average when they are paired.
+PART = 1000
 
 
 def windows(texts: list[str], length: int = LENGTH, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,141 +60,63 @@ def windows(texts: list[str], length: int = LENGTH, width: int = WIDTH) -> tuple
     return h[keep], doc, keep - start[keep]
 
 
-class CountMin:
-    """Count-min sketch of two-bit saturating counters: 0, 1, or 2 and more."""
-
-    def __init__(self, cells: int, rows: int = ROWS):
-        self.cells, self.rows = cells, rows
-        self.seen = np.zeros((rows, cells // 8), np.uint8)
-        self.twice = np.zeros((rows, cells // 8), np.uint8)
-
-    def at(self, h: np.ndarray, row: int) -> np.ndarray:
-        return (V.mix(h + V.U(0x51ED270B * (row + 1))) & V.U(self.cells - 1)).astype(np.int64)
-
-    def add(self, h: np.ndarray) -> None:
-        for r in range(self.rows):
-            cell, n = np.unique(self.at(h, r), return_counts=True)
-            bit = (1 << (cell & 7)).astype(np.uint8)
-            again = (n > 1) | (self.seen[r, cell >> 3] & bit > 0)
-            np.bitwise_or.at(self.twice[r], cell[again] >> 3, bit[again])
-            np.bitwise_or.at(self.seen[r], cell >> 3, bit)
-
-    def repeated(self, h: np.ndarray) -> np.ndarray:
-        """Whether each window may have been counted more than once. Never wrongly false."""
-        out = np.ones(len(h), bool)
-        for r in range(self.rows):
-            cell = self.at(h, r)
-            out &= self.twice[r, cell >> 3] & (1 << (cell & 7)).astype(np.uint8) > 0
-        return out
-
-    def counted(self, h: np.ndarray) -> np.ndarray:
-        """Whether each hash may have been counted at all. Never wrongly false."""
-        out = np.ones(len(h), bool)
-        for r in range(self.rows):
-            cell = self.at(h, r)
-            out &= self.seen[r, cell >> 3] & (1 << (cell & 7)).astype(np.uint8) > 0
-        return out
-
-    def blocks(self, n: int = 32):
-        """(block number, compressed counters) of the blocks that aren't all zero."""
-        size = self.seen.size // n
-        for b in range(n):
-            s, t = self.seen.reshape(-1)[b * size : (b + 1) * size], self.twice.reshape(-1)[b * size : (b + 1) * size]
-            if s.any():
-                yield b, zlib.compress(s.tobytes() + t.tobytes(), 1)
-
-    @classmethod
-    def merged(cls, rows, cells: int, depth: int, n: int = 32) -> CountMin:
-        out = cls(cells, depth)
-        size = out.seen.size // n
-        for b, data in rows:
-            s, t = merge_counters([data], size)
-            out.seen.reshape(-1)[b * size : (b + 1) * size] = s
-            out.twice.reshape(-1)[b * size : (b + 1) * size] = t
-        return out
-
-
-def cells_for(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> int:
-    """Counters in a row: about eight for each window that winnowing will keep, within the bounds."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    windows = 2 * chars // (length - width + 2)
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (8 * windows).bit_length()))
-
-
-def merge_counters(parts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Add compressed blocks of counters, saturating at two."""
-    s, t = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-    for data in parts:
-        raw = np.frombuffer(zlib.decompress(data), np.uint8)
-        t |= raw[size:] | (s & raw[:size])
-        s |= raw[:size]
-    return s, t
-
-
-def merged_counts(df: DataFrame, hashes, cells: int, rows: int = ROWS, blocks: int = 32) -> CountMin:
-    """The merged sketch of the hashes that ``hashes`` finds in each Arrow batch of ``df``.
-
-    Each task sends the nonzero blocks of its sketch, blocks are merged by number on the executors,
-    and only the one merged sketch, whose size is fixed, comes to the driver.
-    """
-
-    def count(batches):
-        own = CountMin(cells, rows)
-        for batch in batches:
-            own.add(hashes(batch))
-        got = list(own.blocks(blocks))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], ["block", "data"])
-
-    size = rows * cells // 8 // blocks
-
-    def merge(key, pdf):
-        s, t = merge_counters(pdf["data"], size)
-        return pd.DataFrame({"block": [key[0]], "data": [zlib.compress(s.tobytes() + t.tobytes(), 1)]})
+def _kept(docs, length: int, width: int):
+    """Keys of a batch of (doc_id, text): the kept windows, their document and where they start."""
+    texts, ids, out = docs.column("text").to_pylist(), docs.column("doc_id").to_numpy(zero_copy_only=False), []
+    for i, j in V.blocks(texts):
+        h, doc, pos = windows(texts[i:j], length, width)
+        out.append((h, ids[doc + i], pos.astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, V.U), np.empty(0, np.int64), np.empty(0, np.int32))
 
-    parts = df.mapInArrow(count, "block int, data binary")
-    return CountMin.merged([(r["block"], bytes(r["data"])) for r in parts.groupBy("block").applyInPandas(merge, "block int, data binary").collect()], cells, rows, blocks)
 
+OCCURRENCES = "h long, same string, doc_id long, pos int, around string, lead int"
 
-def repeated_sketch(docs: DataFrame, length: int, width: int, cells: int, rows: int = ROWS) -> CountMin:
-    """The merged sketch of all kept windows of ``docs`` (text)."""
 
-    def hashes(batch):
-        texts, out = batch.column("text").to_pylist(), [np.empty(0, V.U)]
-        for i, j in V.blocks(texts):
-            h, doc, _ = windows(texts[i:j], length, width)
-            # a window repeated within one text is no repetition
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            out.append(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h)
-        return np.concatenate(out)
-
-    return merged_counts(docs.select("text"), hashes, cells, rows)
-
-
-def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, cells: int | None = None, rows: int = ROWS) -> DataFrame:
+def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
     """(h, same, doc_id, pos, around, lead) of windows that may be repeated, written to scratch.
 
     ``same`` names the text (128-bit hash); copies of one text keep one occurrence, that of the
     smallest doc_id. ``around`` is the window with its context, ``lead`` how much of it is before.
+    While one sketch can hold the windows, it is broadcast and the windows are found again; beyond that, windows that may be repeated come
+    back from their hash ranges and are joined with their texts.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select("doc_id", "text")
-    cells = cells or cells_for(usable, length, width)
-    sketch = docs.sparkSession.sparkContext.broadcast(repeated_sketch(usable, length, width, cells, rows))
+    chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_windows = 2 * chars // (length - width + 2)
+    keys = lambda batch: _kept(batch, length, width)
+    sketch = counted_sketch(usable, keys, n_windows)
     side = length - width
-
-    def find(batches):
-        for pdf in batches:
-            texts, ids, same = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["same"].to_numpy()
-            for i, j in V.blocks(texts):
-                h, doc, pos = windows(texts[i:j], length, width)
-                hit = np.flatnonzero(sketch.value.repeated(h))
-                doc = doc[hit] + i
-                pos = pos[hit]
-                lead = np.minimum(pos, side)
-                around = [texts[d][p - k : p + width + side] for d, p, k in zip(doc.tolist(), pos.tolist(), lead.tolist())]
-                yield pd.DataFrame({"h": h[hit].view(np.int64), "same": same[doc], "doc_id": ids[doc], "pos": pos, "around": around, "lead": lead})
-
-    got = usable.withColumn("same", F.md5("text")).mapInPandas(find, "h long, same string, doc_id long, pos int, around string, lead int")
+    named = usable.withColumn("same", F.md5("text"))
+
+    def cut(texts, ids, same, h, doc, pos):
+        lead = np.minimum(pos, side)
+        around = [texts[d][p - k : p + width + side] for d, p, k in zip(doc.tolist(), pos.tolist(), lead.tolist())]
+        return pd.DataFrame({"h": h.view(np.int64), "same": same[doc], "doc_id": ids[doc], "pos": pos, "around": around, "lead": lead})
+
+    if sketch is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(sketch)  # at most MOST_CELLS counters
+
+        def find(batches):
+            for pdf in batches:
+                texts, ids, same = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["same"].to_numpy()
+                for i, j in V.blocks(texts):
+                    h, doc, pos = windows(texts[i:j], length, width)
+                    hit = np.flatnonzero(shared.value.repeated(h))
+                    yield cut(texts, ids, same, h[hit], doc[hit] + i, pos[hit])
+
+        got = named.mapInPandas(find, OCCURRENCES)
+    else:
+        back = in_ranges(usable, keys, n_windows)
+        places = back.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))  # the windows of one text
+
+        def place(batches):
+            for pdf in batches:
+                n = pdf["hs"].map(len).to_numpy(np.int64)
+                if n.sum():
+                    h, pos = (np.concatenate(pdf[c].to_list()) for c in ("hs", "places"))
+                    yield cut(pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["same"].to_numpy(), h, np.repeat(np.arange(len(pdf)), n), pos.astype(np.int64))
+
+        got = named.join(places, "doc_id").mapInPandas(place, OCCURRENCES)
     one = got.groupBy("h", "same", "pos").agg(F.min(F.struct("doc_id", "lead", "around")).alias("o"))
     return materialize(one.select("h", "same", F.col("o.doc_id").alias("doc_id"), "pos", F.col("o.around").alias("around"), F.col("o.lead").alias("lead")))
 
@@ -271,9 +188,8 @@ class Shared:
         """(sa, sb): pairs of texts that share a span."""
         got = self.pairs.select("sa", "sb")
         if self.spans is not None:
-            one = self.spans.groupBy("h", "span", "same").agg(F.min("doc_id").alias("d"))
-            a, b = (one.select("h", "span", F.col("same").alias(f"s{t}"), F.col("d").alias(f"d{t}")) for t in "ab")
-            got = got.union(a.join(b, ["h", "span"]).where("da < db").select("sa", "sb"))
+            one = materialize(self.spans.groupBy("h", "span", "same").agg(F.min("doc_id").alias("d")))
+            got = got.union(_paired(one, ["h", "span"], "same", "d"))
         return got.distinct()
 
     def covered(self) -> DataFrame:
@@ -288,6 +204,19 @@ class Shared:
         return at.select("same", (F.col("pos") - F.col("left")).alias("p"), (F.col("pos") + self.width + F.col("right")).alias("e"))
 
 
+def _paired(rows: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
+    """(sa, sb): the names of every two rows that agree in ``keys``, the one of smaller ``order`` first.
+
+    Rows of a key with more than ``PART`` of them are cut into parts by hash, and each two parts meet in a task of their own.
+    """
+    hot = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("n")).where("n > 1")
+    rows = rows.join(hot, keys, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(name, F.lit("part")), F.col("n")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = rows.select(*keys, F.col(name).alias("sa"), F.col(order).alias("da"), F.col("own").alias("pa"), each.alias("pb"))
+    b = rows.select(*keys, F.col(name).alias("sb"), F.col(order).alias("db"), each.alias("pa"), F.col("own").alias("pb"))
+    return a.join(b, [*keys, "pa", "pb"]).where("da < db").select("sa", "sb")
+
+
 def _copies(docs: DataFrame, length: int) -> DataFrame:
     """(same, doc_id) of all documents long enough to share a span."""
     return docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select(F.md5("text").alias("same"), "doc_id").distinct()
@@ -345,3 +274,14 @@ def shared_share(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     got = per_doc.join(copies, "same", "left").join(cover, "same", "left")
     shared = F.when(F.col("k") > 1, F.col("n_chars")).otherwise(F.coalesce("c", F.lit(0))).cast("long")
     return got.select("doc_id", "n_chars", shared.alias("shared_chars"), F.round(F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0)), 6).alias("share"))
+
+
+def members(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, text_key, first_id, copies): the text of each document that can share a span, and who else has it.
+
+    ``first_id`` is the smallest doc_id of the text, which stands for it in the pairs of ``found`` where its copies are
+    more than ``COPIES``; with this table every pair of documents can be told from those.
+    """
+    rows = _copies(docs, length)
+    groups = rows.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return rows.join(groups, "same").select("doc_id", F.col("same").alias("text_key"), "first_id", "copies")

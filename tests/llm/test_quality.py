@@ -3,10 +3,11 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from memweft.llm import knngraph, language, markup, mixing, neardup, packing, quantiles, spans
+from memweft.llm import knngraph, language, markup, mixing, neardup, packing, quantiles, repeats, spans
 from memweft.llm import queries as Q
 from memweft.llm import vectext as V
 
@@ -82,7 +83,8 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert want and want <= got
 
 
-def test_crowded_windows_lose_no_pair(spark):
+def test_crowded_windows_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PART", 4)
     rng = np.random.default_rng(4)
     word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     core, near = word(170), word(150)
@@ -97,21 +99,90 @@ def test_crowded_windows_lose_no_pair(spark):
 def test_count_min_never_counts_too_low():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 5000).astype(V.U)
-    parts = [np.concatenate([h[:3000], h[:200]]), h[2000:]]
-    sketches = []
-    for p in parts:
-        s = spans.CountMin(1 << 16)
+    rows = []
+    for p in (np.concatenate([h[:3000], h[:200]]), h[2000:]):
+        s = repeats.CountMin(1 << 16)
         s.add(p)
-        sketches.append(dict(s.blocks(8)))
-    merged = spans.CountMin(1 << 16)
-    size = merged.seen.size // 8
-    for b in range(8):
-        s, t = spans.merge_counters([x[b] for x in sketches if b in x], size)
-        merged.seen.reshape(-1)[b * size : (b + 1) * size], merged.twice.reshape(-1)[b * size : (b + 1) * size] = s, t
+        rows += s.blocks(8)
+    size = 2 * (1 << 16) // 8 // 8
+    whole = pd.concat(repeats.folded([pd.DataFrame(sorted(rows), columns=["block", "data"])], size))
+    merged = repeats.CountMin.of(zip(whole["block"], whole["data"]), 1 << 16, repeats.ROWS, 8)
     hit = merged.repeated(h)
     assert hit[:200].all() and hit[2000:3000].all() and hit[3000:].mean() < 0.1
 
 
+def test_folding_many_tasks_holds_one_block():
+    """Sketches of 2,000 tasks are folded in the memory of a few blocks."""
+    import tracemalloc
+    import zlib
+
+    size, tasks = 1 << 15, 2000
+    one = zlib.compress(np.random.default_rng(1).integers(0, 256, 2 * size).astype(np.uint8).tobytes(), 1)
+    batches = (pd.DataFrame({"block": [b] * 50, "data": [one] * 50}) for b in range(4) for _ in range(tasks // 50))
+    tracemalloc.start()
+    got = list(repeats.folded(batches, size))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, got)) == 4 and peak < 40 * size
+
+
+def test_merged_counts_over_many_tasks(spark):
+    df = spark.range(40_000).repartition(200).selectExpr("xxhash64(id % 39000) as x")
+    sketch = repeats.merged_counts(df, lambda b: b.column("x").to_numpy(zero_copy_only=False).view(V.U), 1 << 20)
+    h = np.array([r["x"] for r in spark.range(39_000).selectExpr("xxhash64(id) as x").collect()]).view(V.U)
+    hit = sketch.repeated(h)
+    assert hit[:1000].all() and hit[1000:].mean() < 0.02 and sketch.counted(h).all()
+
+
+def test_hash_ranges_lose_no_repeated_key(spark, monkeypatch):
+    """Many small blocks and ranges; one key has a third of all rows, some owners have a key at several places."""
+    monkeypatch.setattr(repeats, "BLOCK", 500)
+    monkeypatch.setattr(repeats, "RANGE", 1000)
+    rng = np.random.default_rng(2)
+    key = np.where(rng.random(12_000) < 0.33, 7, rng.integers(100, 10**9, 12_000))
+    key[11_000:] = key[:1000]  # each of these twice, far apart
+    own = np.arange(12_000)
+    own[5000:5400] = 5000  # one owner: repeated keys of its own are no repetition
+    key[5000:5400] = 55
+    df = spark.createDataFrame(pd.DataFrame({"k": key, "o": own})).repartition(7)
+    keys = lambda b: (V.mix(b.column("k").to_numpy().view(V.U)), b.column("o").to_numpy(), (b.column("o").to_numpy() * 2).astype(np.int32))
+    got = repeats.in_ranges(df, keys, 12_000).toPandas()
+    mixed = V.mix(key.astype(V.U)).view(np.int64)
+    owners = pd.DataFrame({"h": mixed, "o": own}).drop_duplicates().groupby("h").size()
+    many = set(owners.index[owners > 1])
+    want = {(h, o) for h, o in zip(mixed, own) if h in many}
+    have = set(zip(got["h"], got["owner"]))
+    assert want <= have and (got["place"] == got["owner"] * 2).all()
+    single = len(set(zip(mixed, own))) - len(want)
+    assert len(have - want) < 0.1 * single  # of what is single, less than a tenth is shuffled again
+
+
+@pytest.fixture
+def small_sketches(monkeypatch):
+    monkeypatch.setattr(repeats, "LEAST_CELLS", 1 << 10)
+    monkeypatch.setattr(repeats, "MOST_CELLS", 1 << 16)
+    monkeypatch.setattr(repeats, "RANGE", 1 << 13)
+    monkeypatch.setattr(repeats, "BLOCK", 1 << 12)
+
+
+def test_results_do_not_depend_on_the_size_of_sketches(spark, duck, small_sketches):
+    """Beyond the largest sketch, hash ranges give the same pairs; few single windows come through."""
+    big = "/root/testdata/sf0.01"
+    docs, chunks = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/chunks.parquet")
+    assert repeats.cells_for(docs.agg(F.sum(F.length("text"))).first()[0] // 31) is None
+    occ = spans.occurrences(docs)
+    got = {tuple(r) for r in spans.Shared(occ).links().collect()}
+    texts = {r["text"] for r in docs.where(f"length(text) >= {spans.LENGTH}").select("text").distinct().collect()}
+    windows = spans.windows(sorted(texts))
+    n, alone = len(windows[0]), occ.groupBy("h").agg(F.countDistinct("same").alias("k")).where("k = 1").count()
+    assert alone < 0.1 * n
+    few = {tuple(r) for r in neardup.found(chunks).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(repeats, "MOST_CELLS", 1 << 27)
+        assert got == {tuple(r) for r in spans.Shared(spans.occurrences(docs)).links().collect()}
+        assert few == {tuple(r) for r in neardup.found(chunks).collect()}
+
+
 def test_quantiles_within_their_bound():
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.exponential(50, 60_000), np.full(30_000, 7.0)])
@@ -298,6 +369,8 @@ def test_huge_groups_of_copies_are_stars(spark, monkeypatch):
     docs = spark.createDataFrame([(i, text) for i in range(12)] + [(20, text[:200] + "#")], "doc_id long, text string")
     got = {tuple(r) for r in spans.found(docs).collect()}
     assert got == {(0, i) for i in range(1, 12)} | {(0, 20)}
+    of = {r["doc_id"]: (r["first_id"], r["copies"]) for r in spans.members(docs).collect()}
+    assert of == {**{i: (0, 12) for i in range(12)}, 20: (20, 1)}
 
 
 def test_huge_classes_stand_in_pairs_whole(spark, monkeypatch):
