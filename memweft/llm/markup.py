@@ -1,8 +1,9 @@
 """Markup residue: a linear-chain CRF over the leaf blocks of a page tells markup from content.
 
-``leaves`` parses a text tolerantly into leaf blocks: runs of text, and spans that could be HTML,
-Markdown, wiki or LaTeX markup, each with the constructs it stands in (its ancestors: a code fence, an
-HTML element, a wiki table, a TeX environment ...). Most candidates are ambiguous on their own: ``#`` opens
+``leaves`` parses a text tolerantly, in time in proportion to its length, into leaf blocks: runs of text, and spans
+that could be HTML, Markdown, wiki or LaTeX markup, each with the constructs it stands in (its path of ancestors:
+HTML elements, a wiki table, TeX environments ...). Blocks that hold text of their own, such as templates, emphasis
+and commands, are read again inside, to any depth that Python can (``DEEP``). Most candidates are ambiguous on their own: ``#`` opens
 a Markdown heading or a wiki list item, ``$5 ... $7`` is money or a formula, ``List<T>`` is no tag. The CRF
 weighs ancestor-tag and text features of each leaf and the labels of its neighbours, and Viterbi
 decoding labels every leaf ``text``, ``code``, ``html``, ``markdown``, ``wiki`` or ``latex``. ``clean`` then
@@ -17,7 +18,9 @@ from __future__ import annotations
 import html
 import random
 import re
-from functools import cache, lru_cache
+from bisect import bisect_left
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -56,15 +59,15 @@ _LINE = re.compile(
 _AT = {
     "<": re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)(?P<attrs>(?:\s+[^<>]*|\s*)?)(?P<self>/?)>", re.S),
     "&": re.compile(r"&(?:(?P<named>[A-Za-z][A-Za-z0-9]{1,30})|#(?P<dec>\d{1,7})|#[xX](?P<hex>[0-9A-Fa-f]{1,6}));"),
-    "\\": re.compile(r"\\(?:begin\{(?P<begin>\w+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?|end\{(?P<end>\w+\*?)\}|\[(?P<disp>.+?)\\\]|\((?P<inl>[^\n]+?)\\\)|(?P<cmd>[A-Za-z]+)(?P<star>\*?)(?P<opt>\[[^\]\n]*\])?(?P<arg>\{(?P<body>[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*)\})?|(?P<esc>[%&$#_{}~^\\]))", re.S),
+    "\\": re.compile(r"\\(?:begin\{(?P<begin>\w+\*?)\}(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})?|end\{(?P<end>\w+\*?)\}|\[(?P<disp>.+?)\\\]|\((?P<inl>[^\n]+?)\\\)|(?P<cmd>[A-Za-z]+)(?P<star>\*?)(?P<opt>\[[^\[\]\n]*\])?|(?P<esc>[%&$#_{}~^\\]))", re.S),
     "$": re.compile(r"\$\$(?P<disp>.+?)\$\$|\$(?P<inl>[^$\n]+)\$", re.S),
     "*": re.compile(r"(?P<run>\*{1,3})(?=\S)(?P<body>[^*\n]+?)(?<=\S)(?P=run)"),
     "_": re.compile(r"(?P<run>_{1,3})(?=\S)(?P<body>[^_\n]+?)(?<=\S)(?P=run)(?![^\W_])"),
     "~": re.compile(r"~~(?=\S)(?P<body>[^~\n]+?)(?<=\S)~~|~(?=\\)"),
     "`": re.compile(r"(?P<run>`{1,3})(?P<body>[^`\n]+)(?P=run)"),
-    "[": re.compile(r"\[\[(?P<wiki>[^\[\]\n]++)\]\]|\[(?P<body>[^\[\]\n]*+)\](?:\((?P<url>[^()\s]++)(?:\s+\"[^\"\n]*\")?\)|\[(?P<refid>[^\[\]\n]*+)\])|\[(?P<ext>(?:https?:)?//[^\s\]]+)(?:[ \t]+(?P<extlabel>[^\]\n]*))?\]|\[(?P<plain>[^\[\]\n]{1,80})\]"),
+    "[": re.compile(r"\[\[(?P<wiki>[^\[\]\n]++)\]\]|\[(?P<body>[^\[\]\n]*+)\](?:\((?P<url>[^()\s]++)(?:\s+\"[^\"\n]*\")?\)|\[(?P<refid>[^\[\]\n]*+)\])|\[(?P<ext>(?:https?:)?//[^\s\]]+)(?:[ \t]+(?P<extlabel>[^\[\]\n]*))?\]|\[(?P<plain>[^\[\]\n]+)\]"),
     "!": re.compile(r"!\[(?P<body>[^\[\]\n]*+)\]\((?P<url>[^()\s]++)(?:\s+\"[^\"\n]*\")?\)|!!"),
-    "{": re.compile(r"\{\{(?P<tpl>[^{}\n]++(?:\{\{[^{}\n]*\}\}[^{}\n]*)*)\}\}"),
+    "{": re.compile(r"\{\{(?P<tpl>[^{}\n]++)\}\}"),
     "|": re.compile(r"\|\||\|(?=[ \t\n]|\Z)|\|\}"),
     "'": re.compile(r"(?P<run>'{2,5})(?=[^'\s])(?P<body>[^'\n]++(?:'(?!')[^'\n]*)*?)(?P=run)"),
 }
@@ -83,11 +86,41 @@ def _mathy(s: str) -> str:
     return "tex" if "\\" in s else "script" if re.search(r"[\^_]", s) else "rel" if re.search(r"[=+<>]", s) else "money" if s[:1].isdigit() else "word"
 
 
+_FIRST = re.compile(r"\s*(\S)")
+_INNER_CODE = re.compile(r"\s*<code[^<>]*>")
+
+
+def _matches(text: str, opening: str, closing: str) -> dict[int, int]:
+    """Where the bracket that opens at each place closes; brackets without a partner are left out."""
+    if opening * 2 not in text and opening == "[":
+        return {}
+    out, stack = {}, []
+    for m in re.finditer(re.escape(opening) + "|" + re.escape(closing), text):
+        if m[0] == opening:
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
 def leaves(text: str) -> list[Leaf]:
     """The leaf blocks of a text in order; together they cover it."""
     out: list[Leaf] = []
     stack: list[str] = []  # open HTML elements
+    opens: Counter[str] = Counter()
     envs: list[str] = []
+    braces = _matches(text, "{", "}") if "{" in text else {}
+    squares = _matches(text, "[", "]")
+    closes: dict[str, list[int]] = {}  # closing tags by name
+    if "</" in text:
+        for m in re.finditer(r"</([A-Za-z][A-Za-z0-9]*)", text):
+            closes.setdefault(m[1].lower(), []).append(m.start())
+
+    def closed_at(tag: str, at: int) -> int:
+        where = closes.get(tag, ())
+        i = bisect_left(where, at)
+        return where[i] if i < len(where) else -1
+
     table = ""
     pos = start = 0
     n = len(text)
@@ -101,13 +134,23 @@ def leaves(text: str) -> list[Leaf]:
             last = found_at[mark] = text.find(mark, at)
         return none if last == -1 else last
 
+    row_at = scanned = 0
+
+    def head(at: int) -> str:
+        """The first character that isn't blank in the line of ``at``, if it stands before it; lines are looked for once."""
+        nonlocal row_at, scanned
+        row_at, scanned = max(row_at, text.rfind("\n", scanned, at) + 1), at
+        m = _FIRST.match(text, row_at, at)
+        return m[1] if m else ""
+
     def push(leaf: Leaf) -> None:
         nonlocal start
         if leaf.start > start:
             out.append(Leaf("text", start, leaf.start))
         anc = "math" if envs and envs[-1].rstrip("*") in FORMULAS else "env" if envs else table or (stack[-1] if stack else "")
         if anc:
-            leaf.obs += "|^" + anc
+            path = [*stack[-3:], *([table] if table else []), *envs[-3:]][-3:]
+            leaf.obs += f"|^{anc}|^^{'>'.join(path)}"
         before = text[leaf.start - 1 : leaf.start]
         if leaf.type not in _LINED and before and (before.isalnum() or before == "_"):
             leaf.obs += "|glued"
@@ -145,9 +188,12 @@ def leaves(text: str) -> list[Leaf]:
                 prev = text[text.rfind("\n", 0, p) + 1 : p].strip()
                 push(Leaf("rule", at, m.end(), ("under" if prev else "alone") + m["rule"][0], m["rule"][0]))
             elif m["hash"]:
-                push(Leaf("hash", at, m.end(), f"n{min(2, len(m['hash']))}", len(m["hash"])))
+                end = text.find("\n", m.end())
+                end = n if end < 0 else end
+                alone = not text[end + 1 : end + 2].strip() and not text[max(0, at - 1) : at].strip()
+                push(Leaf("hash", at, m.end(), f"n{min(2, len(m['hash']))}" + ("|alone" if alone else "") + ("|stop" if text[end - 1] in ".!?;" else ""), len(m["hash"])))
             elif m["bullet"]:
-                push(Leaf("bullet", at, m.end(), ("*" if m["bullet"][0] == "*" else m["bullet"]) + ("task" if m["task"] else "") + str(min(2, len(m["bullet"])))))
+                push(Leaf("bullet", at, m.end(), ("*" if m["bullet"][0] == "*" else m["bullet"]) + ("task" if m["task"] else "") + str(min(2, len(m["bullet"]))) + ("|indented" if text[p + 1 : p + 2] in (" ", "\t") else "")))
             elif m["num"]:
                 push(Leaf("num", at, m.end(), "task" if m["task2"] else "", m["num"]))
             elif m["wlist"]:
@@ -169,7 +215,13 @@ def leaves(text: str) -> list[Leaf]:
         # without a closing mark the scan for it would run to the end of the text from each opening one
         open_ended = c == "\\" and (text[p + 1 : p + 2] == "[" and not 0 <= p + 3 <= ahead("\\]", p + 3) or text[p + 1 : p + 2] == "(" and not p + 3 <= ahead("\\)", p + 3) < ahead("\n", p + 3, n))
         m = _AT[c].match(text, p) if c in _AT and not open_ended else None
-        if m is None or c == "_" and text[p - 1 : p].isalnum() or m[0] == "!!" and text[text.rfind("\n", 0, p) + 1 : p].lstrip()[:1] != "!":
+        pair = braces if c == "{" else squares
+        if m is None and c in "{[" and p + 1 in pair and pair.get(p, -1) == pair[p + 1] + 1:
+            # with others inside, or over several lines
+            body, pos = text[p + 2 : pair[p + 1]], pair[p] + 1
+            push(Leaf("template", p, pos, "args" if "|" in body else "bare", body) if c == "{" else Leaf("wlink", p, pos, "pipe" if "|" in body else "bare", body))
+            continue
+        if m is None or c == "_" and text[p - 1 : p].isalnum() or m[0] == "!!" and head(p) != "!":
             pos = p + 1
             continue
         pos = m.end()
@@ -179,25 +231,29 @@ def leaves(text: str) -> list[Leaf]:
                 continue
             tag = m["tag"].lower()
             known = tag in TAGS
-            opened = tag in stack
-            has_close = not m["close"] and text.find(f"</{m['tag']}", pos) >= 0
+            opened = opens[tag] > 0
+            has_close = not m["close"] and closed_at(tag, pos) >= 0
             push(Leaf("tag", p, pos, ("known" if known else "odd") + ("/" if m["close"] else "") + (("|attrs" if "=" in m["attrs"] else "|words") if m["attrs"].strip(" \n\t/") else "") + ("|opened" if opened else "") + ("|closes" if has_close else ""), (tag, bool(m["close"]))))
             if not known:
                 pos = p + 1 if not (opened or has_close) else pos
             if m["close"]:
-                if opened:
-                    while stack.pop() != tag:
-                        pass
+                while opens[tag] and opened:
+                    top = stack.pop()
+                    opens[top] -= 1
+                    if top == tag:
+                        break
             elif known and not m["self"] and tag not in ("br", "hr", "img", "input", "meta", "link"):
                 stack.append(tag)
+                opens[tag] += 1
                 if tag in RAW:
-                    close = text.lower().find(f"</{tag}", pos)
-                    inner = re.match(r"\s*<code[^>]*>", text[pos : pos + 80]) if tag == "pre" else None
+                    close = closed_at(tag, pos)
+                    inner = _INNER_CODE.match(text, pos) if tag == "pre" else None
                     if inner:
-                        push(Leaf("tag", pos, pos + inner.end(), "known|closes", ("code", False)))
+                        push(Leaf("tag", pos, inner.end(), "known|closes", ("code", False)))
                         stack.append("code")
-                        pos += inner.end()
-                        shut = text.lower().find("</code", pos)
+                        opens["code"] += 1
+                        pos = inner.end()
+                        shut = closed_at("code", pos)
                         close = shut if shut >= 0 else close
                     stop = close if close >= 0 else n
                     if stop > pos:
@@ -223,10 +279,13 @@ def leaves(text: str) -> list[Leaf]:
                 body = m["disp"] or m["inl"] or ""
                 push(Leaf("formula", p, pos, "bs|" + _mathy(body), (body.strip(), m["disp"] is not None)))
             elif m["cmd"]:
-                path = text[p - 1 : p] == ":" or re.match(r"[\\/]", text[pos : pos + 1]) is not None
-                arg = m["arg"] is not None
+                path = text[p - 1 : p] == ":" or text[pos : pos + 1] in ("\\", "/")
+                arg = text[pos : pos + 1] == "{" and pos in braces
+                body = None
+                if arg:
+                    body, pos = text[pos + 1 : braces[pos]], braces[pos] + 1
                 section = m["cmd"].endswith("section") or m["cmd"] in ("chapter", "title", "part")
-                push(Leaf("command", p, pos, ("arg" if arg else "bare") + ("|path" if path else "") + ("|item" if m["cmd"] == "item" else "|section" if section else ""), (m["cmd"], m["body"])))
+                push(Leaf("command", p, pos, ("arg" if arg else "bare") + ("|path" if path else "") + ("|item" if m["cmd"] == "item" else "|section" if section else ""), (m["cmd"], body)))
             else:
                 push(Leaf("escape", p, pos, m["esc"], m["esc"]))
         elif c == "$":
@@ -262,8 +321,7 @@ def leaves(text: str) -> list[Leaf]:
             push(Leaf("template", p, pos, "args" if "|" in m["tpl"] else "bare", m["tpl"]))
         elif c == "|":
             first = out[-1].type if out else ""
-            row = text[text.rfind("\n", 0, p) + 1 : p]
-            push(Leaf("bars" if m[0] == "||" else "bar", p, pos, ("row" if row.lstrip()[:1] in ("|", "!") else "mid") + ("|ctl" if first == "tctl" else ""), None))
+            push(Leaf("bars" if m[0] == "||" else "bar", p, pos, ("row" if head(p) in ("|", "!") else "mid") + ("|ctl" if first == "tctl" else ""), None))
         elif c == "'":
             push(Leaf("quotes", p, pos, f"n{min(5, len(m['run']))}", (len(m["run"]), m["body"])))
     if start < n:
@@ -276,10 +334,21 @@ _LINED = {"quote", "fence", "eqhead", "rule", "hash", "bullet", "num", "wlist",
 _TELLS = {"wlink": "W", "template": "W", "quotes": "W", "topen": "W", "tctl": "W", "eqhead": "W", "fence": "M", "mlink": "M", "mdrule": "M", "begin": "L"}
 
 
-def signature(page: list[Leaf]) -> tuple[str, ...]:
-    """What the CRF sees of a page: one string for each leaf, with its neighbours' types and the page's tells."""
-    tells = "".join(sorted({_TELLS[x.type] for x in page if x.type in _TELLS and x.obs[:6] != "spaced"}))
-    marks = [x for x in page if x.type != "text"]
+#: Leaf types that hold text of their own.
+_HOLDERS = {"emph", "strike", "mlink", "image", "xlink", "quotes", "eqhead", "command", "wlink", "template"}
+
+
+def _tells(page: list[Leaf], outer: str = "") -> str:
+    return "".join(sorted({*outer, *(_TELLS[x.type] for x in page if x.type in _TELLS and x.obs[:6] != "spaced")}))
+
+
+def signature(page: list[Leaf], outer: str = "") -> tuple[str, ...]:
+    """What the CRF sees of a page: one string for each leaf, with its neighbours' types and the page's tells.
+
+    ``outer`` are the tells of the page around, where this is what stands inside a leaf.
+    """
+    tells = _tells(page, outer)
+    marks = [x for x in page if x.type not in _MUTE]
     return tuple(
         "text" if x.type == "text" else f"{x.type}|{x.obs}" + (f"|page={tells}" if x.type in _SHARED else "") + (f"|prev={_near(marks, i - 1)}|next={_near(marks, i + 1)}" if x.type in _SHARED else "")
         for x, i in zip(page, _ordinals(page))
@@ -290,10 +359,15 @@ def signature(page: list[Leaf]) -> tuple[str, ...]:
 _SHARED = {"hash", "bullet", "num", "wlist", "cell", "bar", "bars", "rule", "eqhead", "cells"}
 
 
+#: Types that say nothing to their neighbours.
+_MUTE = {"text", "brackets", "escape", "tie", "entity"}
+
+
 def _ordinals(page: list[Leaf]):
+    """For each leaf that has a say, which of these it is."""
     i = -1
     for x in page:
-        i += x.type != "text"
+        i += x.type not in _MUTE
         yield i
 
 
@@ -385,7 +459,7 @@ _NOUNS = "river stone letter market engine garden window bottle camera forest br
 _VERBS = "moves keeps finds checks paints builds opens sends counts turns".split()
 
 
-def labelled_pages(n: int = 500, seed: int = 11):
+def labelled_pages(n: int = 1000, seed: int = 11):
     """(text, labels of its leaves): composed pages, in part of one kind of markup, in part mixed.
 
     The composer marks each piece with its label; a leaf has the label of the piece it starts in.
@@ -398,12 +472,17 @@ def labelled_pages(n: int = 500, seed: int = 11):
         return f"The {w()} {rng.choice(_VERBS)} {num()} {w()}s near the {w()}."
 
     def lookalike():
-        return rng.choice([
-            f"Issue #{num()} in the C# port of {w()} is [{rng.choice(['draft', 'wip', 'sic', '1'])}] only.", f"It costs ${num()} in {w()} and ${num()} elsewhere.", f"It was ${num()}.", f"Prices: ${num()}, ${num()} and ${num()} a {w()}.",
-            f"The R&D desk said a && b is fine, AT&T; too.", f"Keep {w()} < {num()} ms and {w()} > 0.{num()} now.", f"We computed {num()} * {num()} * {rng.randint(2, 9)} by hand.", f"Files sit in C:\\{w()}\\{w()}\\new for days.", f"See D:\\{w()}\\temp here.",
-            f"It is ~{num()} tokens, i.e. 50% of it (see p. {num()}).", f"The type List<{w().title()}> held {num()} cards.", f"Map<{w().title()}, {w().title()}> is slow.", f"If x <- {num()} then it prints {{ok}} and the ratio 3:1 | 2:1.", f"Set max_{w()}_size and half_{w()}_days to {num()}.", f"Set {w()}_{w()}_{num()} and __{w()} or {w()}* here.",
-            f"see {w()}s/{w()}_{num()}.md and a_b_c.", f"value = {num()}; {w()} == {w()}.", f"The {w()}'s and the {w()}s' {w()}.", f"{w()} | {w()} is a pipe; 2 ^ 3 = 8.", f"array[{rng.randint(0, 9)}] and f(*args), **kwargs.", f"-{num()} degrees, 5 - 3 = 2.", f"~{num()} and ~/{w()}/{w()}.txt", f"\"{w()}\" 'single' `", f"a <b and c> d.",
+        """Prose with characters that markup uses too: each kind of use once, in words of no particular text."""
+        n, v = num(), rng.choice(_VERBS)
+        ops = rng.choice(["&&", "||", "*", "^", "<", ">", "<=", "->", "|", "~", "==", "+="])
+        use = rng.choice([
+            lambda: f"#{n}", lambda: f"{rng.choice('CFJ')}#", lambda: f"[{w()}]", lambda: f"[{rng.randint(1, 99)}]", lambda: f"${n}", lambda: f"${n} or ${num()}", lambda: f"US${n}, ${num()} and ${num()}",
+            lambda: f"{w()} {ops} {w()}", lambda: f"{n} {ops} {num()}", lambda: f"{n} * {num()} * {num()}", lambda: f"{rng.choice('QABX')}&{rng.choice('ABTX')}", lambda: f"{rng.choice('QABX')}&{rng.choice('ABT')};", lambda: f"{w()}&{w()};", lambda: f"${w().upper()} or ${{{w().upper()}}}/{w()}", lambda: f'"${w().upper()}/{w()}" = ${n}',
+            lambda: f"{rng.choice('CDEX')}:\\{w()}\\{w()}", lambda: f"{rng.choice('CDEX')}:\\{w()}\\{w()}\\{w()}.txt", lambda: f"\\\\{w()}\\{w()}", lambda: f"~{n}", lambda: f"~/{w()}/{w()}", lambda: f"{rng.randint(1, 99)}%",
+            lambda: f"{rng.choice(['List', 'Set', 'Promise', 'vector'])}<{w().title()}>", lambda: f"Map<{w().title()}, {w().title()}>", lambda: f"{{{w()}}}", lambda: f"{w()}_{w()}_{w()}", lambda: f"__{w()}", lambda: f"{w()}_{n}_{num()}", lambda: f"{w()}*",
+            lambda: f"{w()}s/{w()}_{n}.md", lambda: f"{w()}[{rng.randint(0, 9)}]", lambda: f"f(*{w()}s, **{w()}s)", lambda: f"{w()}'s and {w()}s'", lambda: f"'{w()}'", lambda: f"`{w()}", lambda: f"a <{w()} and {w()}>", lambda: f"-{n}", lambda: f"{n}:{num()}",
         ])
+        return f"{rng.choice(['Some', 'Every', 'One', 'No'])} {w()} {v} {use()} {rng.choice(['before', 'with', 'over'])} the {w()}{rng.choice(['', f' ({use()})', f', {use()}'])}."
 
     def prose(k):
         return [(" ".join(lookalike() if rng.random() < 0.3 else sentence() for _ in range(k)), "text")]
@@ -447,15 +526,16 @@ def labelled_pages(n: int = 500, seed: int = 11):
                 [("<style>", "html"), (f".{w()} {{ margin: {num()}px }}", "code"), ("</style>", "html"), ("<span>", "html"), *prose(1), ("</span>", "html")],
                 [("<details>", "html"), ("<summary>", "html"), (title, "text"), ("</summary>", "html"), ("\n\n", "text"), *prose(2), ("\n\n", "text"), ("</details>", "html")],
                 [(f"<!-- {title} -->", "html")],
+                [("<details>", "html"), ("<summary>", "html"), (title, "text"), ("</summary>", "html"), ("\n\n", "text"), *rich("markdown", 2), ("\n\n", "text"), ("</details>", "html")],
             ])
         if kind == "markdown":
-            mark = rng.choice(["- ", "* ", "+ ", "- [ ] ", "- [x] ", "n", ")"])
+            mark = rng.choice(["- ", "* ", "* ", "+ ", "- [ ] ", "- [x] ", "n", ")"])
             head = lambda i: f"{i + 1}. " if mark == "n" else f"{i + 1}) " if mark == ")" else mark
             f = rng.choice(["```", "~~~"])
             return rng.choice([
                 [("\n" + "#" * rng.randint(1, 4) + " ", "markdown"), (title, "text")],
                 [x for i in range(lines) for x in [("\n" + head(i), "markdown"), *rich(kind, 1)]],
-                [x for i in range(lines) for x in [("\n" + head(i), "markdown"), *rich(kind, 1)]],
+                [x for i in range(lines + 1) for x in [("\n" + "  " * rng.choice([0, 0, 1]) + head(i), "markdown"), *rich(kind, 1)]],
                 [x for _ in range(lines) for x in [("\n> ", "markdown"), *rich(kind, 1)]],
                 [("\n" + f + rng.choice(["", "python", "sql", "bash"]), "markdown"), ("\n" + code(lines), "code"), ("\n" + f, "markdown")],
                 [("\n" + title, "text"), ("\n" + rng.choice(["=====", "-----"]), "markdown")],
@@ -468,7 +548,7 @@ def labelled_pages(n: int = 500, seed: int = 11):
             return rng.choice([
                 [(f"\n{level} {title} {level}", "wiki")],
                 [x for _ in range(lines) for x in [("\n" + mark, "wiki"), *rich(kind, 1)]],
-                [('\n{| class="plain"', "wiki"), *[x for _ in range(lines) for x in [("\n|", "wiki"), (f" {w()} ", "text"), ("||", "wiki"), *prose(1), ("\n|-", "wiki")]], ("\n|", "wiki"), (f" {w()} ", "text"), ("||", "wiki"), *prose(1), ("\n|}", "wiki")],
+                [('\n{| class="plain"', "wiki"), ("\n!", "wiki"), (f" {w()} ", "text"), ("!!", "wiki"), (f" {w()} ", "text"), ("\n|-", "wiki"), *[x for _ in range(lines) for x in [("\n|", "wiki"), (f" {w()} ", "text"), ("||", "wiki"), *prose(1), ("\n|-", "wiki")]], ("\n|", "wiki"), (f" {w()} ", "text"), ("||", "wiki"), *prose(1), ("\n|}", "wiki")],
                 [(f"{{{{infobox|owner={w()}|size={num()}}}}}", "wiki"), ("\n", "text"), *prose(2)],
                 [("\n", "text"), *rich(kind, 3)],
             ])
@@ -506,40 +586,128 @@ def _majority(owners: list[str]) -> str:
 
 
 @cache
-def trained(n: int = 500) -> Crf:
+def trained(n: int = 1000) -> Crf:
     """The CRF trained on ``n`` labelled pages; once per process."""
     return Crf().train(labelled_pages(n))
 
 
 # --- rendering -----------------------------------------------------------------------------------
+#: How deep blocks inside blocks are read; what lies deeper is kept as written. Labels of pages that are kept for reuse.
+DEEP, MEMO = 40, 500_000
+
+
+class Reading:
+    """A labelled page: its leaves, their labels, the text, and the readings of what stands inside its leaves."""
+
+    __slots__ = ("page", "labels", "text", "inner")
+
+    def __init__(self, page, labels, text, inner):
+        self.page, self.labels, self.text, self.inner = page, labels, text, inner
+
+    def __iter__(self):
+        return iter((self.page, self.labels, self.text))
+
+    def kinds(self) -> set[str]:
+        out = {y for y in self.labels if y in KINDS}
+        for parts in self.inner.values():
+            for part in parts:
+                if isinstance(part, Reading):
+                    out |= part.kinds()
+        return out
+
+
+def _bodies(leaf: Leaf) -> list[str]:
+    """The texts that stand inside a leaf."""
+    x = leaf.info
+    if leaf.type in ("emph", "strike", "mlink", "image", "xlink"):
+        return [x]
+    if leaf.type in ("quotes", "eqhead"):
+        return [x[1]]
+    if leaf.type == "command":
+        return [x[1]] if x[1] else []
+    if leaf.type == "wlink":
+        return [_split(x)[-1]]
+    if leaf.type == "template":
+        return [v for _, v in _arguments(x)]
+    return []
+
+
+def _split(body: str) -> list[str]:
+    """The parts of a template or link between its own bars, not those of others inside it."""
+    depth, start, out = 0, 0, []
+    for m in re.finditer(r"\{\{|\}\}|\[\[|\]\]|\|", body):
+        if m[0] == "|":
+            if depth <= 0:
+                out.append(body[start : m.start()])
+                start = m.end()
+        else:
+            depth += 1 if m[0] in ("{{", "[[") else -1
+    return [*out, body[start:]]
+
+
+def _arguments(body: str) -> list[tuple[str, str]]:
+    """(name or "", value) of a template's arguments."""
+    out = []
+    for part in _split(body)[1:]:
+        m = re.match(r"\s*([\w \-]+?)\s*=", part)
+        out.append((m[1], part[m.end() :]) if m else ("", part))
+    return out
+
+
 class Reader:
     """Decodes pages with memoised labels: pages of one shape are decoded once."""
 
     def __init__(self, crf: Crf):
-        self.labels = lru_cache(maxsize=200_000)(lambda sig: tuple(crf.decode(sig)))
-
-    def read(self, text: str) -> tuple[list[Leaf], tuple[str, ...], str]:
-        t = "\n" + text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff")
+        self.crf, self.known, self.held = crf, {}, 0
+
+    def labels(self, sig: tuple[str, ...]) -> tuple[str, ...]:
+        got = self.known.get(sig)
+        if got is None:
+            got = tuple(self.crf.decode(sig))
+            if self.held > MEMO:  # in leaves, so that long pages count for what they take
+                self.known, self.held = {}, 0
+            self.known[sig] = got
+            self.held += len(sig)
+        return got
+
+    def read(self, text: str) -> Reading:
+        return self._read("\n" + text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff"), "", 0)
+
+    def _read(self, t: str, tells: str, depth: int) -> Reading:
         page = leaves(t)
-        return page, self.labels(signature(page)), t
-
-
-def kinds_of(page, labels) -> set[str]:
-    return {y for y in labels if y in KINDS}
-
-
-def clean(page: list[Leaf], labels, text: str) -> tuple[str, dict[str, int]]:
+        own = _tells(page, tells)
+        labels = self.labels(signature(page, tells))
+        inner = {}
+        if depth < DEEP:
+            for i, (x, y) in enumerate(zip(page, labels)):
+                if y in KINDS and x.type in _HOLDERS:
+                    bodies = _bodies(x)
+                    if any(map(_TRIGGER.search, bodies)):
+                        inner[i] = [self._read(b, own, depth + 1) if _TRIGGER.search(b) else b for b in bodies]
+        return Reading(page, labels, t, inner)
+
+
+def clean(reading: Reading) -> tuple[str, dict[str, int]]:
     """Plain text of a labelled page, and how many headings, items, code blocks, tables and formulas it shows.
 
     Headings stand on lines of their own after ``§`` signs by level, list items after ``•`` (or their
     number), code keeps its lines indented by four blanks, table cells are separated by tabs, and
     formulas are kept as written between ``⟦`` and ``⟧``. Comments, style sheets and scripts go.
     """
-    out: list[str] = []
     n = dict.fromkeys(("headings", "items", "code_blocks", "tables", "formulas"), 0)
-    for x, y in zip(page, labels):
+    t = _rendered(reading, n)
+    t = re.sub(r"[ \t]+\n", "\n", t)
+    t = re.sub(r"(?m)^(•|§+) +", r"\1 ", t)
+    return re.sub(r"\n{3,}", "\n\n", t).strip(), n
+
+
+def _rendered(reading: Reading, n: dict[str, int]) -> str:
+    out: list[str] = []
+    page, labels, text = reading
+    for at, (x, y) in enumerate(zip(page, labels)):
         s = text[x.start : x.end]
         kind = x.type
+        inside = [_rendered(b, n) if isinstance(b, Reading) else b for b in reading.inner.get(at, ())] or (_bodies(x) if kind in _HOLDERS else [])
         if y == "text":
             out.append(s)
         elif kind == "raw" or y == "code":
@@ -561,7 +729,7 @@ def clean(page: list[Leaf], labels, text: str) -> tuple[str, dict[str, int]]:
                 out.append("\n" + "§" * x.info + " ")
         elif kind == "eqhead":
             n["headings"] += 1
-            out.append("\n" + "§" * x.info[0] + " " + x.info[1])
+            out.append("\n" + "§" * x.info[0] + " " + inside[0])
         elif kind == "rule":
             n["headings"] += x.obs.startswith("under")
         elif kind in ("bullet", "wlist"):
@@ -592,16 +760,16 @@ def clean(page: list[Leaf], labels, text: str) -> tuple[str, dict[str, int]]:
                 out.append("\n")
         elif kind == "entity":
             out.append(html.unescape(s))
-        elif kind in ("emph", "strike", "span", "mlink", "image", "xlink"):
+        elif kind == "span":
             out.append(x.info)
+        elif kind in ("emph", "strike", "mlink", "image", "xlink", "quotes"):
+            out.append(inside[0])
         elif kind == "wlink":
-            out.append(x.info.split("|")[-1] if not x.info.startswith("Category:") else "")
-        elif kind == "quotes":
-            out.append(x.info[1])
+            out.append(inside[0] if not x.info.startswith("Category:") else "")
         elif kind == "template":
-            out.append(" ".join(p.partition("=")[2] or p for p in x.info.split("|")[1:]))
+            out.append(" ".join(v.strip() for v in inside))
         elif kind == "command":
-            cmd, body = x.info
+            cmd, body = x.info[0], inside[0] if inside else None
             if cmd.endswith("section") or cmd in ("chapter", "part", "title"):
                 n["headings"] += 1
                 out.append("\n\n" + "§" * (1 + cmd.count("sub")) + f" {body or ''}\n")
@@ -616,15 +784,13 @@ def clean(page: list[Leaf], labels, text: str) -> tuple[str, dict[str, int]]:
             out.append(" ")
         elif kind == "quote":
             out.append("\n")
-    t = "".join(out)
-    t = re.sub(r"[ \t]+\n", "\n", t)
-    return re.sub(r"\n{3,}", "\n\n", t).strip(), n
+    return "".join(out)
 
 
 CLEANED = "cid string, kinds array<string>, clean_text string, headings int, items int, code_blocks int, tables int, formulas int"
 
 
-def convert(chunks: DataFrame, pages: int = 500) -> DataFrame:
+def convert(chunks: DataFrame, pages: int = 1000) -> DataFrame:
     """One row per delivered chunk row: its kinds of markup, its clean text and the structure it shows.
 
     Rows with a null cid are left out; a null text has no kinds and a null clean text; a text
@@ -640,9 +806,9 @@ def convert(chunks: DataFrame, pages: int = 500) -> DataFrame:
                 if text is None:
                     rows.append((cid, [], None, 0, 0, 0, 0, 0))
                     continue
-                page, labels, t = reader.read(text)
-                got, n = clean(page, labels, t)
-                rows.append((cid, sorted(kinds_of(page, labels)), got, *n.values()))
+                reading = reader.read(text)
+                got, n = clean(reading)
+                rows.append((cid, sorted(reading.kinds()), got, *n.values()))
             yield pd.DataFrame(rows, columns=["cid", "kinds", "clean_text", *("headings", "items", "code_blocks", "tables", "formulas")])
 
     return chunks.where(F.col("cid").isNotNull()).select("cid", "text").mapInPandas(run, CLEANED)

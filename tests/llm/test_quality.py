@@ -213,7 +213,7 @@ def test_days_combine_to_the_whole(spark, sf):
 
 
 def test_markup_on_held_out_pages():
-    crf = markup.trained(500)
+    crf = markup.trained()
     right = total = 0
     for sigs, labels in markup.labelled_pages(150, seed=77):
         got = crf.decode(sigs)
@@ -231,15 +231,13 @@ def test_markup_on_held_out_pages():
     ],
 )
 def test_kinds(text, kinds):
-    page, labels, _ = markup.Reader(markup.trained(500)).read(text)
-    assert markup.kinds_of(page, labels) == kinds
+    assert markup.Reader(markup.trained()).read(text).kinds() == kinds
 
 
 def test_clean_text_keeps_structure():
-    read = markup.Reader(markup.trained(500))
+    read = markup.Reader(markup.trained())
     text = "# Title\n\nSee **bold** [link](u.md) and $x^2$.\n\n- one\n- two\n\n```py\na < b\n```\n\n| h | k |\n|---|---|\n| 1 | 2 |"
-    page, labels, t = read.read(text)
-    got, n = markup.clean(page, labels, t)
+    got, n = markup.clean(read.read(text))
     assert n == {"headings": 1, "items": 2, "code_blocks": 1, "tables": 1, "formulas": 1}
     assert "§ Title" in got and "See bold link and ⟦x^2⟧." in got and "• one" in got and "    a < b" in got and "**" not in got and "|" not in got
 
