@@ -56,8 +56,8 @@ def label_language(lang: Column) -> Column:
 # Removed with what they enclose: code, formulas, comments and templates, each a boundary.
 _CODE = re.compile(r"\n[ \t>]*(```|~~~)[^\n]*\n.*?(?:\n[ \t>]*\1[ \t]*(?=\n|\Z)|\Z)|<(pre|code|style|script|syntaxhighlight|source|nowiki|math)\b[^>]*>.*?(?:</\2\s*>|\Z)|\\begin\{(equation|align|verbatim|lstlisting)\*?\}.*?(?:\\end\{\3\*?\}|\Z)|\$\$.*?\$\$|<!--.*?(?:-->|\Z)|\{\{.*?\}\}|\\(?:\[.*?\\\]|\(.*?\\\))|<h[1-6][^>]*>.*?</h[1-6]>|\[\[[Cc]ategory:[^\]]*\]\]|\\(?:sub)*section\*?\{[^}\n]*\}", re.S)
 _TITLE = re.compile(r"\n[ \t]*#{1,6}[ \t][^\n]*|\n[ \t]*=+[^=\n]+=+[ \t]*(?=\n|\Z)|\n[^\n]+\n(?:=+|-+)[ \t]*(?=\n|\Z)")
-_SPAN = re.compile(r"`[^`\n]*`|\$[^$\n]{1,120}\$")
-_TAG = re.compile(r"</?[a-zA-Z][^>\n]{0,200}>")
+_SPAN = re.compile(r"`[^`\n]*`|\$(?![\s\d])[^$\n]*(?<!\s)\$(?!\d)")  # an amount opens no formula
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _MARK = re.compile(r"\n(?:[ \t]*(?=\n)|[ \t>]*(?:[-*+#:]+[ \t]+(?:\[[ xX]\][ \t]*)?|\d+[.)][ \t]+|>|[|!][-}+]?|\{\|))")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)|\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]")
 _TEX = re.compile(r"\\(?:begin|end)\{\w+\*?\}|\\item\b|\\[a-zA-Z]+\*?")
@@ -314,6 +314,16 @@ def segment_languages(chunks: DataFrame, model: Model | None = None, per_languag
     return rows.mapInPandas(run, SEGMENTS)
 
 
+def chunk_segments(chunks: DataFrame) -> DataFrame:
+    """``segment_languages`` with each chunk's segments once: repeated rows are dropped after the texts, which aren't shuffled.
+
+    A cid delivered with different labels keeps the smallest of them.
+    """
+    rest = [c.split()[0] for c in SEGMENTS.split(", ") if c.split()[0] not in ("cid", "seg")]
+    got = segment_languages(chunks).groupBy("cid", "seg").agg(F.min(F.struct(*rest)).alias("s"))
+    return got.select("cid", "s.label", "seg", *[f"s.{c}" for c in rest if c != "label"])
+
+
 def document_languages(segs: DataFrame) -> DataFrame:
     """(cid, label, lang, confidence, sentences, n_langs): the languages of each chunk's whole sentences.
 

@@ -42,12 +42,12 @@ def p4_found(spark, sf) -> DataFrame:
 
 
 def p4_segments(spark, sf) -> DataFrame:
-    return language.segment_languages(table(spark, sf, "chunks").dropDuplicates(["cid"]))
+    return language.chunk_segments(table(spark, sf, "chunks"))
 
 
 def p4_languages(spark, sf) -> DataFrame:
     """The languages of every chunk that has a whole sentence, each with its confidence."""
-    segs = language.segment_languages(table(spark, sf, "chunks").dropDuplicates(["cid"]))
+    segs = language.chunk_segments(table(spark, sf, "chunks"))
     return language.document_languages(segs).select("cid", "lang", "confidence", "sentences", "n_langs")
 
 
