@@ -105,10 +105,13 @@ def seeds(units: DataFrame, rate: dict[str, dict], seed: int, trials: int = TRIA
     return {r["source"]: seed + min(range(trials), key=lambda i: abs(r[f"t{i}"] - rate[r["source"]]["rate"] * rate[r["source"]]["tokens"])) for r in sums}
 
 
-def copies(units: DataFrame, rate: dict[str, dict], seed: int = 1) -> DataFrame:
-    """``units`` with ``n_copies`` >= 1: the inverted distribution at the text's own uniform number."""
+def copies(units: DataFrame, rate: dict[str, dict], seed: int = 1, trials: int = TRIALS) -> DataFrame:
+    """``units`` with ``n_copies`` >= 1: the inverted distribution at the text's own uniform number.
+
+    With ``trials`` of 1 every source has the draw of ``seed`` itself; with more, the one of its draws that is closest to its target.
+    """
     rows, count = _drawn(units, rate)
-    own = F.create_map(*[F.lit(x) for s, n in sorted(seeds(units, rate, seed).items()) for x in (s, n)]) if rate else None
+    own = F.create_map(*[F.lit(x) for s, n in sorted(seeds(units, rate, seed, trials).items()) for x in (s, n)]) if rate else None
     u = uniform("text_key", own[F.col("source")]) if rate else F.lit(1.0)
     return rows.withColumn("n_copies", count(u)).where("n_copies > 0").drop("cdf")
 
@@ -124,17 +127,19 @@ def mix(docs: DataFrame, targets: DataFrame, fill: float = FILL, seed: int = 1,
     body = docs.select("doc_id", "text").join(drawn, "doc_id").dropDuplicates(["text_key"])
     each = body.select("text_key", "doc_id", "source", F.explode(F.sequence(F.lit(1), "n_copies")).alias("copy"), "n_tokens", "text")
     each = each.withColumn("position", F.xxhash64("text_key", "copy", F.lit(seed), F.lit("order")))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartition(n, "position").sortWithinPartitions("position").select("position", "doc_id", "source", "copy", "n_tokens", "text")
+    return each.repartition("position").sortWithinPartitions("position").select("position", "doc_id", "source", "copy", "n_tokens", "text")
 
 
 def shares(docs: DataFrame, targets: DataFrame, fill: float = FILL, seed: int = 1, path: str | None = None) -> DataFrame:
-    """(source, texts, tokens, mixed_tokens, most_copies, target_share, actual_share) of each source in the mixture."""
+    """(source, texts, tokens, mixed_tokens, most_copies, target_share, actual_share, plain_share) of each source in the mixture.
+
+    ``plain_share`` is what the source would have if every source took its first draw, without a choice among ``TRIALS``.
+    """
     u = units(docs, targets, path)
     rate = rates(u, targets, fill)
-    got = copies(u, rate, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("mixed_tokens"), F.max("n_copies").alias("most_copies"))
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, r["texts"], r["tokens"], r["target"]) for s, r in rate.items()], "source string, texts long, tokens long, target_share double")
-    whole = got.agg(F.sum("mixed_tokens").alias("whole"))
-    rows = known.join(got, "source", "left").join(F.broadcast(whole), how="cross")  # one row
-    return rows.select("source", "texts", "tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), "most_copies", "target_share", F.round(F.try_divide(F.coalesce("mixed_tokens", F.lit(0)), F.col("whole")), 6).alias("actual_share"))
+    mixed = lambda trials: copies(u, rate, seed, trials).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("t"), F.max("n_copies").alias("most_copies"))
+    got, plain = ({r["source"]: (r["t"], r["most_copies"]) for r in mixed(t).collect()} for t in (TRIALS, 1))  # a row a source
+    total = lambda d: sum(t for t, _ in d.values())
+    share = lambda d, s: round(d[s][0] / total(d), 6) if s in d else 0.0
+    rows = [(s, r["texts"], r["tokens"], *(got.get(s, (0, None))), r["target"], share(got, s), share(plain, s)) for s, r in rate.items()]
+    return docs.sparkSession.createDataFrame(rows, "source string, texts long, tokens long, mixed_tokens long, most_copies int, target_share double, actual_share double, plain_share double")

@@ -410,18 +410,74 @@ def found(chunks: DataFrame) -> DataFrame:
     return got.select(F.least("x", "y").alias("cid_a"), F.greatest("x", "y").alias("cid_b"))
 
 
+def representatives(chunks: DataFrame) -> DataFrame:
+    """(cid_a, cid_b, jaccard, edit_similarity): links between classes, each by its smallest cid, with what the alignment says.
+
+    A class is all chunks of one canonical key and one set of k-mers, so it stands for texts that differ in layout only;
+    ``groups`` has the class and the representative of every chunk. ``edit_similarity`` counts words in order: it is far
+    below ``jaccard`` where blocks were moved.
+    """
+    links, docs = near_duplicates(chunks)
+    first = docs.groupBy("cls").agg(F.min("cid").alias("cid"), F.min("key").alias("key"))
+    a, b = (first.withColumnsRenamed({"cls": s, "cid": f"x{s}", "key": f"k{s}"}) for s in "ab")
+    rows = links.join(a, "a").join(b, "b").where("ka <> kb")
+    return rows.select(F.least("xa", "xb").alias("cid_a"), F.greatest("xa", "xb").alias("cid_b"), F.round("jaccard", 6).alias("jaccard"), F.round("edit_similarity", 6).alias("edit_similarity"))
+
+
 def groups(chunks: DataFrame) -> DataFrame:
-    """One row per (cid, path): its group, the group's size in classes, and its own number of links.
+    """(cid, path, class_cid, group_cid, group_classes, links): one row for each (cid, path).
 
-    A group is a connected component of links and of copies of one record; its id is its smallest
-    class. Chunks without links or copies are groups of their own and come out too, except texts
-    of fewer than three words, which have no k-mers.
+    ``class_cid`` is the smallest cid of the chunk's class. A group is a connected component of links and of copies of
+    one record; ``group_cid`` is its smallest cid, ``group_classes`` the number of its classes, ``links`` the number of
+    classes of other records that the chunk's class is linked to. Chunks without links or copies are groups of
+    their own. A text of fewer than three words has no k-mers: its class is its canonical key. Null cids and texts have no row.
     """
     links, docs = near_duplicates(chunks)
+    usable = chunks.where(F.col("cid").isNotNull() & F.col("text").isNotNull()).select("cid", "text")
+
+    def short(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            few = [i for i, t in enumerate(texts) if len(V.words([t])[0]) < K] if texts else []
+            key = canonical_hashes([texts[i] for i in few]) if few else np.empty(0, V.U)
+            yield pd.DataFrame({"cid": pdf["cid"].iloc[few].tolist(), "key": key.view(np.int64), "cls": V.mix(key).view(np.int64)})
+
+    # what has few letters can have few words only; the rest isn't looked at again
+    brief = usable.where(F.size(F.split("text", r"[^\p{L}\p{N}_]+", 6)) <= K + 2).mapInPandas(short, "cid string, key long, cls long")
+    members = materialize(docs.select("cid", "key", "cls").unionByName(brief).distinct())
     # copies of one record belong together whatever their k-mers: chain every class to the record's smallest
-    same = docs.groupBy("key").agg(F.min("cls").alias("a")).join(docs.select("key", F.col("cls").alias("b")).distinct(), "key").where("a <> b").select("a", "b")
+    same = members.groupBy("key").agg(F.min("cls").alias("a")).join(members.select("key", F.col("cls").alias("b")).distinct(), "key").where("a <> b").select("a", "b")
     comp = components(links.select("a", "b").union(same))
-    degree = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    records = members.groupBy("cls").agg(F.min("key").alias("key"), F.min("cid").alias("class_cid"))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    of = lambda s: records.select(F.col("cls").alias(s), F.col("key").alias(f"k{s}"))
+    degree = both.join(of("a"), "a").join(of("b"), "b").where("ka <> kb").groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("links"))
+    per_class = materialize(records.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    whole = per_class.groupBy("component").agg(F.min("class_cid").alias("group_cid"), F.count(F.lit(1)).alias("group_classes"))
+    per_class = per_class.join(whole, "component").join(degree, "cls", "left")
     paths = chunks.where(F.col("cid").isNotNull()).select("cid", "path").distinct()
-    rows = docs.select("cid", "cls").distinct().join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
-    return rows.join(paths, "cid").select("cid", "path", F.coalesce("component", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = members.select("cid", "cls").distinct().join(per_class, "cls").join(paths, "cid")
+    return rows.select("cid", "path", "class_cid", "group_cid", "group_classes", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def recall(chunks: DataFrame, every: int = 100) -> DataFrame:
+    """(n_queries, n_true, n_found): links of the classes of every chunk whose hashed cid is divisible by ``every``.
+
+    ``n_true`` are those of an exact search: two sets of k-mers at or above the threshold share one of the rarest of either
+    set, as many as the threshold leaves, so a query's rarest k-mers are joined with those of all chunks and what
+    that finds is verified. ``n_found`` are those of them that the operator finds too. Classes of one record don't count.
+    """
+    docs = sketch_table(chunks)
+    of_other = lambda p: p.join(keyed("a"), "a").join(keyed("b"), "b").where((F.col("jaccard") >= THRESHOLD) & (F.col("ka") != F.col("kb"))).select("a", "b")
+    keyed = lambda s: docs.groupBy(F.col("cls").alias(s)).agg(F.min("key").alias(f"k{s}"))
+    pairs = of_other(verify(materialize(candidates(docs, chunks)), docs, chunks))
+    asked = materialize(docs.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("cls").distinct())
+    sets = materialize(_kmer_sets(docs.select("cls").distinct(), docs, chunks, K))
+    df = sets.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    own = W.partitionBy("cls")
+    ranked = sets.join(asked, "cls").join(df, "h").select("cls", "h", F.row_number().over(own.orderBy("df", "h")).alias("r"), F.count(F.lit(1)).over(own).alias("n"))
+    rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD) + 1).select(F.col("cls").alias("x"), "h")
+    near = rare.join(sets.select(F.col("cls").alias("y"), "h"), "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    true = of_other(verify(materialize(near), docs, chunks))
+    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).join(got, how="cross")  # one row each

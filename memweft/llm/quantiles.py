@@ -5,7 +5,8 @@ the lowest overfull level is sorted and every other value, from a random start,
 Sketches merge level by level. Each compaction at level h moves any rank by at most 2**h, up or down
 with equal odds, so by Hoeffding's inequality |rank error| <= sqrt(2 ln(2/delta) * err2) with
 probability 1 - delta, where err2 adds 4**h for each compaction. err2 travels with the sketch, so the
-bound that a result reports is the bound of exactly the compactions behind it.
+bound that a result reports is the bound of exactly the compactions behind it. The coin of a compaction is a
+checksum of its values: a task that is run again draws the same, and the odds are those of a hash over the data.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which a group is spread before its parts are merged.
-SALTS = 8
+#: Rows for each part into which groups are spread, the least parts, and sketches that one task merges at a time.
+PART, LEAST_PARTS, FAN_IN = 1_000_000, 8, 256
 SKETCH = "n long, err2 double, sizes array<int>, vals array<double>"
 
 
@@ -87,6 +88,11 @@ class Kll:
         return cls(k, list(np.split(vals, cuts)), int(n), float(err2))
 
 
+def parts_for(df: DataFrame) -> int:
+    """Parts into which every group is spread: in proportion to all rows, so that a group which has most of them is spread too."""
+    return max(LEAST_PARTS, -(-df.count() // PART))
+
+
 def recall_values(log: DataFrame) -> DataFrame:
     """(tenant, day, salt, latency_ms, top_score) of each distinct recall line with a tenant.
 
@@ -111,7 +117,7 @@ def recall_values(log: DataFrame) -> DataFrame:
             F.xxhash64(*whole, nulls).alias("h1"),
             F.xxhash64(F.lit("second"), nulls, *whole).alias("h2"),
         )
-        .withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int"))
+        .withColumn("salt", F.pmod("h1", F.lit(parts_for(log))).cast("int"))
         # equal lines agree in tenant, day and salt: one shuffle serves this and the sketches by day
         .repartition("tenant", "day", "salt")
         .dropDuplicates(["tenant", "day", "salt", "h1", "h2"])
@@ -166,7 +172,7 @@ def sketch(df: DataFrame, groups: list[str], fields: list[str], k: int = 256, sa
     """
     types = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
     names = [*groups, "field", "n", "err2", "sizes", "vals"]
-    part = F.col(salt) if salt else F.pmod(F.xxhash64(*fields), F.lit(SALTS))
+    part = F.col(salt) if salt else F.pmod(F.xxhash64(*fields), F.lit(parts_for(df)))
     rows = df.select(*groups, *fields, part.alias("_salt"))
     keys = [*groups, "_salt"]
     if not salt:
@@ -183,6 +189,9 @@ def sketch(df: DataFrame, groups: list[str], fields: list[str], k: int = 256, sa
         return _folded(batches, keys, [*groups, "_salt", "field", *names[-4:]], fold)
 
     parts = rows.sortWithinPartitions(*keys).mapInPandas(partial, f"{types}, _salt long, field string, {SKETCH}")
+    if (n := parts_for(df)) > FAN_IN:  # a hot group has a sketch for each part: merged in two levels
+        parts = parts.withColumn("_salt", F.floor(F.col("_salt") / math.isqrt(n)))
+        parts = merge_sketches(parts, [*groups, "field", "_salt"], k)
     return merge_sketches(parts, [*groups, "field"], k)
 
 
@@ -213,3 +222,19 @@ def percentiles(sketches: DataFrame, qs: dict[str, float], k: int = 256, delta:
     udf = F.pandas_udf(read, ", ".join(f"{c} double" for c in [*qs, "rank_error"]))
     got: Column = udf("n", "err2", "sizes", "vals")
     return sketches.withColumn("_q", got).drop("err2", "sizes", "vals").select("*", "_q.*").drop("_q")
+
+
+def exact_ranks(df: DataFrame, found: DataFrame, groups: list[str], fields: list[str], qs: dict[str, float]) -> DataFrame:
+    """(groups..., field, percentile, n, within): whether each percentile of ``found`` is as near its rank as it says.
+
+    ``within``: the share of values below it is at most q + rank_error, and that of values up to it at least q -
+    rank_error. One pass over the values counts both for each group.
+    """
+    values = df.select(*groups, F.explode(F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x) for f in fields for i, x in enumerate((f, f))])).alias("field", "v")).where("v IS NOT NULL")
+    asked = found.select(*groups, "field", "rank_error", F.explode(F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x) for q in qs for i, x in enumerate((q, q))])).alias("percentile", "x"))
+    per = asked.groupBy(*groups, "field").agg(F.collect_list(F.struct("percentile", "x", "rank_error")).alias("asked"))  # a row for each percentile
+    rows = values.join(per, [*groups, "field"]).select(*groups, "field", "v", F.explode("asked").alias("a"))
+    counted = rows.groupBy(*groups, "field", "a.percentile", "a.rank_error").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("a.x")).alias("below"), F.count_if(F.col("v") <= F.col("a.x")).alias("upto"))
+    q = F.create_map(*[F.lit(x) for item in qs.items() for x in item])[F.col("percentile")]
+    within = (F.col("below") / F.col("n") <= q + F.col("rank_error")) & (F.col("upto") / F.col("n") >= q - F.col("rank_error"))
+    return counted.select(*groups, "field", "percentile", "n", within.alias("within"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir, table
+from ..session import materialize, scratch_dir, table
 from . import canonical, knngraph, language, markup, mixing, neardup, packing, quantiles, spans
 
 
@@ -18,6 +18,14 @@ def p1_groups(spark, sf) -> DataFrame:
     return neardup.groups(table(spark, sf, "chunks"))
 
 
+def p1_links(spark, sf) -> DataFrame:
+    return neardup.representatives(table(spark, sf, "chunks"))
+
+
+def p1_recall(spark, sf) -> DataFrame:
+    return neardup.recall(table(spark, sf, "chunks"))
+
+
 # --- p2: markup residue --------------------------------------------------------------------------
 def p2_found(spark, sf) -> DataFrame:
     return markup.found(table(spark, sf, "chunks"))
@@ -96,6 +104,14 @@ def p7_percentiles(spark, sf) -> DataFrame:
     return quantiles.percentiles(whole, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
+def p7_ranks(spark, sf) -> DataFrame:
+    """For each tenant, field and percentile, whether it is within its error of the exact rank."""
+    qs = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    values = materialize(quantiles.recall_values(table(spark, sf, "query_log")))
+    whole = quantiles.merge_sketches(quantiles.sketch(values, ["tenant", "day"], FIELDS, salt="salt"), ["tenant", "field"])
+    return quantiles.exact_ranks(values, quantiles.percentiles(whole, qs), ["tenant"], FIELDS, qs)
+
+
 def p7_daily(spark, sf) -> DataFrame:
     return quantiles.percentiles(_daily(spark, sf), {"p50": 0.5, "p95": 0.95})
 
@@ -133,7 +149,7 @@ def p10_shared(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared, p10_members)
+    for f in (p1_found, p1_groups, p1_links, p1_recall, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_ranks, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared, p10_members)
 }
 
 _KEYED = r"""
@@ -160,6 +176,22 @@ SQL = {
 SELECT x AS cid_a, y AS cid_b FROM common JOIN sizes s ON s.cid = x JOIN sizes t ON t.cid = y
 JOIN (SELECT DISTINCT cid, key FROM keyed) k ON k.cid = x JOIN (SELECT DISTINCT cid, key FROM keyed) l ON l.cid = y
 WHERE k.key <> l.key AND c >= 0.6 * (s.n + t.n - c)""",
+    "p1_groups": f"""WITH RECURSIVE {_KEYED},
+  docs AS (SELECT DISTINCT c.cid, k.key, regexp_extract_all(lower(c.text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM chunks c JOIN keyed k USING (cid)),
+  grams AS (SELECT DISTINCT cid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT cid, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)),
+  sets AS (SELECT d.cid, d.key, list_sort(list(g) FILTER (g IS NOT NULL)) AS s FROM docs d LEFT JOIN grams USING (cid) GROUP BY ALL),
+  cls AS (SELECT cid, key, min(cid) OVER (PARTITION BY key, s) AS rep FROM sets),
+  reps AS (SELECT DISTINCT rep, key FROM cls),
+  rg AS (SELECT cid AS rep, g FROM grams JOIN reps ON rep = cid),
+  sizes AS (SELECT rep, count(*) AS n FROM rg GROUP BY rep),
+  common AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM rg a JOIN rg b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+  link AS (SELECT x, y FROM common JOIN sizes s ON s.rep = x JOIN sizes t ON t.rep = y JOIN reps k ON k.rep = x JOIN reps l ON l.rep = y WHERE k.key <> l.key AND c >= 0.6 * (s.n + t.n - c)),
+  edge AS (SELECT x, y FROM link UNION SELECT a.rep, b.rep FROM reps a JOIN reps b USING (key) WHERE a.rep <> b.rep),
+  reach(n, m) AS (SELECT rep, rep FROM reps UNION SELECT n, y FROM reach JOIN edge ON m = x),
+  comp AS (SELECT n AS rep, min(m) AS group_cid, count(*) AS group_classes FROM reach GROUP BY n),
+  deg AS (SELECT x AS rep, count(*) AS links FROM link GROUP BY x)
+SELECT DISTINCT cls.cid, ch.path, cls.rep AS class_cid, group_cid, group_classes, coalesce(links, 0) AS links
+FROM cls JOIN comp USING (rep) LEFT JOIN deg USING (rep) JOIN chunks ch ON ch.cid = cls.cid""",
     "p3_found": """WITH ok AS (SELECT DISTINCT e.vec_id, e.model, e.vec FROM emb_cache e JOIN models m ON e.model = m.model AND len(e.vec) = m.dim
     WHERE len(list_filter(e.vec, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(e.vec, lambda v: v <> 0)) > 0),
   ranked AS (SELECT a.vec_id, b.vec_id AS near_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.vec::DOUBLE[], b.vec::DOUBLE[]), b.vec_id) AS r FROM ok a JOIN ok b ON a.model = b.model AND a.vec_id <> b.vec_id)
@@ -172,6 +204,9 @@ SELECT min(cid) AS first_cid, arg_min(hash, cid) AS first_hash, count(DISTINCT c
     "p7_found": f"""WITH {_RECALLS}
 SELECT tenant, 'latency_ms' AS field FROM lines WHERE isfinite(latency_ms) AND latency_ms >= 0 GROUP BY tenant HAVING quantile_cont(latency_ms, 0.95) > 400
 UNION ALL SELECT tenant, 'top_score' AS field FROM lines WHERE top_score IS NOT NULL AND NOT isnan(top_score) GROUP BY tenant HAVING median(top_score) < 0.02""",
+    "p7_ranks": f"""WITH {_RECALLS},
+  v AS (SELECT tenant, 'latency_ms' AS field FROM lines WHERE isfinite(latency_ms) AND latency_ms >= 0 UNION ALL SELECT tenant, 'top_score' FROM lines WHERE top_score IS NOT NULL AND NOT isnan(top_score))
+SELECT tenant, field, p AS percentile, count(*) AS n, true AS within FROM v, (SELECT unnest(['p50', 'p90', 'p95', 'p99']) AS p) GROUP BY ALL""",
     "p10_found": f"""WITH {_SPANS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.w = b.w AND a.doc_id < b.doc_id""",
     "p10_members": """WITH d AS (SELECT DISTINCT doc_id, md5(text) AS text_key FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160)
 SELECT doc_id, text_key, min(doc_id) OVER (PARTITION BY text_key) AS first_id, count(*) OVER (PARTITION BY text_key) AS copies FROM d""",

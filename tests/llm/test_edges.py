@@ -42,10 +42,17 @@ def test_near_duplicates(odd, none):
     want = {tuple(sorted((x, "c007"))) for x in same} | {("c009", "c010")}
     assert got == want
     assert neardup.found(none).count() == 0
-    rows = neardup.groups(odd).collect()
-    of = {r["cid"]: r["group_id"] for r in rows}
-    assert len({of[c] for c in (*same, "c007")}) == 1 and of["c009"] == of["c010"] != of["c005"]
-    assert "c000" not in of and neardup.groups(none).count() == 0
+    rows = {r["cid"]: r for r in neardup.groups(odd).collect()}
+    of = {c: r["group_cid"] for c, r in rows.items()}
+    assert {of[c] for c in (*same, "c007")} == {"c005"} and of["c009"] == of["c010"] == "c009"
+    assert {rows[c]["class_cid"] for c in same} == {"c005"} and rows["c005"]["links"] == 1 and rows["c005"]["group_classes"] == 2
+    # texts of fewer than three words are there too; those without letters are one record
+    assert of["c001"] == of["c002"] == of["c004"] == "c001" and of["c003"] == "c003" and rows["c003"]["links"] == 0
+    assert "c000" not in of and set(of) == {f"c{i:03d}" for i in range(1, 21) if i != 11} and neardup.groups(none).count() == 0
+    pairs_ = [tuple(r) for r in neardup.representatives(odd).select("cid_a", "cid_b").collect()]
+    assert sorted(pairs_) == [("c005", "c007"), ("c009", "c010")]
+    r = neardup.recall(odd, 1).first()
+    assert r["n_true"] == r["n_found"] == 2 and neardup.recall(none).first()["n_true"] == 0
 
 
 def test_ledger_records(spark, odd, none):

@@ -281,6 +281,26 @@ def test_graph_recall():
     assert hits / 1500 > 0.95
 
 
+def test_hot_groups_are_sketched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "PART", 100)
+    monkeypatch.setattr(quantiles, "FAN_IN", 16)
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, 'a', 'b') as g", "cast(id as double) as v")
+    s = quantiles.percentiles(quantiles.sketch(df, ["g"], ["v"]), {"p50": 0.5}).collect()
+    assert {(r["g"], r["n"]) for r in s} == {("a", 1667), ("b", 3333)} and all(abs(r["p50"] - 2500) < 5000 * (r["rank_error"] + 0.01) for r in s)
+
+
+def test_plain_draw_is_reported(spark, sf):
+    rows = Q.p9_shares(spark, sf).collect()
+    assert rows and abs(sum(r["plain_share"] for r in rows) - 1) < 1e-4 and abs(sum(r["actual_share"] for r in rows) - 1) < 1e-4
+    off = lambda c: sum(abs(r[c] - r["target_share"]) for r in rows)
+    assert off("actual_share") <= off("plain_share") + 0.02
+
+
+def test_near_duplicate_recall(spark):
+    r = Q.p1_recall(spark, "/root/testdata/sf0.01").first()
+    assert r["n_queries"] > 10 and r["n_found"] == r["n_true"]
+
+
 def test_recall_over_the_table(spark):
     sf = "/root/testdata/sf0.01"
     assert all(r["recall"] >= 0.9 for r in Q.p3_recall(spark, sf).collect())
