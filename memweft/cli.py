@@ -11,6 +11,13 @@ from . import __version__
 from .config import RecallConfig
 
 
+def session():
+    """The Spark session of a command."""
+    from .vault import default_session
+
+    return default_session()
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="memweft", description="Hybrid recall over directories of Markdown notes.")
     p.add_argument("--version", action="version", version=f"memweft {__version__}")
@@ -46,18 +53,18 @@ def main(argv=None) -> int:
     from .vault import Vault
 
     if a.command == "stats":
-        s = Vault(a.tenant).stats()
+        s = Vault(a.tenant, spark=session()).stats()
         print(f"memweft: {s['files']} files, {s['chunks']} chunks indexed at {s['index']}")
         return 0
     config = RecallConfig(half_life_days=a.half_life, mmr_lambda=a.mmr, recursive=a.recursive, strip_frontmatter=a.strip_frontmatter, ignore_globs=tuple(a.ignore))
     if a.command == "mcp":
         from .server import serve
 
-        serve(a.tenant, config)
+        serve(a.tenant, config, session())
     elif a.command == "index":
-        print(json.dumps(Vault(a.tenant, config).reindex()))
+        print(json.dumps(Vault(a.tenant, config, session()).reindex()))
     else:
-        hits = Vault(a.tenant, config).search(a.query, a.k)
+        hits = Vault(a.tenant, config, session()).search(a.query, a.k)
         if a.json:
             print(json.dumps(hits, indent=2))
         for h in [] if a.json else hits:
@@ -69,13 +76,11 @@ def analyze(tenant: str | None, as_json: bool, spark=None) -> int:
     """Print how well recall works, from the log."""
     from .operators import report
     from .sources.querylog import RecallLog, read_log
-    from .vault import default_session
-
     path = RecallLog.configured().path
     if not path or not os.path.exists(path):
         print(f"No query log yet. Run some recalls first (log: {path or 'disabled'}).")
         return 0
-    lines = report.recall_lines(read_log(spark or default_session(), path), os.path.basename(tenant.rstrip("/")) if tenant else None)
+    lines = report.recall_lines(read_log(spark or session(), path), os.path.basename(tenant.rstrip("/")) if tenant else None)
     one = report.overall(lines).first()
     if not one["recalls"]:
         print("No recall events match.")

@@ -37,18 +37,25 @@ def chunk_id(path: Column, hash_: Column) -> Column:
     return F.sha2(F.concat(path, F.lit("\u0000"), hash_), 256)
 
 
+def first_of_equal(rows: DataFrame, *more: str) -> DataFrame:
+    """(path, hash, more..., n_rows): of equal chunks (path, hash, seq, more...) of one file, the first by ``seq`` and what it has.
+
+    Combined before it is shuffled, so that a chunk delivered many times costs a row a task.
+    """
+    return rows.groupBy("path", "hash").agg(F.min(F.struct("seq", *more)).alias("f"), F.count(F.lit(1)).alias("n_rows")).select("path", "hash", "f.seq", *[f"f.{c}" for c in more], "n_rows")
+
+
 def chunk_files(files: DataFrame, config, now: float) -> DataFrame:
     """(tenant, cid, path, hash, seq, text, age_days, evergreen) of files (tenant, path, mtime, text).
 
-    Of equal chunks of one file the first stays. Ages are taken at ``now`` and not below 0; a null
+    ``path`` names one file. Of equal chunks of one file the first stays. Ages are taken at ``now`` and not below 0; a null
     mtime gives age 0. Files with null text have no chunks.
     """
     text = without_frontmatter(F.col("text")) if config.strip_frontmatter else F.col("text")
     rows = files.select("tenant", "path", "mtime", F.posexplode(chunk_markdown(text, config.chunk_chars)).alias("seq", "text"))
     rows = rows.withColumn("hash", content_hash(F.col("text"))).withColumn("cid", chunk_id(F.col("path"), F.col("hash")))
-    first = rows.groupBy("tenant", "path", "hash").agg(F.min(F.struct("seq", "cid", "text", "mtime")).alias("f"))
-    return first.select(
-        "tenant", "f.cid", "path", "hash", "f.seq", "f.text", F.coalesce(age_of("f.mtime", now), F.lit(0.0)).alias("age_days"), is_evergreen(F.col("path"), config.evergreen_re).alias("evergreen")
+    return first_of_equal(rows, "cid", "text", "mtime", "tenant").select(
+        "tenant", "cid", "path", "hash", "seq", "text", F.coalesce(age_of("mtime", now), F.lit(0.0)).alias("age_days"), is_evergreen(F.col("path"), config.evergreen_re).alias("evergreen")
     )
 
 

@@ -16,9 +16,9 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SLOTS = 1 << 16
 
 
-def occurrences(chunks: DataFrame) -> DataFrame:
-    """(tenant, cid, term, pos): every token occurrence of each different chunk."""
-    return chunks.select("tenant", "cid", F.posexplode(keyword_tokens("text")).alias("pos", "term"))
+def occurrences(chunks: DataFrame, *more: str) -> DataFrame:
+    """(tenant, cid, more..., pos, term): every token occurrence of each different chunk."""
+    return chunks.select("tenant", "cid", *more, F.posexplode(keyword_tokens("text")).alias("pos", "term"))
 
 
 def doc_lengths(chunks: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from ..config import RecallConfig
 from ..functions import text as T
 from ..operators import chunking, fusion, incremental, keyword, report, vectors
 from ..session import materialize, scratch_dir, table
+from ..sources import querylog
 from . import recall as R
+from .index import index_counts, missing_vectors
 
 CONFIG = RecallConfig(model="signed-hash-64", dim=64)
 HALF_LIFE = 30.0
@@ -74,7 +76,7 @@ def chunk_ids(spark, sf) -> DataFrame:
 def chunk_dedup(spark, sf) -> DataFrame:
     """The first chunk of each (path, hash), as delivered; a null hash is taken from the text."""
     c = table(spark, sf, "chunks").select("path", F.coalesce("hash", F.sha2("text", 256)).alias("hash"), "seq", "cid")
-    return c.groupBy("path", "hash").agg(F.min(F.struct("seq", "cid")).alias("f"), F.count(F.lit(1)).alias("n_rows")).select("path", "hash", "f.seq", "f.cid", "n_rows")
+    return chunking.first_of_equal(c, "cid")
 
 
 def provenance_dupes(spark, sf) -> DataFrame:
@@ -137,24 +139,26 @@ def snapshot_counters(spark, sf) -> DataFrame:
     return d.groupBy("tenant").agg(*[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("new", "changed", "unchanged", "deleted")])
 
 
+def _texts(spark, sf) -> DataFrame:
+    return table(spark, sf, "chunks").select(F.sha2("text", 256).alias("hash"))
+
+
 def embed_cache_counters(spark, sf) -> DataFrame:
     """For each model, distinct chunk texts whose vector is cached and such as must be embedded."""
-    texts = table(spark, sf, "chunks").select(F.sha2("text", 256).alias("hash")).distinct()
-    cache = table(spark, sf, "emb_cache").where("hash IS NOT NULL AND vec IS NOT NULL").select("hash", "model").distinct()
-    models = table(spark, sf, "models").select("model")
-    total = texts.agg(F.count(F.lit(1)).alias("total"))
-    hits = cache.join(texts, "hash", "left_semi").groupBy("model").agg(F.count(F.lit(1)).alias("cached"))
-    rows = models.join(hits, "model", "left").join(total, how="cross")  # one row
-    return rows.select("model", F.coalesce("cached", F.lit(0)).alias("cached"), (F.col("total") - F.coalesce("cached", F.lit(0))).alias("to_embed"))
+    texts, models = _texts(spark, sf), table(spark, sf, "models").select("model")
+    total = texts.where("hash IS NOT NULL").agg(F.countDistinct("hash").alias("total"))
+    lacking = missing_vectors(texts, table(spark, sf, "emb_cache"), models).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    rows = models.join(lacking, "model", "left").join(total, how="cross")  # one row
+    return rows.select("model", (F.col("total") - F.coalesce("n", F.lit(0))).alias("cached"), F.coalesce("n", F.lit(0)).alias("to_embed"))
 
 
 def embed_misses(spark, sf) -> DataFrame:
-    texts = table(spark, sf, "chunks").select(F.sha2("text", 256).alias("hash")).distinct()
-    return texts.join(table(spark, sf, "emb_cache").select("hash"), "hash", "left_anti")
+    """(hash, model) of every chunk text that lacks a vector of a model."""
+    return missing_vectors(_texts(spark, sf), table(spark, sf, "emb_cache"), table(spark, sf, "models"))
 
 
 def index_stats(spark, sf) -> DataFrame:
-    return table(spark, sf, "chunks").groupBy("tenant").agg(F.countDistinct("cid").alias("chunks"), F.countDistinct("path").alias("files"))
+    return index_counts(table(spark, sf, "chunks"))
 
 
 # --- recall --------------------------------------------------------------------------------------
@@ -228,9 +232,7 @@ def tenant_isolation(spark, sf) -> DataFrame:
 
 def render_recall(spark, sf) -> DataFrame:
     """The text block that the tool server answers with, for each query."""
-    h = _hits(spark, sf, replace(CONFIG, mmr_lambda=1.0))
-    block = F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("["), F.format_number("score", 5), F.lit("] "), "file", F.lit("\n"), "text").alias("b"))))
-    return h.groupBy("qid").agg(F.md5(F.array_join(F.transform(block, lambda x: x["b"]), "\n\n")).alias("rendered_md5"))
+    return R.rendered(_hits(spark, sf, replace(CONFIG, mmr_lambda=1.0))).select("qid", F.md5("block").alias("rendered_md5"))
 
 
 def hit_at_k_mrr(spark, sf) -> DataFrame:
@@ -256,13 +258,10 @@ def recent_misses(spark, sf) -> DataFrame:
 
 
 def recall_event_json(spark, sf) -> DataFrame:
-    """Log lines written as JSON and read back with the fixed schema: nothing is lost but what JSON can't say (NaN)."""
-    from ..sources.querylog import SCHEMA
-
-    log = table(spark, sf, "query_log").where("latency_ms IS NULL OR NOT isnan(latency_ms)")
-    cols = [f.name for f in SCHEMA.fields]
-    back = log.select("line_no", F.from_json(F.to_json(F.struct(*cols)), SCHEMA).alias("j"))
-    return back.select("line_no", *[f"j.{c}" for c in cols if c != "scores"], F.size(F.slice("j.scores", 1, 5)).alias("n_scores"))
+    """Log lines written as JSON and read back with the fixed schema: nothing is lost but what JSON can't say (a NaN is null)."""
+    log = table(spark, sf, "query_log").select("line_no", querylog.as_line().alias("value"))
+    back = log.select("line_no", F.from_json("value", querylog.SCHEMA).alias("j"))
+    return back.select("line_no", *[f"j.{f.name}" for f in querylog.SCHEMA.fields if f.name != "scores"], F.size("j.scores").alias("n_scores"))
 
 
 def windowed_recalls(spark, sf) -> DataFrame:
@@ -297,7 +296,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _tokens_sql(text: str) -> str:
+def tokens_sql(text: str) -> str:
     return f"regexp_extract_all(translate(lower(translate({text}, {_q(T.MARKS)}, '')), {_q(T.FOLD_FROM)}, {_q(T.FOLD_TO)}), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
 
@@ -311,16 +310,20 @@ def _terms_sql(query: str) -> str:
     return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {w} END"
 
 
-_BASE = f"""
+_DOCS = """
   docs AS (SELECT DISTINCT ON (cid) tenant, cid, path, text, age_days, evergreen FROM chunks WHERE cid IS NOT NULL AND tenant IS NOT NULL),
-  asked AS (SELECT tenant, line_no AS qid, query, top_file FROM query_log WHERE event = 'recall' AND tenant IS NOT NULL AND line_no % 100 = 0),
-  toks AS MATERIALIZED (SELECT tenant, cid, {_tokens_sql("text")} AS t FROM docs),
+  asked AS (SELECT tenant, line_no AS qid, query, top_file FROM query_log WHERE event = 'recall' AND tenant IS NOT NULL AND line_no % 100 = 0)"""
+
+_STATS = f"""
+  toks AS MATERIALIZED (SELECT tenant, cid, {tokens_sql("text")} AS t FROM docs),
   lens AS (SELECT tenant, cid, coalesce(len(t), 0) AS dl FROM toks),
   stats AS (SELECT tenant, count(*) AS n_docs, sum(dl) / count(*) AS avgdl FROM lens GROUP BY tenant)"""
 
+_BASE = f"{_DOCS}, {_STATS}"
+
 _FTS = f"""
   terms AS (SELECT tenant, qid, unnest({_terms_sql("query")}) AS term FROM asked),
-  phrases AS (SELECT tenant, qid, array_to_string(p, ' ') AS phrase, count(*) AS times FROM (SELECT tenant, qid, {_tokens_sql("term")} AS p FROM terms) WHERE len(p) > 0 GROUP BY ALL),
+  phrases AS (SELECT tenant, qid, array_to_string(p, ' ') AS phrase, count(*) AS times FROM (SELECT tenant, qid, {tokens_sql("term")} AS p FROM terms) WHERE len(p) > 0 GROUP BY ALL),
   occ AS MATERIALIZED (SELECT tenant, cid, term, pos FROM (SELECT tenant, cid, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks)),
   wanted AS (SELECT DISTINCT tenant, phrase, string_split(phrase, ' ') AS p FROM phrases),
   wtok AS (SELECT tenant, phrase, len(p) AS m, unnest(p) AS term, unnest(range(len(p))) AS i FROM wanted),
@@ -349,20 +352,26 @@ _VEC = f"""
   dist AS (SELECT q.tenant, q.qid, d.cid, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.vec[i]::DOUBLE - d.vec[i]::DOUBLE) * (q.vec[i]::DOUBLE - d.vec[i]::DOUBLE)))) AS d FROM qvec q JOIN dvec d ON q.tenant = d.tenant),
   vec AS (SELECT * FROM (SELECT tenant, qid, cid, row_number() OVER (PARTITION BY qid ORDER BY round(d, 12), cid) - 1 AS vec_rank FROM dist) WHERE vec_rank < 30)"""
 
-_FUSED = f"""{_BASE}, {_FTS}, {_VEC},
+
+def fused_sql(docs: str) -> str:
+    """From the CTEs docs and asked to fused."""
+    return f"""{docs}, {_STATS}, {_FTS}, {_VEC},
   fused AS (SELECT coalesce(v.tenant, f.tenant) AS tenant, coalesce(v.qid, f.qid) AS qid, coalesce(v.cid, f.cid) AS cid, vec_rank, fts_rank,
     coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + fts_rank), 0) AS fused FROM vec v FULL OUTER JOIN fts f ON v.qid = f.qid AND v.cid = f.cid)"""
 
 
-def _ranked_sql(half_life: float) -> str:
+_FUSED = fused_sql(_DOCS)
+
+
+def ranked_sql(half_life: float) -> str:
     score = "fused" if half_life <= 0 else f"round(CASE WHEN coalesce(evergreen, false) OR age_days IS NULL THEN fused ELSE fused * exp({-math.log(2.0) / half_life!r}::DOUBLE * age_days) END, 12)"
     return f"""
   scored AS (SELECT f.*, d.path, d.text, {score} AS score FROM fused f JOIN docs d USING (cid)),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_rank ASC NULLS LAST, fts_rank ASC NULLS LAST, cid) - 1 AS i, count(*) OVER (PARTITION BY qid) AS n_all FROM scored)"""
 
 
-def _mmr_sql(half_life: float) -> str:
-    return f"""WITH RECURSIVE {_FUSED}, {_ranked_sql(half_life)},
+def mmr_sql(half_life: float, fused: str = _FUSED) -> str:
+    return f"""WITH RECURSIVE {fused}, {ranked_sql(half_life)},
   cand AS MATERIALIZED (SELECT qid, i, cid, path, text, score, least(n_all, 20) AS n, n_all, list_distinct({_WORDS.format("text")}) AS t FROM ranked WHERE i < 20),
   jac AS MATERIALIZED (SELECT a.qid, a.i, b.i AS j, len(list_intersect(a.t, b.t)) / greatest(1, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE AS s FROM cand a JOIN cand b ON a.qid = b.qid AND a.i <> b.i),
   steps(qid, pos, i, sel) AS (
@@ -373,13 +382,13 @@ def _mmr_sql(half_life: float) -> str:
       FROM steps s WHERE s.pos < 4) WHERE nxt IS NOT NULL)"""
 
 
-_PARAS = "list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g')), lambda p: length(p) > 0)"
-_BODY = "regexp_replace(text, '(?s)\\A---\\r?\\n.*?\\r?\\n---\\r?\\n', '')"
+PARAS = "list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g')), lambda p: length(p) > 0)"
+BODY = "regexp_replace(text, '(?s)\\A---\\r?\\n.*?\\r?\\n---\\r?\\n', '')"
 
 SQL = {
-    "recall_full": f"{_mmr_sql(HALF_LIFE)} SELECT s.qid, s.pos::INTEGER AS pos, c.cid AS id, round(c.score, 5) AS score, c.path AS file, substr(c.text, 1, 80) AS snippet FROM steps s JOIN cand c ON s.qid = c.qid AND s.i = c.i",
-    "mmr_diversity": f"{_mmr_sql(0)} SELECT s.qid, s.pos::INTEGER AS pos, c.cid AS id, round(c.score, 5) AS score FROM steps s JOIN cand c ON s.qid = c.qid AND s.i = c.i",
-    "recall_plain": f"WITH {_FUSED}, {_ranked_sql(0)} SELECT qid, i::INTEGER AS pos, cid AS id, round(score, 5) AS score, path AS file FROM ranked WHERE i < 5",
+    "recall_full": f"{mmr_sql(HALF_LIFE)} SELECT s.qid, s.pos::INTEGER AS pos, c.cid AS id, round(c.score, 5) AS score, c.path AS file, substr(c.text, 1, 80) AS snippet FROM steps s JOIN cand c ON s.qid = c.qid AND s.i = c.i",
+    "mmr_diversity": f"{mmr_sql(0)} SELECT s.qid, s.pos::INTEGER AS pos, c.cid AS id, round(c.score, 5) AS score FROM steps s JOIN cand c ON s.qid = c.qid AND s.i = c.i",
+    "recall_plain": f"WITH {_FUSED}, {ranked_sql(0)} SELECT qid, i::INTEGER AS pos, cid AS id, round(score, 5) AS score, path AS file FROM ranked WHERE i < 5",
     "rrf_hybrid": f"WITH {_FUSED} SELECT qid, cid, round(fused, 9) AS fused, vec_rank::INTEGER AS vec_rank, fts_rank::INTEGER AS fts_rank FROM fused",
     "bm25_scores": f"WITH {_BASE}, {_FTS} SELECT qid, cid, round(score, 6) AS score FROM bm",
     "bm25_topk": f"WITH {_BASE}, {_FTS} SELECT qid, cid, fts_rank::INTEGER AS fts_rank FROM fts",
@@ -390,13 +399,13 @@ SELECT qid, vec_id, round(dist, 6) AS dist, rank::INTEGER AS rank FROM r WHERE r
     "vector_ranks": f"WITH {_BASE}, {_VEC} SELECT qid, cid, vec_rank::INTEGER AS vec_rank FROM vec",
     "temporal_decay": f"WITH {_BASE} SELECT cid, round(CASE WHEN coalesce(evergreen, false) OR age_days IS NULL THEN 1.0::DOUBLE ELSE exp({-math.log(2.0) / HALF_LIFE!r}::DOUBLE * age_days) END, 9) AS factor FROM docs",
     "tenant_isolation": "WITH c AS (SELECT DISTINCT tenant FROM chunks) SELECT DISTINCT q.tenant, 0::BIGINT AS foreign_hits FROM query_log q JOIN c ON q.tenant = c.tenant WHERE event = 'recall' AND line_no % 100 = 0",
-    "render_recall": f"WITH {_FUSED}, {_ranked_sql(0)} SELECT qid, md5(string_agg('[' || printf('%.5f', round(score, 5)) || '] ' || path || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS rendered_md5 FROM ranked WHERE i < 5 GROUP BY qid",
-    "hit_at_k_mrr": f"""WITH {_FUSED}, {_ranked_sql(0)}, w AS (SELECT qid, top_file FROM asked WHERE top_file IS NOT NULL),
+    "render_recall": f"WITH {_FUSED}, {ranked_sql(0)} SELECT qid, md5(string_agg('[' || printf('%.5f', round(score, 5)) || '] ' || path || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS rendered_md5 FROM ranked WHERE i < 5 GROUP BY qid",
+    "hit_at_k_mrr": f"""WITH {_FUSED}, {ranked_sql(0)}, w AS (SELECT qid, top_file FROM asked WHERE top_file IS NOT NULL),
   f AS (SELECT w.qid, min(i) + 1 AS r FROM w LEFT JOIN ranked ON ranked.qid = w.qid AND ranked.path = w.top_file AND i < 5 GROUP BY w.qid)
 SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM f""",
-    "fts_tokens": f"SELECT doc_id, coalesce(len(t), 0)::INTEGER AS n_tokens, coalesce(len(list_distinct(t)), 0)::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)",
+    "fts_tokens": f"SELECT doc_id, coalesce(len(t), 0)::INTEGER AS n_tokens, coalesce(len(list_distinct(t)), 0)::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
     "fts_query_terms": f"SELECT line_no, array_to_string({_terms_sql('query')}, ' ') AS terms FROM query_log",
-    "chunk_markdown": f"""WITH RECURSIVE src AS (SELECT doc_id, {_BODY} AS body FROM documents WHERE text IS NOT NULL), paras AS (SELECT doc_id, {_PARAS} AS p FROM src),
+    "chunk_markdown": f"""WITH RECURSIVE src AS (SELECT doc_id, {BODY} AS body FROM documents WHERE text IS NOT NULL), paras AS (SELECT doc_id, {PARAS} AS p FROM src),
   fold(doc_id, p, i, cur, seq, done) AS (
     SELECT doc_id, p, 1, '', 0, NULL::VARCHAR FROM paras WHERE len(p) > 0
     UNION ALL
@@ -406,7 +415,7 @@ SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS h
       CASE WHEN i > len(p) OR length(cur) + length(p[i]) >= 1500 THEN nullif(cur, '') END
     FROM fold WHERE i <= len(p) + 1)
 SELECT doc_id, seq::INTEGER AS seq, length(done)::INTEGER AS n, md5(done) AS chunk_md5 FROM fold WHERE done IS NOT NULL""",
-    "strip_frontmatter": f"SELECT doc_id, md5({_BODY}) AS body_md5 FROM documents",
+    "strip_frontmatter": f"SELECT doc_id, md5({BODY}) AS body_md5 FROM documents",
     "chunk_ids": "SELECT cid, sha256(text) AS hash, sha256(path || chr(0) || sha256(text)) AS made_cid FROM (SELECT DISTINCT cid, path, text FROM chunks)",
     "chunk_dedup": "SELECT path, coalesce(hash, sha256(text)) AS hash, min(seq) AS seq, arg_min(cid, (seq, cid)) AS cid, count(*) AS n_rows FROM chunks GROUP BY 1, 2",
     "provenance_dupes": "SELECT sha256(text) AS hash, count(*) AS n_paths, min(path) AS first_path FROM (SELECT DISTINCT text, path FROM chunks) GROUP BY text HAVING count(*) > 1",
@@ -425,7 +434,8 @@ SELECT tenant, path, mtime, run FROM was WHERE old IS NULL OR old <> mtime""",
     "snapshot_counters": f"WITH {_STATES} SELECT tenant, count(*) FILTER (state = 'new') AS n_new, count(*) FILTER (state = 'changed') AS n_changed, count(*) FILTER (state = 'unchanged') AS n_unchanged, count(*) FILTER (state = 'deleted') AS n_deleted FROM diff GROUP BY tenant",
     "embed_cache_counters": """WITH t AS (SELECT DISTINCT sha256(text) AS hash FROM chunks WHERE text IS NOT NULL), e AS (SELECT DISTINCT hash, model FROM emb_cache WHERE hash IS NOT NULL AND vec IS NOT NULL)
 SELECT m.model, count(t.hash) AS cached, (SELECT count(*) FROM t) - count(t.hash) AS to_embed FROM models m LEFT JOIN e ON e.model = m.model LEFT JOIN t ON t.hash = e.hash GROUP BY m.model""",
-    "embed_misses": "SELECT DISTINCT sha256(text) AS hash FROM chunks WHERE sha256(text) NOT IN (SELECT hash FROM emb_cache WHERE hash IS NOT NULL)",
+    "embed_misses": """SELECT DISTINCT sha256(text) AS hash, m.model FROM chunks, models m WHERE text IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM emb_cache e WHERE e.hash = sha256(text) AND e.model = m.model AND vec IS NOT NULL)""",
     "index_stats": "SELECT tenant, count(DISTINCT cid) AS chunks, count(DISTINCT path) AS files FROM chunks GROUP BY tenant",
     "analyze_overall": """WITH l AS (SELECT "empty" AS e, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS lat, top_score FROM query_log WHERE event = 'recall'), s AS (SELECT list_sort(list(lat) FILTER (lat IS NOT NULL)) AS v FROM l)
 SELECT count(*) AS recalls, round(count(*) FILTER (e) / count(*), 3) AS empty_rate, round(median(lat), 1) AS latency_p50_ms, round((SELECT v[floor(len(v) * 0.95)::BIGINT + 1] FROM s WHERE len(v) > 2), 1) AS latency_p95_ms, round(avg(top_score), 5) AS avg_top_score FROM l""",
@@ -433,5 +443,5 @@ SELECT count(*) AS recalls, round(count(*) FILTER (e) / count(*), 3) AS empty_ra
     "recent_misses": "SELECT line_no, substr(query, 1, 70) AS query FROM query_log WHERE event = 'recall' AND \"empty\" ORDER BY line_no DESC LIMIT 8",
     "windowed_recalls": """SELECT coalesce(tenant, '?') AS tenant, strftime(make_timestamp(floor(ts / 86400)::BIGINT * 86400000000), '%Y-%m-%d') AS day, count(*) AS recalls, round(avg(CASE WHEN coalesce("empty", false) THEN 1.0 ELSE 0.0 END), 6) AS empty_rate, round(avg(CASE WHEN NOT isnan(latency_ms) THEN latency_ms END), 3) AS mean_latency_ms
 FROM query_log WHERE event = 'recall' AND ts IS NOT NULL GROUP BY 1, 2""",
-    "recall_event_json": "SELECT line_no, ts, event, tenant, query, n_results, top_score, top_file, latency_ms, \"empty\", len(scores[1:5])::INTEGER AS n_scores FROM query_log WHERE latency_ms IS NULL OR NOT isnan(latency_ms)",
+    "recall_event_json": "SELECT line_no, ts, event, tenant, query, n_results, top_score, top_file, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS latency_ms, \"empty\", coalesce(len(scores), -1)::INTEGER AS n_scores FROM query_log",
 }

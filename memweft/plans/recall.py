@@ -10,7 +10,7 @@ from ..functions.text import snippet, words
 from ..operators import fusion, keyword, vectors
 
 
-def recall(chunks: DataFrame, chunk_vecs: DataFrame, queries: DataFrame, query_vecs: DataFrame, config: RecallConfig, occ: DataFrame | None = None) -> DataFrame:
+def recall(chunks: DataFrame, chunk_vecs: DataFrame, queries: DataFrame, query_vecs: DataFrame, config: RecallConfig, occ: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(tenant, qid, pos, id, score, file, text, snippet): the hits of each query in order of selection.
 
     ``chunks`` (tenant, cid, path, text, age_days, evergreen) has each cid once; ``chunk_vecs`` is (tenant,
@@ -21,7 +21,7 @@ def recall(chunks: DataFrame, chunk_vecs: DataFrame, queries: DataFrame, query_v
     keys = ["tenant", "qid"]
     vec = vectors.nearest(chunk_vecs.withColumnRenamed("cid", "id"), query_vecs, "tenant", config.vec_pool)
     vec = vec.select("tenant", "qid", F.col("id").alias("cid"), F.col("rank").alias("vec_rank"))
-    fts = keyword.bm25_top(chunks.select("tenant", "cid", "text"), queries.select("tenant", "qid", "query"), config.fts_pool, occ)
+    fts = keyword.bm25_top(chunks.select("tenant", "cid", "text"), queries.select("tenant", "qid", "query"), config.fts_pool, occ, lengths)
     fused = fusion.reciprocal_rank_fusion(vec, fts, config.rrf_k, keys)
     return select_hits(fused, chunks, queries, config)
 
@@ -54,6 +54,13 @@ def select_hits(fused: DataFrame, chunks: DataFrame, queries: DataFrame, config:
     )
 
 
+def rendered(hits: DataFrame) -> DataFrame:
+    """(qid, block): the hits of each query as one text, in order: score and file in a line, then the text, a blank line between hits."""
+    one = F.concat(F.lit("["), F.format_number("score", 5), F.lit("] "), "file", F.lit("\n"), "text").alias("b")
+    block = F.array_sort(F.collect_list(F.struct("pos", one)))
+    return hits.groupBy("qid").agg(F.array_join(F.transform(block, lambda x: x["b"]), "\n\n").alias("block"))
+
+
 def hit_rates(hits: DataFrame, wanted: DataFrame, n_at: tuple[int, ...] = (1, 3)) -> DataFrame:
     """One row (n, hit1, hit3, ..., mrr): how early the wanted file of each query comes.
 

@@ -106,3 +106,25 @@ def with_text(files: DataFrame, root: str) -> DataFrame:
             yield pdf.assign(text=[read_text(os.path.join(root, p)) for p in pdf["path"]]) if len(pdf) else pd.DataFrame({"tenant": [], "path": [], "mtime": [], "text": []})
 
     return files.select("tenant", "path", "mtime").mapInPandas(run, "tenant string, path string, mtime double, text string")
+
+
+def write_notes(notes: DataFrame, root: str) -> int:
+    """Write notes (path, text, mtime) as files below ``root``, a folder that executors share; returns how many.
+
+    Folders are made as needed, newlines are kept as they are, and a note replaces one of its path. Notes without a
+    path or text are left out; a null mtime leaves the time of writing.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for path, text, mtime in zip(pdf["path"], pdf["text"], pdf["mtime"]):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8", errors="ignore", newline="") as f:
+                    f.write(text)
+                if mtime == mtime and mtime is not None:
+                    os.utime(full, (mtime, mtime))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows = notes.where("path IS NOT NULL AND text IS NOT NULL").select("path", "text", "mtime")
+    return sum(r["n"] for r in rows.mapInPandas(run, "n long").collect())  # a number a batch

@@ -47,11 +47,16 @@ def recall_events(queries: DataFrame, hits: DataFrame, ts: Column, latency_ms: C
     return rows.select("qid", *[made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
 
 
-def as_lines(events: DataFrame) -> DataFrame:
-    """(value): each event as a line of JSON. A number that JSON can't say (NaN, infinite) is left out."""
+def as_line() -> Column:
+    """A row of the log's columns as a line of JSON. A number that JSON can't say (NaN, infinite) is null."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c))
     cols = [finite(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in SCHEMA.fields]
-    return events.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def write_lines(events: DataFrame, path: str) -> None:
+    """Append a batch of events to the log folder ``path``, as files of lines."""
+    events.select(as_line().alias("value")).write.mode("append").text(path)
 
 
 @dataclass(frozen=True)

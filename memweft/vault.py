@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RecallConfig, cache_home
+from .local import MOST_BYTES, LocalIndex, index_bytes
 from .operators import vectors
 from .plans import index, recall
 from .session import ship
@@ -25,6 +26,12 @@ def default_session() -> SparkSession:
     return spark
 
 
+def index_name(tenant_dir: str) -> str:
+    """Name of a directory's index: its base name and the first 16 hex digits of the hash of its absolute path."""
+    where = os.path.abspath(tenant_dir)
+    return f"{os.path.basename(where) or 'root'}-{hashlib.sha256(where.encode()).hexdigest()[:16]}"
+
+
 class Vault:
     """Index and search one directory. The files are the truth; the index lies elsewhere and can be rebuilt."""
 
@@ -36,13 +43,13 @@ class Vault:
         ship(self.spark)
         base = os.path.expanduser(self.config.db_dir) if self.config.db_dir else cache_home()
         self.tenant = os.path.basename(self.dir) or "root"
-        tag = hashlib.sha256(self.dir.encode()).hexdigest()[:16]
-        self.index_path = os.path.join(base, f"{self.tenant}-{tag}")
+        self.index_path = os.path.join(base, index_name(self.dir))
         self.store = SnapshotStore(self.index_path)
         self._healing = threading.Lock()
+        self._local: tuple[int, LocalIndex | None] = (0, None)
 
-    def reindex(self, full: bool = False) -> dict:
-        return index.reindex(self.spark, self.store, self.dir, self.tenant, self.config, full)
+    def reindex(self, full: bool = False, now: float | None = None) -> dict:
+        return index.reindex(self.spark, self.store, self.dir, self.tenant, self.config, full, now)
 
     def snapshot(self) -> index.Snapshot:
         return index.Snapshot(self.spark, self.store, self.store.current())
@@ -55,10 +62,21 @@ class Vault:
         chunks = snap.chunks
         if self.config.live_age:
             chunks = chunks.withColumn("age_days", F.greatest(F.lit(0.0), (F.lit(time.time()) - F.col("mtime")) / F.lit(86400.0)))
-        vecs = chunks.select("tenant", "cid", "hash").join(snap.cache.where(F.col("model") == self.config.model).select("hash", "vec"), "hash").select("tenant", "cid", "vec")
+        vecs = index.chunk_vectors(chunks, snap.cache, self.config.model)
         queries = queries.select(F.lit(self.tenant).alias("tenant"), "qid", "query", "k")
         asked = queries.select("tenant", "qid", vectors.embed(F.col("query"), self.config.model, self.config.dim).alias("vec"))
-        return recall.recall(chunks, vecs, queries, asked, self.config, snap.occ)
+        return recall.recall(chunks, vecs, queries, asked, self.config, snap.occ, snap.lengths)
+
+    def _held(self, meta: dict) -> LocalIndex | None:
+        """The current version in memory, if it is small enough; read once."""
+        version, held = self._local
+        if version != meta["version"]:
+            snap = index.Snapshot(self.spark, self.store, meta)
+            held = LocalIndex(snap, self.config) if index_bytes(snap) <= MOST_BYTES else None
+            self._local = (meta["version"], held)
+        elif held is not None:
+            held.snapshot.check()
+        return held
 
     def search(self, query: str, k: int = 5) -> list[dict]:
         """The hits of one query in order; every search is logged.
@@ -68,12 +86,17 @@ class Vault:
         """
         start = time.perf_counter()
         hits: list[dict] = []
-        if self.store.current() is not None:
+        meta = self.store.current()
+        if index.mismatch(meta, self.config):
+            raise ValueError("the index was built with another model; reindex first")
+        if meta is not None:
             try:
-                rows = self.recall(self.spark.createDataFrame([(0, query, k)], "qid long, query string, k int")).orderBy("pos").collect()
-                hits = [{c: r[c] for c in ("id", "score", "file", "text", "snippet")} for r in rows]
-            except ValueError:
-                raise
+                held = self._held(meta)
+                if held is not None:
+                    hits = held.search(query, k, self.config, time.time())
+                else:
+                    rows = self.recall(self.spark.createDataFrame([(0, query, k)], "qid long, query string, k int")).orderBy("pos").collect()
+                    hits = [{c: r[c] for c in ("id", "score", "file", "text", "snippet")} for r in rows]
             except Exception as e:
                 if not _damaged(e):
                     raise
@@ -96,9 +119,7 @@ class Vault:
 
         def run():
             try:
-                self.store.discard(self.store.current()["version"]) if self.store.current() else None
-                os.replace(os.path.join(self.index_path, "CURRENT"), os.path.join(self.index_path, "CURRENT.bad"))
-                self.reindex(full=True)
+                self.reindex()  # under the store's lock it sees the damage, reads all files again and keeps what vectors are whole
             except Exception:
                 pass
             finally:
@@ -109,7 +130,7 @@ class Vault:
         return t
 
     def stats(self) -> dict:
-        row = self.snapshot().chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("path").alias("files")).first()
+        row = index.index_counts(self.snapshot().chunks).first() or {"files": 0, "chunks": 0}
         return {"files": row["files"], "chunks": row["chunks"], "index": self.index_path}
 
 

@@ -177,7 +177,7 @@ def test_events_and_typed_lines_agree(spark, tmp_path):
     log = L.RecallLog(str(tmp_path / "d" / "log.jsonl"))
     log.append(L.Recall("t", "a", tuple((1.0 / (i + 1), f"f{i}") for i in range(7)), 5.00049, 1.26))
     mine = json.loads(open(log.path).read())
-    theirs = json.loads(L.as_lines(L.recall_events(queries, hits, F.lit(5.00049), F.lit(1.26)).where("qid = 1")).first()["value"])
+    theirs = json.loads(L.recall_events(queries, hits, F.lit(5.00049), F.lit(1.26)).where("qid = 1").select(L.as_line().alias("value")).first()["value"])
     assert mine == theirs and list(mine) == [f.name for f in L.SCHEMA.fields]
     L.RecallLog(None).append(L.Recall("t", "a", (), 0.0, 0.0))
     L.RecallLog(str(tmp_path)).append(L.Recall("t", "a", (), 0.0, 0.0))  # a folder: dropped without an error

@@ -3,6 +3,7 @@
 import pytest
 
 from memweft.plans import queries as Q
+from memweft.plans import vault_queries as VQ
 
 from .compare import assert_same
 
@@ -12,8 +13,13 @@ def test_same_as_sql(spark, sf, duck, name):
     assert_same(Q.QUERIES[name](spark, sf), duck, Q.SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(VQ.SQL))
+def test_vault_same_as_sql(spark, sf, duck, name):
+    assert_same(VQ.QUERIES[name](spark, sf), duck, VQ.SQL[name])
+
+
 def test_every_query_has_sql():
-    assert set(Q.SQL) == set(Q.QUERIES)
+    assert set(Q.SQL) == set(Q.QUERIES) and set(VQ.SQL) == set(VQ.QUERIES)
 
 
 def test_entry_runs_without_the_llm_folder(spark):

@@ -84,7 +84,7 @@ def test_model_switch_and_failed_rebuild(make, spark, monkeypatch):
 def test_damaged_index_heals(make):
     v = make({"a.md": "alpha"})
     v.reindex()
-    for root, _, names in os.walk(v.store.path(v.store.current()["version"], "chunks")):
+    for root, _, names in os.walk(v.store.path(v.store.current()["version"], "chunks")):  # every bucket
         for n in names:
             os.remove(os.path.join(root, n))
     assert v.search("alpha") == []
