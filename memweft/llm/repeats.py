@@ -143,11 +143,15 @@ def counted_sketch(df: DataFrame, keys: Keys, n_keys: int, per_key: int = PER_KE
 
 
 def _blocks(batches, keys: Keys):
-    """(h, owner, place) of batches put together to ``BLOCK`` keys or more, sorted by hash and owner."""
+    """(h, owner, place) of batches put together to ``BLOCK`` keys or more, sorted by hash and owner.
+
+    Hashes are mixed once more: those of winnowed windows are minima, and would all lie in the lowest range.
+    """
     held, n = [], 0
 
     def sorted_():
         h, o, p = (np.concatenate(x) for x in zip(*held))
+        h = V.mix(h + V.U(0x8CB92BA72F3D8DD7))
         order = np.lexsort((o, h))
         return h[order], o[order], p[order]
 
@@ -165,7 +169,7 @@ _PACKED = "part int, h binary, owner binary, place binary"
 
 
 def in_ranges(df: DataFrame, keys: Keys, n_keys: int) -> DataFrame:
-    """(h, owner, place) of the keys that may be repeated, by counting each hash range in a task.
+    """(h, owner, place) of the keys that may be repeated, by counting each hash range in a task; h is another hash of the key.
 
     Rows in transit hold the keys of one block and range as packed arrays; rows without owners are marks.
     """
