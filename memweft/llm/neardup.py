@@ -23,13 +23,15 @@ from ..session import materialize
 from . import vectext as V
 from .canonical import canonical_hashes
 from .components import components
-from .repeats import cells_for, counted_sketch, in_ranges, merged_counts
+from .repeats import cells_for, maybe_repeated, merged_counts
 
 #: Words in a k-mer and the least similarity, as the data's statement of the problem has them.
 K, THRESHOLD = 3, 0.6
 #: Sketches for each record, and k-mers in a sketch. Pairs that agree in no sketch are lost: over the true
 #: pairs of sf0.1, 0.0155 % are to be expected with 18 sketches, 0.0097 % with 20, 0.0002 % with 40.
 SKETCHES, ELL = 40, 2
+#: Bits to which a set's k-mers are hashed, to tell most pairs that can't reach the threshold without their texts.
+BITS = 512
 #: At most so many k-mers have a weight of their own.
 HOT = 1 << 17
 #: Buckets of more classes than this take the exact prefix path.
@@ -79,11 +81,11 @@ def _segments(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def order_sketches(texts: list[str], heavy, k: int = K, sketches: int = SKETCHES, ell: int = ELL):
-    """For each text with a k-mer: (index, distinct k-mers, two signatures of their set, sketch hashes)."""
+    """For each text with a k-mer: (index, distinct k-mers, two signatures of their set, its bits, sketch hashes)."""
     hot, weight = heavy
     h, doc = V.shingles(*V.words(texts), k)
     if not len(h):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, V.U), np.empty(0, V.U), np.empty((0, sketches), V.U)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, V.U), np.empty(0, V.U), np.empty((0, BITS // 64), np.int64), np.empty((0, sketches), V.U)
     # occurrence labels: the n-th time that this text has this k-mer
     order = np.lexsort((h, doc))
     hs, ds = h[order], doc[order]
@@ -98,37 +100,43 @@ def order_sketches(texts: list[str], heavy, k: int = K, sketches: int = SKETCHES
     seg, _ = _segments(ids)
     which, size = ids[seg], np.diff(np.r_[seg, len(ids)])
     sums = [np.add.reduceat(V.mix(hs[new] + V.U(s)), seg) for s in (11, 12)]
+    # bits that the set's k-mers hash to: what one set has and another lacks is at least what its bits show
+    seen = np.zeros((len(which), BITS), bool)
+    seen[np.repeat(np.arange(len(seg)), size), (V.mix(hs[new] + V.U(13)) & V.U(BITS - 1)).astype(np.int64)] = True
+    bits = np.packbits(seen, axis=1).view(np.int64)
     # exponential race, in the form u ** cost: the larger the value, the earlier the k-mer
     common = np.empty(0, np.int64)
     if len(hot):
         at = np.searchsorted(hot, h).clip(max=len(hot) - 1)
         common = np.flatnonzero(hot[at] == h)
         power = weight[at[common]]
-    first, at_run = _segments(doc)
+    first, _ = _segments(doc)
     out = np.empty((len(first), sketches), V.U)
-    for j in range(sketches):
+    place = np.arange(len(h), dtype=V.U)[::-1]  # of ties the first
+    for j in range(0, sketches, 2):
+        # each half of a hash draws for one sketch; the value and the place in one number, so that one maximum gives both
         x = V.mix(label ^ V.U(0xA0761D6478BD642F * (j + 1) & 0xFFFFFFFFFFFFFFFF))
-        e = (x >> V.U(11)).view(np.int64) * 2.0**-53
-        if len(common):
-            e[common] **= power
-        picks = []
-        for _ in range(ell):
-            top = np.maximum.reduceat(e, first)
-            hit = np.flatnonzero(e == top[at_run])
-            run = at_run[hit]
-            pick = hit[np.r_[True, run[1:] != run[:-1]]]  # of ties the first
-            picks.append(pick)
-            e[pick] = -1.0
-        picks = np.sort(np.stack(picks), axis=0)
-        acc = np.full(len(first), V.U(j + 1))
-        for p in picks:
-            acc = V.mix(acc * V.U(3) + label[p])
-        out[:, j] = acc
-    return which, size, *sums, out
+        for half, draw in enumerate((x >> V.U(32), x & V.U(0xFFFFFFFF))[: sketches - j]):
+            if len(common):
+                e = draw.astype(np.float32) * np.float32(2.0**-32)
+                e[common] **= power
+                draw = e.view(np.uint32).astype(V.U)
+            key = draw << V.U(32) | place
+            picks = []
+            for _ in range(ell):
+                pick = len(h) - 1 - (np.maximum.reduceat(key, first) & V.U(0xFFFFFFFF)).astype(np.int64)
+                picks.append(pick)
+                key[pick] = place[pick]
+            picks = np.sort(np.stack(picks), axis=0)
+            acc = np.full(len(first), V.U(j + half + 1))
+            for p in picks:
+                acc = V.mix(acc * V.U(3) + label[p])
+            out[:, j + half] = acc
+    return which, size, *sums, bits, out
 
 
 def sketch_table(chunks: DataFrame, k: int = K, sketches: int = SKETCHES, ell: int = ELL, hot: int = HOT) -> DataFrame:
-    """(cid, key, cls, n_set, sketch): every chunk that has at least one k-mer, written to scratch.
+    """(cid, key, cls, n_set, bits, sketch): every chunk that has at least one k-mer, written to scratch.
 
     ``cls`` names the class of chunks with the same canonical key and the same k-mer set. Chunks of one
     class have the same similarity to all others.
@@ -140,15 +148,15 @@ def sketch_table(chunks: DataFrame, k: int = K, sketches: int = SKETCHES, ell: i
         for pdf in batches:
             texts = pdf["text"].tolist()
             for i, j in V.blocks(texts):
-                which, size, s1, s2, sk = order_sketches(texts[i:j], heavy.value, k, sketches, ell)
+                which, size, s1, s2, bits, sk = order_sketches(texts[i:j], heavy.value, k, sketches, ell)
                 if not len(which):
                     continue
                 part = pdf.iloc[i:j].iloc[which]
                 key = canonical_hashes(part["text"].tolist())
-                yield pd.DataFrame({"cid": part["cid"], "key": key.view(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "n_set": size, "sketch": list(sk.view(np.int64))})
+                yield pd.DataFrame({"cid": part["cid"], "key": key.view(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "n_set": size, "bits": list(bits), "sketch": list(sk.view(np.int64))})
 
-    rows = usable.mapInPandas(run, "cid string, key long, s1 long, s2 long, n_set long, sketch array<long>")
-    return materialize(rows.select("cid", "key", F.xxhash64("key", "s1", "s2").alias("cls"), "n_set", "sketch"))
+    rows = usable.mapInPandas(run, "cid string, key long, s1 long, s2 long, n_set long, bits array<long>, sketch array<long>")
+    return materialize(rows.select("cid", "key", F.xxhash64("key", "s1", "s2").alias("cls"), "n_set", "bits", "sketch"))
 
 
 def _flat(batch, column: str) -> np.ndarray:
@@ -163,30 +171,14 @@ def _offsets(batch, column: str) -> np.ndarray:
 
 
 def _maybe_shared(docs: DataFrame) -> DataFrame:
-    """(cls, bucket) of the sketches that more than one chunk may have.
-
-    Most sketches occur once. Count-min sketches drop those: while one sketch can hold them all, before anything is
-    shuffled, beyond that in the tasks of their hash ranges.
-    """
+    """(cls, bucket) of the sketches that more than one chunk may have. Most sketches occur once; count-min sketches drop those."""
     rows = docs.agg(F.count(F.lit(1))).first()[0]
 
     def keys(b):
         cls = np.repeat(b.column("cls").to_numpy(zero_copy_only=False), np.diff(_offsets(b, "sketch")))
         return _flat(b, "sketch").view(V.U), cls, np.zeros(len(cls), np.int32)
 
-    docs = docs.select("cls", "sketch")
-    sketch = counted_sketch(docs, keys, rows * SKETCHES, 4)
-    if sketch is None:
-        return in_ranges(docs, keys, rows * SKETCHES).select(F.col("owner").alias("cls"), F.col("h").alias("bucket"))
-    seen = docs.sparkSession.sparkContext.broadcast(sketch)  # at most MOST_CELLS counters
-
-    def keep(batches):
-        for b in batches:
-            h, cls, _ = keys(b)
-            hit = seen.value.repeated(h)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(h[hit].view(np.int64))], ["cls", "bucket"])
-
-    return docs.mapInArrow(keep, "cls long, bucket long")
+    return maybe_repeated(docs.select("cls", "sketch"), keys, rows * SKETCHES).select(F.col("owner").alias("cls"), F.col("h").alias("bucket"))
 
 
 def _pairs_in(ids: str) -> F.Column:
@@ -209,7 +201,20 @@ def candidates(docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float
     hot = shared.where(F.col("n") > crowd).select("bucket", "cls")
     if not hot.isEmpty():
         pairs = pairs.union(prefix_pairs(hot, _kmer_sets(hot.select("cls").distinct(), docs, chunks, k), threshold))
-    return pairs.where("a <> b").distinct()
+    return within_reach(pairs.where("a <> b").distinct(), docs, threshold)
+
+
+def within_reach(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose Jaccard similarity may reach the threshold, by the sizes and bits of their sets; loses none that does.
+
+    Two k-mers with different bits differ, so a set has at least as many k-mers that the other lacks as it has bits
+    that the other lacks; what both have is at most the rest.
+    """
+    sets = materialize(docs.select("cls", "n_set", "bits").dropDuplicates(["cls"]))
+    a, b = (sets.select(F.col("cls").alias(s), F.col("n_set").alias(f"n{s}"), F.col("bits").alias(f"b{s}")) for s in "ab")
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+    both = F.least(F.col("na") - lacks("ba", "bb"), F.col("nb") - lacks("bb", "ba"))
+    return pairs.join(a, "a").join(b, "b").where(both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -371,7 +376,7 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, k: int = K)
     """(links, docs): verified links between classes, and the membership of every chunk.
 
     links: (a, b, jaccard, edit_similarity) with a < b, Jaccard at or above ``threshold``; classes of
-    one canonical key are linked too if their k-mer sets differ. docs: (cid, key, cls, n_set, sketch).
+    one canonical key are linked too if their k-mer sets differ. docs: (cid, key, cls, n_set, bits, sketch).
     Null cids or texts and texts of fewer than k words have no links. Repeated rows of a cid count once.
     """
     docs = sketch_table(chunks, k)
@@ -478,6 +483,6 @@ def recall(chunks: DataFrame, every: int = 100) -> DataFrame:
     ranked = sets.join(asked, "cls").join(df, "h").select("cls", "h", F.row_number().over(own.orderBy("df", "h")).alias("r"), F.count(F.lit(1)).over(own).alias("n"))
     rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD) + 1).select(F.col("cls").alias("x"), "h")
     near = rare.join(sets.select(F.col("cls").alias("y"), "h"), "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    true = of_other(verify(materialize(near), docs, chunks))
+    true = of_other(verify(materialize(near), docs, chunks))  # without the bits, so that they are tested too
     got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).join(got, how="cross")  # one row each

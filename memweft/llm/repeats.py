@@ -1,14 +1,12 @@
 """Keys that occur more than once: a count-min prefilter for tables of any size.
 
-Tasks count their keys in count-min sketches of two-bit saturating counters; a key whose counters all say two may be
-repeated, and only such keys go on to exact grouping. A sketch never counts too low, so no repeated key is lost.
-
-Up to ``MOST_CELLS`` counters in a row, the tasks' sketches are folded into one, which is broadcast, and a second pass
-over the table drops the other keys before anything is shuffled. Beyond that one sketch would fill up and pass
-everything. Then the keys are cut into as many hash ranges as it takes for each to have ``RANGE`` keys or fewer,
-each key travels once, packed, to the task of its range, and that task counts the range in a sketch of its
-own and drops what it says is single. A key that one block of the table has for several owners is decided there:
-it goes on at once, and only a mark of it goes to its range, so that a hot key costs its range one mark a block.
+Keys are cut into as many hash ranges as it takes for each to have some ``RANGE`` keys. Each key travels once, packed, to
+the task of its range, which counts the range in a count-min sketch of two-bit saturating counters and drops the keys
+that the sketch says are single; only the others go on to exact grouping. A sketch never counts too low, so no
+repeated key is lost, and as its size goes with the range, it lets few others through however large the table is.
+
+A key that one block of the table has for several owners is decided there: it goes on at once, and only a mark of it
+goes to its range, so that a hot key costs its range one mark a block.
 """
 
 from __future__ import annotations
@@ -24,13 +22,11 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 
-#: Rows of a sketch, and the least and most counters in a row; the most take 32 MB a row, which bounds what is broadcast.
-ROWS = 2
+#: Rows of a sketch, counters for each key, and the least and most counters in a row of a sketch that is broadcast (32 MB a row).
+ROWS, PER_KEY = 2, 8
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
-#: Keys of a hash range on average, and keys of a block that one task sorts at a time.
-RANGE, BLOCK = 1 << 22, 1 << 21
-#: Counters for each key.
-PER_KEY = 8
+#: Keys of a hash range on average (fewer ranges than ``RANGES`` have so many, more have up to ``WIDE``), and keys that a task sorts at a time.
+RANGE, RANGES, WIDE, BLOCK = 1 << 19, 1 << 12, 1 << 23, 1 << 21
 
 #: Finds the keys of an Arrow batch: (hash as uint64, owner as int64, place as int32).
 Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -123,25 +119,12 @@ def merged_counts(df: DataFrame, hashes, cells: int, rows: int = ROWS, blocks: i
     return CountMin.of(((r["block"], bytes(r["data"])) for r in whole.collect()), cells, rows, blocks)
 
 
-def cells_for(n_keys: int, per_key: int = PER_KEY) -> int | None:
-    """Counters in a row of one sketch for so many keys; None if they would be more than ``MOST_CELLS``."""
+def cells_for(n_keys: int, per_key: int = 4) -> int | None:
+    """Counters in a row of one sketch to broadcast, for so many keys; None if they would be more than ``MOST_CELLS``."""
     cells = max(LEAST_CELLS, 1 << max(1, per_key * n_keys - 1).bit_length())
     return cells if cells <= MOST_CELLS else None
 
 
-def counted_sketch(df: DataFrame, keys: Keys, n_keys: int, per_key: int = PER_KEY) -> CountMin | None:
-    """The merged sketch of a table's keys, each once for each owner in a batch; None if it would be too large."""
-    cells = cells_for(n_keys, per_key)
-
-    def hashes(batch):
-        h, owner, _ = keys(batch)
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        return h[np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]] if len(h) else h
-
-    return merged_counts(df, hashes, cells) if cells else None
-
-
 def _blocks(batches, keys: Keys):
     """(h, owner, place) of batches put together to ``BLOCK`` keys or more, sorted by hash and owner.
 
@@ -168,13 +151,13 @@ def _blocks(batches, keys: Keys):
 _PACKED = "part int, h binary, owner binary, place binary"
 
 
-def in_ranges(df: DataFrame, keys: Keys, n_keys: int) -> DataFrame:
+def maybe_repeated(df: DataFrame, keys: Keys, n_keys: int) -> DataFrame:
     """(h, owner, place) of the keys that may be repeated, by counting each hash range in a task; h is another hash of the key.
 
     Rows in transit hold the keys of one block and range as packed arrays; rows without owners are marks.
     """
-    ranges = max(1, -(-n_keys // RANGE))
-    cells = max(1 << 10, 1 << (PER_KEY * min(n_keys, RANGE)).bit_length())
+    ranges = max(1, min(-(-n_keys // RANGE), max(RANGES, -(-n_keys // WIDE))))
+    cells = max(1 << 10, 1 << (PER_KEY * -(-n_keys // ranges)).bit_length())
     names = [c.split()[0] for c in _PACKED.split(", ")]
 
     def packed(rows):

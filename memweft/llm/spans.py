@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import vectext as V
-from .repeats import counted_sketch, in_ranges
+from .repeats import maybe_repeated
 
 #: The least length of a shared span, and the width of a window.
 LENGTH, WIDTH = 160, 100
@@ -77,46 +77,26 @@ def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> Da
 
     ``same`` names the text (128-bit hash); copies of one text keep one occurrence, that of the
     smallest doc_id. ``around`` is the window with its context, ``lead`` how much of it is before.
-    While one sketch can hold the windows, it is broadcast and the windows are found again; beyond that, windows that may be repeated come
-    back from their hash ranges and are joined with their texts.
+    Windows that may be repeated come back from their hash ranges and are joined with their texts.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select("doc_id", "text")
     chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_windows = 2 * chars // (length - width + 2)
-    keys = lambda batch: _kept(batch, length, width)
-    sketch = counted_sketch(usable, keys, n_windows)
+    back = maybe_repeated(usable, lambda batch: _kept(batch, length, width), 2 * chars // (length - width + 2))
+    places = back.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))  # the windows of one text
     side = length - width
-    named = usable.withColumn("same", F.md5("text"))
-
-    def cut(texts, ids, same, h, doc, pos):
-        lead = np.minimum(pos, side)
-        around = [texts[d][p - k : p + width + side] for d, p, k in zip(doc.tolist(), pos.tolist(), lead.tolist())]
-        return pd.DataFrame({"h": h.view(np.int64), "same": same[doc], "doc_id": ids[doc], "pos": pos, "around": around, "lead": lead})
-
-    if sketch is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(sketch)  # at most MOST_CELLS counters
-
-        def find(batches):
-            for pdf in batches:
-                texts, ids, same = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["same"].to_numpy()
-                for i, j in V.blocks(texts):
-                    h, doc, pos = windows(texts[i:j], length, width)
-                    hit = np.flatnonzero(shared.value.repeated(h))
-                    yield cut(texts, ids, same, h[hit], doc[hit] + i, pos[hit])
-
-        got = named.mapInPandas(find, OCCURRENCES)
-    else:
-        back = in_ranges(usable, keys, n_windows)
-        places = back.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))  # the windows of one text
-
-        def place(batches):
-            for pdf in batches:
-                n = pdf["hs"].map(len).to_numpy(np.int64)
-                if n.sum():
-                    h, pos = (np.concatenate(pdf[c].to_list()) for c in ("hs", "places"))
-                    yield cut(pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["same"].to_numpy(), h, np.repeat(np.arange(len(pdf)), n), pos.astype(np.int64))
-
-        got = named.join(places, "doc_id").mapInPandas(place, OCCURRENCES)
+
+    def place(batches):
+        for pdf in batches:
+            n = pdf["hs"].map(len).to_numpy(np.int64)
+            if not n.sum():
+                continue
+            texts, doc = pdf["text"].tolist(), np.repeat(np.arange(len(pdf)), n)
+            h, pos = (np.concatenate(pdf[c].to_list()).astype(np.int64) for c in ("hs", "places"))
+            lead = np.minimum(pos, side)
+            around = [texts[d][p - k : p + width + side] for d, p, k in zip(doc.tolist(), pos.tolist(), lead.tolist())]
+            yield pd.DataFrame({"h": h, "same": pdf["same"].to_numpy()[doc], "doc_id": pdf["doc_id"].to_numpy()[doc], "pos": pos, "around": around, "lead": lead})
+
+    got = usable.withColumn("same", F.md5("text")).join(places, "doc_id").mapInPandas(place, OCCURRENCES)
     one = got.groupBy("h", "same", "pos").agg(F.min(F.struct("doc_id", "lead", "around")).alias("o"))
     return materialize(one.select("h", "same", F.col("o.doc_id").alias("doc_id"), "pos", F.col("o.around").alias("around"), F.col("o.lead").alias("lead")))
 
