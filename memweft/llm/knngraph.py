@@ -1,12 +1,14 @@
 """The most similar vectors of every vector: sharded, robust-pruned directed graphs searched by beams.
 
-Equal vectors of a model are one node. A coarse partition (centroids fitted to a bounded sample) cuts a
-model's nodes into cells, and cells larger than ``SHARD`` into shards by hash, so no shard outgrows its
-task. In each shard a directed graph is built in growing batches: a greedy search over the graph so far
-proposes neighbours, robust pruning with relaxed distance (a candidate goes if a kept neighbour is
-``ALPHA`` times closer to it) keeps at most ``DEGREE`` diverse edges, and reverse edges are pruned alike.
-Every node then queries, by beam search, the shards of its ``PROBES`` nearest cells; the best
-neighbours of all shards are merged by exact distance and vec_id.
+Equal vectors of a model are one node. Centroids fitted to a bounded sample cut a model's nodes into cells; cells of
+more than ``SHARD`` nodes are cut again by centroids of their own, so that the number of cells follows the number of
+nodes, and what is still larger is cut by hash. In each shard a directed graph is built once and written: nodes come in growing
+batches, a greedy search over the graph so far proposes neighbours, robust pruning with relaxed distance (a candidate
+goes if a kept neighbour is ``ALPHA`` times closer to it) keeps at most ``DEGREE`` diverse edges, and reverse edges are
+pruned alike. Every node searches its own shard by beam, starting from itself. It then searches those of its nearest other
+cells that can have something nearer than what it has: cells are Voronoi cells, so half the difference of the squared
+distances to two centroids, over the distance between them, is how far a cell is at least. The best of all shards are merged
+by exact distance and vec_id.
 """
 
 from __future__ import annotations
@@ -19,13 +21,17 @@ from pyspark.sql import Window as W
 
 from ..session import materialize
 
-#: Most nodes of a shard, nodes that a cell should have, and vectors a model's sample may have.
+#: Most nodes of a shard, nodes that a cell should have, and vectors that a fit of centroids may see.
 SHARD, CELL, SAMPLE = 16384, 6144, 16384
-#: Cells that a query looks into; out-degree, pruning slack, and width of the beam. With more slack than this, the
-#: edges of dense clusters of nearly equal vectors fill up with members of the cluster, and it becomes an island.
-PROBES, DEGREE, ALPHA, BEAM = 3, 32, 1.05, 64
-#: Queries of one shard that one task takes; more are spread over tasks that each build the graph.
-QUERIES = 131072
+#: Most centroids of a model; 131,072 are some 800 million nodes. Beyond, cells grow and are cut into more shards by hash.
+CENTERS = 1 << 17
+#: Cells that a query may look into; out-degree, pruning slack. With more slack than this, the edges of dense clusters of
+#: nearly equal vectors fill up with members of the cluster, and it becomes an island.
+PROBES, DEGREE, ALPHA = 3, 32, 1.05
+#: Widths of the beams that build a graph, search it for its own nodes, which start where they stand, and for others.
+BUILD, OWN, BEAM = 48, 32, 64
+#: Queries of one shard that one task takes.
+QUERIES = 65536
 
 
 # --- the graph of a shard ------------------------------------------------------------------------
@@ -41,6 +47,7 @@ def beam_search(x, sq, graph, starts, q, beam: int, width: int = 4, visited_out:
     ``width`` best unexpanded nodes.
     """
     b, n = len(q), len(x)
+    beam, width = min(beam, n), min(width, graph.shape[1])
     seen = np.zeros((b, n + 1), bool)
     rows = np.arange(b)[:, None]
     ids = np.full((b, beam), n, np.int64)
@@ -56,47 +63,40 @@ def beam_search(x, sq, graph, starts, q, beam: int, width: int = 4, visited_out:
         np.put_along_axis(twin, order[:, 1:], st[:, 1:] == st[:, :-1], 1)
         d[:, :s][twin] = np.inf
     done = np.zeros((b, beam), bool)
+    slot = np.zeros((b, n + 1), np.int16)
     live = np.arange(b)
     while len(live):
         open_ = ~done[live] & np.isfinite(d[live])
         # the best unexpanded come first, as rows are sorted
-        rank = np.cumsum(open_, 1)
-        pick = open_ & (rank <= width)
+        pick = open_ & (np.cumsum(open_, 1, dtype=np.int16) <= width)
         has = pick.any(1)
         live, pick = live[has], pick[has]
         if not len(live):
             break
         done[live] |= pick
-        col = np.argsort(~pick, axis=1, kind="stable")[:, :width]
-        ok = np.take_along_axis(pick, col, 1)
-        nodes = np.where(ok, np.take_along_axis(ids[live], col, 1), n)
+        at, col = np.nonzero(pick)
+        nodes = np.full((len(live), width), n)
+        nodes[at, np.cumsum(pick, 1, dtype=np.int16)[at, col] - 1] = ids[live][at, col]
         near = graph[nodes].reshape(len(live), -1)
         r = live[:, None]
-        fresh = ~seen[r, near]
-        fresh[near == n] = False
+        # not seen before, no padding, and of a node that two expanded nodes share one: the one whose mark stays
+        mark = np.arange(near.shape[1], dtype=np.int16)[None, :]
+        slot[r, near] = mark
+        fresh = ~seen[r, near] & (near != n) & (slot[r, near] == mark)
         seen[r, near] = True
-        # a node that two expanded nodes share counts once
-        order = np.argsort(near, axis=1, kind="stable")
-        st = np.take_along_axis(near, order, 1)
-        twin = np.zeros_like(fresh)
-        np.put_along_axis(twin, order[:, 1:], st[:, 1:] == st[:, :-1], 1)
-        fresh &= ~twin
-        most = int(fresh.sum(1).max())
-        if most == 0:
+        at, col = np.nonzero(fresh)
+        if not len(at):
             continue
-        col = np.argsort(~fresh, axis=1, kind="stable")[:, :most]
-        ok = np.take_along_axis(fresh, col, 1)
-        cand = np.where(ok, np.take_along_axis(near, col, 1), 0)
-        cd = _dist(x, sq, q[live], cand)
-        cd[~ok] = np.inf
+        new = near[at, col]
+        cd = np.full(near.shape, np.inf, np.float32)
+        cd[at, col] = sq[new] - 2 * np.einsum("ij,ij->i", x[new], q[live[at]])
         alld = np.concatenate([d[live], cd], 1)
         top = np.argpartition(alld, beam - 1, axis=1)[:, :beam]
         td = np.take_along_axis(alld, top, 1)
-        order = np.argsort(td, axis=1, kind="stable")
-        top = np.take_along_axis(top, order, 1)
+        top = np.take_along_axis(top, np.argsort(td, axis=1, kind="stable"), 1)
         d[live] = np.take_along_axis(alld, top, 1)
-        ids[live] = np.take_along_axis(np.concatenate([ids[live], cand], 1), top, 1)
-        done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros(cand.shape, bool)], 1), top, 1)
+        ids[live] = np.take_along_axis(np.concatenate([ids[live], near], 1), top, 1)
+        done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros(near.shape, bool)], 1), top, 1)
     return ids, d
 
 
@@ -130,7 +130,7 @@ def robust_prune(x, sq, own: np.ndarray, cand: np.ndarray, degree: int, alpha: f
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BEAM, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, int]:
+def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, int]:
     """(neighbours of each node padded with n, entry node): the graph of the rows of ``x``."""
     n = len(x)
     sq = np.einsum("ij,ij->i", x, x)
@@ -182,6 +182,7 @@ def search(x, graph, entry: int, q: np.ndarray, self_at: np.ndarray, beam: int =
     A query that is a node starts there; others start at the entry and the best of some spread nodes.
     """
     n = len(x)
+    beam = min(beam, n)
     sq = np.einsum("ij,ij->i", x, x)
     spread = np.unique(np.linspace(0, n - 1, min(n, 256)).astype(int))
     out = np.full((len(q), beam), n, np.int64)
@@ -189,7 +190,7 @@ def search(x, graph, entry: int, q: np.ndarray, self_at: np.ndarray, beam: int =
         part = q[s : s + batch]
         near = spread[np.argsort(sq[spread][None, :] - 2 * part @ x[spread].T, axis=1)[:, :2]]
         own = np.where(self_at[s : s + batch] >= 0, self_at[s : s + batch], entry)
-        starts = np.column_stack([own, near]) if near.shape[1] == 2 and beam >= 3 else own[:, None]
+        starts = np.column_stack([own, near]) if near.shape[1] == 2 and beam >= 3 else own[:, None]  # of two nodes, one leads to the other
         out[s : s + len(part)], _ = beam_search(x, sq, graph, starts, part, beam)
     return out
 
@@ -220,20 +221,89 @@ def _centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np
     return c.astype(np.float32)
 
 
-def partition(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Centroids of each model, fitted to a bounded sample of its nodes by hash of the node."""
+class Cells:
+    """The cells of a model: coarse centroids, and leaves, each below one of them."""
+
+    def __init__(self, coarse: np.ndarray, leaves: list[np.ndarray] | None = None):
+        self.coarse = coarse
+        leaves = leaves or [c[None] for c in coarse]
+        self.leaf = np.concatenate(leaves).astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in leaves])])
+
+    def nearest(self, x: np.ndarray, probes: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each row its nearest leaves, its own first, and how far the cell of each is at least.
+
+        A row's own leaf is the nearest below its nearest coarse centroid; others are taken from below its nearest ``probes``
+        coarse ones. Distances to the cells of other coarse centroids are bounded by those, to its own by the leaves.
+        """
+        d = (self.coarse.astype(float) ** 2).sum(1)[None, :] - 2 * x.astype(float) @ self.coarse.T.astype(float)
+        some = min(probes, len(self.coarse))
+        top = np.argsort(d, axis=1, kind="stable")[:, :some] if some == len(self.coarse) else np.argpartition(d, some - 1, axis=1)[:, :some]
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
+        # cells that aren't cut again, all rows at once
+        apart = np.sqrt(((self.coarse[top].astype(float) - self.coarse[top[:, :1]].astype(float)) ** 2).sum(2))
+        dist = np.take_along_axis(d, top, 1)
+        gap = np.divide(dist - dist[:, :1], 2 * apart, out=np.zeros_like(dist), where=apart > 0)
+        ids, gaps = list(self.first[top].astype(np.int32)), list(np.maximum(0, gap))
+        for row in np.flatnonzero((np.diff(self.first)[top] > 1).any(1)):
+            cells = top[row]
+            near = np.concatenate([np.arange(self.first[c], self.first[c + 1]) for c in cells])
+            parent = np.repeat(cells, self.first[cells + 1] - self.first[cells])
+            v = self.leaf[near].astype(float)
+            e = (v * v).sum(1) - 2 * v @ x[row].astype(float)
+            inside = parent == cells[0]
+            own = int(np.flatnonzero(inside)[e[inside].argmin()])
+            a, b = np.where(inside, e, d[row, parent]), np.where(inside, e[own], d[row, cells[0]])
+            here = np.where(inside[:, None], v[own], self.coarse[cells[0]].astype(float))
+            there = np.where(inside[:, None], v, self.coarse[parent].astype(float))
+            apart = np.sqrt(((there - here) ** 2).sum(1))
+            gap = np.divide(a - b, 2 * apart, out=np.zeros(len(a)), where=apart > 0)
+            e[own] = -np.inf
+            order = np.argsort(e, kind="stable")[:probes]
+            ids[row], gaps[row] = near[order].astype(np.int32), np.maximum(0, gap[order])
+        return ids, gaps
+
+
+def partition(nodes: DataFrame) -> dict[str, Cells]:
+    """The cells of each model, fitted to bounded samples of its nodes by hash of the node, in two levels."""
     sizes = {r["model"]: r["n"] for r in nodes.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}
+    share = lambda n: F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30)) < F.ceil(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / n) * (1 << 30))
     for model, n in sorted(sizes.items()):
+        own = nodes.where(F.col("model") == model)
         k = max(1, min(round(n / CELL), SAMPLE // 8))
-        share = min(1.0, SAMPLE / n)
-        picked = nodes.where((F.col("model") == model) & (F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))))
-        sample = np.stack(picked.select("vec").limit(2 * SAMPLE).toPandas()["vec"].tolist()).astype(np.float32) if k > 1 else None
-        if sample is None or len(sample) < k:
-            got = nodes.where(F.col("model") == model).select("vec").first()["vec"]
-            out[model] = np.zeros((1, len(got)), np.float32)
-        else:
-            out[model] = _centroids(sample, k)
+        sample = np.stack(own.where(share(F.lit(float(n)))).select("vec").limit(2 * SAMPLE).toPandas()["vec"].tolist() or [own.select("vec").first()["vec"]]).astype(np.float32)
+        coarse = _centroids(sample, min(k, len(sample))) if k > 1 else np.zeros((1, sample.shape[1]), np.float32)
+        out[model] = Cells(coarse)
+    bc = nodes.sparkSession.sparkContext.broadcast(out)  # at most SAMPLE // 8 centroids a model
+
+    def place(batches):
+        for pdf in batches:
+            cell = np.zeros(len(pdf), np.int32)
+            for model, part in pdf.groupby("model").indices.items():
+                c = bc.value[model].coarse
+                x = np.stack(pdf["vec"].to_numpy()[part]).astype(float)
+                cell[part] = np.argmin((c.astype(float) ** 2).sum(1)[None, :] - 2 * x @ c.T.astype(float), axis=1)
+            yield pdf[["model", "node", "vec"]].assign(cell=cell)
+
+    def split(pdf):
+        x = np.stack(pdf["vec"].tolist()).astype(np.float32)
+        k = min(int(pdf["k"].iloc[0]), max(1, len(x) // 8))
+        return pd.DataFrame({"model": pdf["model"].iloc[0], "cell": pdf["cell"].iloc[0], "center": list(_centroids(x, k))})
+
+    # if every cell's size is near its share, there is nothing to cut again
+    if any(n > SHARD for n in sizes.values()):
+        placed = materialize(nodes.mapInPandas(place, "model string, node string, vec array<float>, cell int"))
+        counts = placed.groupBy("model", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
+        most = F.lit(CENTERS // (SAMPLE // 8))
+        large = counts.withColumn("k", F.least(F.ceil(F.col("n") / CELL), most, F.lit(SAMPLE // 8)))
+        rows = placed.join(F.broadcast(large), ["model", "cell"]).where(share(F.col("n"))).select("model", "cell", "vec", "k")  # a row a cell
+        cut: dict = {}
+        for r in rows.groupBy("model", "cell").applyInPandas(split, "model string, cell int, center array<float>").collect():  # at most CENTERS a model
+            cut.setdefault((r["model"], r["cell"]), []).append(r["center"])
+        for model, cells in out.items():
+            leaves = [np.array(sorted(cut[model, i]), np.float32) if (model, i) in cut else c[None] for i, c in enumerate(cells.coarse)]
+            out[model] = Cells(cells.coarse, leaves)
     return out
 
 
@@ -242,6 +312,69 @@ def _node() -> F.Column:
     return F.concat(F.hex(F.xxhash64("vec")), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), "vec")))
 
 
+FOUND = "model string, node string, d array<double>, id array<long>"
+GRAPH = "model string, cell int, shard int, dim int, x binary, graph binary, entry int, nodes array<string>, asked array<boolean>, sizes array<int>, ids array<long>"
+
+
+class _Shard:
+    """A shard as it is written: its vectors, its graph, and the vec_ids of its nodes."""
+
+    def __init__(self, row):
+        self.x = np.frombuffer(row["x"], np.float32).reshape(-1, row["dim"])
+        n = len(self.x)
+        self.graph, self.entry = np.frombuffer(row["graph"], np.int32).reshape(n + 1, -1).astype(np.int64), int(row["entry"])
+        sizes = np.asarray(row["sizes"])
+        self.table = np.full((n + 1, int(sizes.max())), np.iinfo(np.int64).max)
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.table[np.repeat(np.arange(n), sizes), at] = np.asarray(row["ids"])
+
+    def best(self, y: np.ndarray, near: np.ndarray, keep: int) -> tuple[list, list]:
+        """For each query of ``y`` the ``keep`` best vec_ids of its nodes in ``near``, by exact distance and id."""
+        n, dd, ii = len(self.x), [], []
+        width = self.table.shape[1]
+        for s in range(0, len(y), 2048):
+            part = near[s : s + 2048]
+            safe = np.where(part < n, part, 0)
+            d = ((self.x[safe].astype(float) - y[s : s + 2048, None, :]) ** 2).sum(2)
+            d[part >= n] = np.inf
+            d, v = np.repeat(d, width, axis=1), self.table[part].reshape(len(part), -1)
+            d[v == np.iinfo(np.int64).max] = np.inf
+            order = np.lexsort((v, d), axis=1)[:, :keep]
+            d, v = np.take_along_axis(d, order, 1), np.take_along_axis(v, order, 1)
+            for a, c in zip(d, v):
+                ok = np.isfinite(a)
+                dd.append(a[ok])
+                ii.append(c[ok])
+        return dd, ii
+
+
+def graphs(base: DataFrame) -> DataFrame:
+    """A row for each shard of ``base`` (model, cell, shard, node, vec, ids, asked) with its graph, written to scratch."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("node")
+        x = np.stack(pdf["vec"].tolist()).astype(np.float32)
+        graph, entry = build(x, degree=min(DEGREE, max(1, len(x) - 1)))
+        return pd.DataFrame({
+            "model": pdf["model"].iloc[:1], "cell": pdf["cell"].iloc[:1], "shard": pdf["shard"].iloc[:1], "dim": x.shape[1], "x": [x.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": entry,
+            "nodes": [pdf["node"].tolist()], "asked": [pdf["asked"].tolist()], "sizes": [pdf["ids"].map(len).tolist()], "ids": [np.concatenate(pdf["ids"].tolist())],
+        })
+
+    return materialize(base.groupBy("model", "cell", "shard").applyInPandas(run, GRAPH))
+
+
+def _own(batches, keep: int):
+    """What the asked nodes of each shard find in it, starting where they stand."""
+    for pdf in batches:
+        for row in pdf.to_dict("records"):
+            ask = np.flatnonzero(np.asarray(row["asked"], bool))
+            if len(ask):
+                s = _Shard(row)
+                near = search(s.x, s.graph, s.entry, s.x[ask], ask, max(OWN, 2 * keep))[:, : 2 * keep]
+                d, i = s.best(s.x[ask], near, keep)
+                yield pd.DataFrame({"model": row["model"], "node": np.asarray(row["nodes"], object)[ask], "d": d, "id": i})
+
+
 def neighbours(cache: DataFrame, models: DataFrame, k: int = 5, queries=None, exact: bool = False, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
     """(model, vec_id, near): the k nearest other usable vectors of the same model, nearest first.
 
@@ -250,6 +383,7 @@ def neighbours(cache: DataFrame, models: DataFrame, k: int = 5, queries=None, ex
     vec_id of the query vectors (default: all). ``exact`` scans all shards of the model by block
     instead of searching graphs, for measuring recall.
     """
+    spark = cache.sparkSession
     vecs = materialize(usable(cache, models))
     # equal vectors are one node: a hot vector costs its task one row per map task
     keep = k + 1
@@ -257,85 +391,62 @@ def neighbours(cache: DataFrame, models: DataFrame, k: int = 5, queries=None, ex
     first = F.row_number().over(W.partitionBy("model", "node").orderBy("vec_id"))  # limited before the shuffle
     few = vecs.withColumn("r", first).where(F.col("r") <= keep)
     nodes = materialize(few.groupBy("model", "node").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    centers = cache.sparkSession.sparkContext.broadcast(partition(nodes))
+    cells = spark.sparkContext.broadcast(partition(nodes))  # at most CENTERS centroids a model
 
     def assign(batches):
         for pdf in batches:
-            cells = [None] * len(pdf)
+            own, gaps = np.empty(len(pdf), object), np.empty(len(pdf), object)
             for model, part in pdf.groupby("model").indices.items():
-                c = centers.value[model]
-                x = np.stack(pdf["vec"].to_numpy()[part]).astype(np.float32)
-                d = (c**2).sum(1)[None, :] - 2 * x @ c.T
-                p = min(probes, len(c))
-                top = np.argpartition(d, p - 1, axis=1)[:, :p] if p < len(c) else np.tile(np.arange(p), (len(x), 1))
-                order = np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable")
-                for i, row in zip(part, np.take_along_axis(top, order, 1)):
-                    cells[i] = row
-            yield pdf.assign(cells=cells)
-
-    placed = materialize(nodes.mapInPandas(assign, "model string, node string, vec array<float>, ids array<long>, cells array<int>"))
-    base = placed.withColumn("cell", F.col("cells")[0])
-    ask = placed
-    if queries is not None:
-        asked = vecs.where(queries).select("model", "node").distinct()
-        ask = placed.join(asked, ["model", "node"], "left_semi")
-    # shards of each cell and query blocks of each shard, from one count a cell
-    sizes = {(r["model"], r["cell"]): r["n"] for r in base.groupBy("model", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    looks = ask.select("model", F.explode("cells").alias("cell")).groupBy("model", "cell").agg(F.count(F.lit(1)).alias("n"))
-    total = {m: sum(n for (x, _), n in sizes.items() if x == m) for m, _ in sizes}
-    wanted = {key: total[key[0]] for key in sizes} if exact else {(r["model"], r["cell"]): r["n"] for r in looks.collect()}
-    plan = [(m, c, -(-n // SHARD), max(1, -(-wanted.get((m, c), 0) // QUERIES))) for (m, c), n in sizes.items()]
-    spark = cache.sparkSession
-    plan = spark.createDataFrame(plan, "model string, cell int, shards int, blocks int")  # one row a cell
-    own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
-    base = base.join(plan, ["model", "cell"]).select("model", "cell", own.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_base"), "node", "vec", "ids")
-    each = ask.select("model", "node", "vec", F.explode("cells").alias("cell")).join(plan, ["model", "cell"]) if not exact else ask.select("model", "node", "vec").join(plan, "model")
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    each = each.select("model", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), F.lit(False).alias("is_base"), "node", "vec", F.lit(None).cast("array<bigint>").alias("ids"))
+                for at, c, g in zip(part, *cells.value[model].nearest(np.stack(pdf["vec"].to_numpy()[part]).astype(np.float32), probes)):
+                    own[at], gaps[at] = c, g
+            yield pdf.assign(cells=own, gaps=gaps)
 
-    def run(pdf):
-        b, q = pdf[pdf["is_base"]].sort_values("node"), pdf[~pdf["is_base"]]
-        if not len(b) or not len(q):
+    placed = nodes.mapInPandas(assign, "model string, node string, vec array<float>, ids array<long>, cells array<int>, gaps array<double>")
+    asked = F.lit(True)
+    if queries is not None:
+        placed = placed.join(vecs.where(queries).select("model", "node", F.lit(True).alias("asked")).distinct(), ["model", "node"], "left")
+        asked = F.coalesce("asked", F.lit(False))
+    placed = materialize(placed.withColumn("asked", asked).withColumn("cell", F.col("cells")[0]))
+    sizes = placed.groupBy("model", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+    shards = materialize(sizes)  # a row a cell
+    shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
+    made = graphs(placed.join(shards, ["model", "cell"]).select("model", "cell", shard.alias("shard"), "node", "vec", "ids", "asked"))
+    ask = placed.where("asked").select("model", "node", "vec", "cell", "cells", "gaps")
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    if exact:
+        due = ask.drop("cell").join(shards, "model").select("model", "node", "vec", "cell", every)
+        own = None
+    else:
+        own = materialize(made.mapInPandas(lambda b: _own(b, keep), FOUND))
+        # the k-th distance of what a node has, as a bound for what others must beat; rounding must not cut off an equal one
+        limit = own.select("model", "node", F.when(F.size("d") >= keep, F.sqrt(F.element_at("d", keep)) * (1 + 1e-6)).otherwise(F.lit(float("inf"))).alias("limit"))
+        looks = ask.join(limit, ["model", "node"]).select("model", "node", "vec", F.col("cell").alias("home"), "limit", F.explode(F.arrays_zip("cells", "gaps")).alias("p"))
+        looks = looks.where(F.col("p.gaps") <= F.col("limit")).select("model", "node", "vec", "home", F.col("p.cells").alias("cell")).join(shards, ["model", "cell"])
+        due = looks.select("model", "node", "vec", "home", "cell", "shards", every).where((F.col("cell") != F.col("home")) | (F.col("shard") != shard)).select("model", "node", "vec", "cell", "shard")
+
+    def others(key, g, q):
+        if not len(g) or not len(q):
             return pd.DataFrame({"model": [], "node": [], "d": [], "id": []})
-        x = np.stack(b["vec"].tolist()).astype(np.float32)
-        y = np.stack(q["vec"].tolist()).astype(np.float32)
-        at = {node: i for i, node in enumerate(b["node"])}
-        mine = np.fromiter((at.get(node, -1) for node in q["node"]), np.int64, len(q))
-        most = min(len(b), 2 * keep)
-        if exact or len(b) <= 4 * beam:
-            sq = np.einsum("ij,ij->i", x, x)
-            near = np.concatenate([np.argpartition(sq[None, :] - 2 * y[s : s + 512] @ x.T, most - 1, axis=1)[:, :most] for s in range(0, len(y), 512)])
+        s, y = _Shard(g.iloc[0]), np.stack(q["vec"].tolist()).astype(np.float32)
+        most = min(len(s.x), 2 * keep)
+        if exact:
+            sq = np.einsum("ij,ij->i", s.x, s.x)
+            near = np.concatenate([np.argpartition(sq[None, :] - 2 * y[i : i + 512] @ s.x.T, most - 1, axis=1)[:, :most] for i in range(0, len(y), 512)])
         else:
-            graph, entry = build(x, beam=beam)
-            near = search(x, graph, entry, y, mine, beam)[:, :most]
-        # exact distances, then each node's vectors in order of distance and id
-        ids = b["ids"].tolist()
-        width = max(map(len, ids))
-        table = np.full((len(b) + 1, width), np.iinfo(np.int64).max)
-        for i, v in enumerate(ids):
-            table[i, : len(v)] = v
-        dd, ii = [], []
-        for s in range(0, len(y), 2048):
-            part = near[s : s + 2048]
-            safe = np.where(part < len(b), part, 0)
-            d = ((x[safe].astype(float) - y[s : s + 2048, None, :]) ** 2).sum(2)
-            d[part >= len(b)] = np.inf
-            d = np.repeat(d, width, axis=1)
-            v = table[part].reshape(len(part), -1)
-            d[v == np.iinfo(np.int64).max] = np.inf
-            order = np.lexsort((v, d), axis=1)[:, :keep]
-            d, v = np.take_along_axis(d, order, 1), np.take_along_axis(v, order, 1)
-            for a, c in zip(d, v):
-                ok = np.isfinite(a)
-                dd.append(a[ok])
-                ii.append(c[ok])
-        return pd.DataFrame({"model": q["model"].to_numpy(), "node": q["node"].to_numpy(), "d": dd, "id": ii})
+            near = search(s.x, s.graph, s.entry, y, np.full(len(y), -1), beam)[:, :most]
+        d, i = s.best(y, near, keep)
+        return pd.DataFrame({"model": key[0], "node": q["node"].to_numpy(), "d": d, "id": i})
 
-    found = base.unionByName(each).groupBy("model", "cell", "shard", "block").applyInPandas(run, "model string, node string, d array<double>, id array<long>")
+    due = materialize(due)
+    blocks = due.groupBy("model", "cell", "shard").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))  # a row a shard
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    left = made.select("model", "cell", "shard", "dim", "x", "graph", "entry", "sizes", "ids").join(blocks, ["model", "cell", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = due.join(blocks, ["model", "cell", "shard"]).select(*[F.col(c).alias(f"q{c}") for c in ("model", "cell", "shard")], block.alias("qblock"), "node", "vec")
+    found = left.groupBy("model", "cell", "shard", "block").cogroup(right.groupBy("qmodel", "qcell", "qshard", "qblock")).applyInPandas(others, FOUND)
+    found = found if own is None else own.unionByName(found)
     pairs = F.arrays_zip("d", "id")
     best = found.select("model", "node", pairs.alias("p")).groupBy("model", "node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, keep).alias("p"))
-    asked = vecs if queries is None else vecs.where(queries)
-    rows = asked.select("model", "vec_id", "node").join(best, ["model", "node"])
+    rows = (vecs if queries is None else vecs.where(queries)).select("model", "vec_id", "node").join(best, ["model", "node"])
     return rows.select("model", "vec_id", F.slice(F.filter("p", lambda e: e["id"] != F.col("vec_id")), 1, k).alias("near"))
 
 
