@@ -26,7 +26,7 @@ from . import vectext as V
 ROWS, PER_KEY = 2, 8
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 27
 #: Keys of a hash range on average (fewer ranges than ``RANGES`` have so many, more have up to ``WIDE``), and keys that a task sorts at a time.
-RANGE, RANGES, WIDE, BLOCK = 1 << 19, 1 << 12, 1 << 23, 1 << 21
+RANGE, RANGES, WIDE, BLOCK = 1 << 16, 1 << 12, 1 << 23, 1 << 21
 
 #: Finds the keys of an Arrow batch: (hash as uint64, owner as int64, place as int32).
 Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
