@@ -45,7 +45,10 @@ def canonical_key(text: Column) -> Column:
     return F.when(text.isNotNull(), F.unhex(F.md5(F.when(is_fields, fields).otherwise(bare(text)))))
 
 
-_FIELD = re.compile(r"[\s\ufeff]*[\w\-]+\s*[:=]")
+# the white space of Java's ``\\s``, so that both forms of the rule agree
+_FIELD = re.compile(r"[ \t\n\x0b\f\r\ufeff]*[\w\-]+[ \t\n\x0b\f\r]*[:=]")
+#: Stands between fields; no text has it, as it is half a surrogate pair.
+_BETWEEN = "\ud800"
 
 
 def canonical_hashes(texts: list[str]) -> np.ndarray:
@@ -58,10 +61,10 @@ def canonical_hashes(texts: list[str]) -> np.ndarray:
         if _FIELD.match(t):
             parts = [p for p in re.split(r"[\r\n;]+", t) if p.strip("\ufeff \t\x0b\x0c")]
             if len(parts) > 1 and all((m := _FIELD.match(p)) and any(map(str.isalnum, p[m.end() :])) for p in parts):
-                t = "\ue000".join(sorted("".join(filter(str.isalnum, p)) for p in parts))
+                t = _BETWEEN.join(sorted("".join(filter(str.isalnum, p)) for p in parts))
         rest.append(t)
     code, offsets = V.codes(rest)
-    keep = bare_[code] | (code == 0xE000)
+    keep = bare_[code] | (code == ord(_BETWEEN))
     at = np.concatenate([[0], np.cumsum(keep)])[offsets]
     return V.span_hashes(code[keep], at[:-1], at[1:]) if len(texts) else np.empty(0, V.U)
 

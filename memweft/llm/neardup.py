@@ -6,8 +6,9 @@ their order keep many sketches. k-mers are drawn with odds inverse to their docu
 exponential race), because stock phrases say nothing about identity; only k-mers common enough to be
 one of at most ``HOT`` heavy hitters need a weight, so what is broadcast has a fixed bound.
 
-Candidates are verified by the exact Jaccard similarity of their k-mer sets alone; banded alignment of
-their word sequences gives accepted pairs an edit similarity.
+Candidates are verified by banded alignment of their word sequences: an edit changes at most k of a text's k-mers, so
+few edits prove that the sets have enough in common. Where the alignment proves nothing, as blocks were moved or
+edits are many, the exact Jaccard similarity of the sets decides.
 """
 
 from __future__ import annotations
@@ -186,7 +187,7 @@ def _pairs_in(ids: str) -> F.Column:
 
 
 def candidates(docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs (a, b) of class representatives that agree in a sketch.
+    """Distinct pairs (a, b, na, nb) of classes that agree in a sketch and may reach the threshold, with the sizes of their sets.
 
     Buckets of up to ``crowd`` classes are paired as they are. Larger ones are split exactly: members
     are joined on the k-mers of their prefix, ordered by how rare they are within the bucket, which
@@ -205,7 +206,7 @@ def candidates(docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float
 
 
 def within_reach(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity may reach the threshold, by the sizes and bits of their sets; loses none that does.
+    """The pairs, as (a, b, na, nb) with the sizes of their sets, whose Jaccard similarity may reach the threshold, by the sizes and bits of their sets; loses none that does.
 
     Two k-mers with different bits differ, so a set has at least as many k-mers that the other lacks as it has bits
     that the other lacks; what both have is at most the rest.
@@ -214,7 +215,7 @@ def within_reach(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD
     a, b = (sets.select(F.col("cls").alias(s), F.col("n_set").alias(f"n{s}"), F.col("bits").alias(f"b{s}")) for s in "ab")
     lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
     both = F.least(F.col("na") - lacks("ba", "bb"), F.col("nb") - lacks("bb", "ba"))
-    return pairs.join(a, "a").join(b, "b").where(both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b", "na", "nb")
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -320,10 +321,16 @@ def edit_similarity(a: list[np.ndarray], b: list[np.ndarray], band: int = 16) ->
     return 1 - dist / longest
 
 
-def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, align_from: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard, edit_similarity) of candidate pairs of classes, over their whole texts.
+def proven(na: np.ndarray, nb: np.ndarray, edits: np.ndarray, k: int) -> np.ndarray:
+    """The least Jaccard similarity of two k-mer sets of these sizes, whose texts are so many edits of words apart."""
+    both = np.maximum(0, np.maximum(na, nb) - k * edits)
+    return both / np.maximum(1, na + nb - both)
 
-    Pairs whose Jaccard similarity is below ``align_from`` aren't aligned: their edit similarity is null.
+
+def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """(a, b, jaccard, edit_similarity) of those of the pairs (a, b, na, nb) that reach the threshold, over their whole texts.
+
+    Where the alignment proves that a pair does, ``jaccard`` is null, unless ``exact`` asks for it.
     """
 
     def tokens(batches):
@@ -338,30 +345,32 @@ def verify(pairs: DataFrame, docs: DataFrame, chunks: DataFrame, k: int = K, ali
 
     def compare(batches):
         for b in batches:
-            n = b.num_rows
-            words, ats, sets = [], [], []
-            for col in ("wa", "wb"):
-                at = _offsets(b, col).astype(np.int64)
-                w = _flat(b, col)
-                h, doc = V.shingles(V.mix(w.view(np.uint32).astype(V.U) + V.U(1)), at, k)
-                words.append(w), ats.append(at), sets.append(_distinct(doc, h))
-            size = [np.bincount(d, minlength=n) for d, _ in sets]
+            words, ats = zip(*((_flat(b, c), _offsets(b, c).astype(np.int64)) for c in ("wa", "wb")))
+            longest = np.maximum(1, np.maximum(*(np.diff(at) for at in ats)))
+            edit = edit_similarity(*([w[i:j] for i, j in zip(at[:-1], at[1:])] for w, at in zip(words, ats)))
+            na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
+            sure = proven(na, nb, np.rint((1 - edit) * longest).astype(np.int64), k) >= threshold
+            jaccard = np.full(b.num_rows, np.nan)
+            rest = np.arange(b.num_rows) if exact else np.flatnonzero(~sure)
+            sets = []
+            for w, at in zip(words, ats):
+                some = np.repeat(np.isin(np.arange(b.num_rows), rest), np.diff(at))
+                starts = np.r_[0, np.cumsum(np.diff(at)[rest])]
+                h, doc = V.shingles(V.mix(w[some].view(np.uint32).astype(V.U) + V.U(1)), starts, k)
+                sets.append(_distinct(doc, h))
             doc, h = (np.concatenate(x) for x in zip(*sets))
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-            both = np.bincount(doc[1:][same], minlength=n)
-            jaccard = both / np.maximum(1, size[0] + size[1] - both)
-            near = np.flatnonzero(jaccard >= align_from)
-            sides = [[w[at[i] : at[i + 1]] for i in near] for w, at in zip(words, ats)]
-            edit = np.full(n, np.nan)
-            edit[near] = edit_similarity(*sides)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(jaccard), pa.array(edit, from_pandas=True)], ["a", "b", "jaccard", "edit_similarity"])
+            both = np.bincount(doc[1:][same], minlength=len(rest))
+            jaccard[rest] = both / np.maximum(1, na[rest] + nb[rest] - both)
+            ok = np.flatnonzero(sure | (jaccard >= threshold))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(jaccard[ok], from_pandas=True), pa.array(edit[ok])], ["a", "b", "jaccard", "edit_similarity"])
 
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     words = materialize(_texts_of(ids, docs, chunks).mapInPandas(tokens, "cls long, w array<int>"))
     both = pairs.join(words.select(F.col("cls").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("cls").alias("b"), F.col("w").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long, jaccard double, edit_similarity double")
+    return both.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(compare, "a long, b long, jaccard double, edit_similarity double")
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,16 +381,17 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d[new], x[new]
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, k: int = K, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, docs): verified links between classes, and the membership of every chunk.
 
-    links: (a, b, jaccard, edit_similarity) with a < b, Jaccard at or above ``threshold``; classes of
+    links: (a, b, jaccard, edit_similarity) with a < b, Jaccard at or above ``threshold`` (null where the alignment
+    proves that, unless ``exact``); classes of
     one canonical key are linked too if their k-mer sets differ. docs: (cid, key, cls, n_set, bits, sketch).
     Null cids or texts and texts of fewer than k words have no links. Repeated rows of a cid count once.
     """
     docs = sketch_table(chunks, k)
     pairs = materialize(candidates(docs, chunks, k, threshold))
-    links = materialize(verify(pairs, docs, chunks, k).where(F.col("jaccard") >= threshold))
+    links = materialize(verify(pairs, docs, chunks, k, threshold, exact))
     return links, docs
 
 
@@ -422,7 +432,7 @@ def representatives(chunks: DataFrame) -> DataFrame:
     ``groups`` has the class and the representative of every chunk. ``edit_similarity`` counts words in order: it is far
     below ``jaccard`` where blocks were moved.
     """
-    links, docs = near_duplicates(chunks)
+    links, docs = near_duplicates(chunks, exact=True)
     first = docs.groupBy("cls").agg(F.min("cid").alias("cid"), F.min("key").alias("key"))
     a, b = (first.withColumnsRenamed({"cls": s, "cid": f"x{s}", "key": f"k{s}"}) for s in "ab")
     rows = links.join(a, "a").join(b, "b").where("ka <> kb")
@@ -473,7 +483,7 @@ def recall(chunks: DataFrame, every: int = 100) -> DataFrame:
     that finds is verified. ``n_found`` are those of them that the operator finds too. Classes of one record don't count.
     """
     docs = sketch_table(chunks)
-    of_other = lambda p: p.join(keyed("a"), "a").join(keyed("b"), "b").where((F.col("jaccard") >= THRESHOLD) & (F.col("ka") != F.col("kb"))).select("a", "b")
+    of_other = lambda p: p.join(keyed("a"), "a").join(keyed("b"), "b").where("ka <> kb").select("a", "b")
     keyed = lambda s: docs.groupBy(F.col("cls").alias(s)).agg(F.min("key").alias(f"k{s}"))
     pairs = of_other(verify(materialize(candidates(docs, chunks)), docs, chunks))
     asked = materialize(docs.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("cls").distinct())
@@ -483,6 +493,8 @@ def recall(chunks: DataFrame, every: int = 100) -> DataFrame:
     ranked = sets.join(asked, "cls").join(df, "h").select("cls", "h", F.row_number().over(own.orderBy("df", "h")).alias("r"), F.count(F.lit(1)).over(own).alias("n"))
     rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD) + 1).select(F.col("cls").alias("x"), "h")
     near = rare.join(sets.select(F.col("cls").alias("y"), "h"), "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    true = of_other(verify(materialize(near), docs, chunks))  # without the bits, so that they are tested too
+    size = lambda s: docs.select(F.col("cls").alias(s), F.col("n_set").alias(f"n{s}")).dropDuplicates([s])
+    near = near.join(size("a"), "a").join(size("b"), "b")  # without the bits and the alignment, so that they are tested too
+    true = of_other(verify(materialize(near), docs, chunks, exact=True).where(F.col("jaccard") >= THRESHOLD))
     got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).join(got, how="cross")  # one row each

@@ -192,3 +192,19 @@ def usage(packed: DataFrame, limits: DataFrame) -> DataFrame:
     caps = limits.select("container", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
     bins = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), (F.max("bin_id") + 1).alias("bins"))
     return bins.join(caps, "container").select("container", "capacity", "bins", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("filled"))
+
+
+def invariants(docs: DataFrame, limits: DataFrame, path: str | None = None) -> DataFrame:
+    """(container, docs, fits, whole, complete): documents placed, and whether what must hold of a packing does.
+
+    ``fits``: no bin has more than the capacity. ``whole``: a document of at most the capacity is in one piece, and a longer
+    one in as few as it can be. ``complete``: the pieces of each document have its tokens.
+    """
+    sizes = measured(docs, path).groupBy("doc_id").agg(F.sum("n_tokens").alias("size"))
+    caps = limits.select("container", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()  # a few rows
+    packed = materialize(pack_all(docs, limits, path))
+    bins = packed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(caps), "container")
+    fits = bins.groupBy("container").agg(F.bool_and(F.col("t") <= F.col("capacity")).alias("fits"))
+    per = packed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("pieces")).join(sizes, "doc_id").join(F.broadcast(caps), "container")
+    got = per.groupBy("container").agg(F.count(F.lit(1)).alias("docs"), F.bool_and(F.col("pieces") == F.ceil(F.col("size") / F.col("capacity"))).alias("whole"), F.bool_and(F.col("t") == F.col("size")).alias("complete"))
+    return got.join(fits, "container").select("container", "docs", "fits", "whole", "complete")

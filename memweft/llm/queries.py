@@ -125,6 +125,11 @@ def p8_usage(spark, sf) -> DataFrame:
     return packing.usage(p8_pack(spark, sf), table(spark, sf, "pack_limits"))
 
 
+def p8_invariants(spark, sf) -> DataFrame:
+    """For each container: how many documents are placed, and whether all fit, are whole where they can be, and lose no token."""
+    return packing.invariants(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
+
+
 # --- p9: mixing ----------------------------------------------------------------------------------
 def p9_mix(spark, sf) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
@@ -134,6 +139,14 @@ def p9_shares(spark, sf) -> DataFrame:
     return mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p9_invariants(spark, sf) -> DataFrame:
+    """For each source: its different texts, and whether its cap holds and its share is within a percentage point of its target."""
+    caps = table(spark, sf, "mix_targets").select("source", "max_repeats", "weight")
+    rows = mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).join(caps, "source")
+    near = F.abs(F.col("actual_share") - F.col("target_share")) < 0.01
+    return rows.select("source", "texts", (F.coalesce("most_copies", F.lit(0)) <= F.col("max_repeats")).alias("capped"), F.when(F.col("texts") >= 1000, near).otherwise(F.lit(True)).alias("near"))
+
+
 # --- p10: long shared spans ----------------------------------------------------------------------
 def p10_found(spark, sf) -> DataFrame:
     return spans.found(table(spark, sf, "documents"))
@@ -149,7 +162,7 @@ def p10_shared(spark, sf) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p1_links, p1_recall, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_ranks, p7_daily, p8_pack, p8_usage, p9_mix, p9_shares, p10_found, p10_shared, p10_members)
+    for f in (p1_found, p1_groups, p1_links, p1_recall, p2_found, p2_clean, p3_found, p3_recall, p4_found, p4_segments, p4_languages, p5_found, p5_ledger, p7_found, p7_percentiles, p7_ranks, p7_daily, p8_pack, p8_usage, p8_invariants, p9_mix, p9_shares, p9_invariants, p10_found, p10_shared, p10_members)
 }
 
 _KEYED = r"""
@@ -207,6 +220,9 @@ UNION ALL SELECT tenant, 'top_score' AS field FROM lines WHERE top_score IS NOT
     "p7_ranks": f"""WITH {_RECALLS},
   v AS (SELECT tenant, 'latency_ms' AS field FROM lines WHERE isfinite(latency_ms) AND latency_ms >= 0 UNION ALL SELECT tenant, 'top_score' FROM lines WHERE top_score IS NOT NULL AND NOT isnan(top_score))
 SELECT tenant, field, p AS percentile, count(*) AS n, true AS within FROM v, (SELECT unnest(['p50', 'p90', 'p95', 'p99']) AS p) GROUP BY ALL""",
+    "p8_invariants": """SELECT container, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0) AS docs, true AS fits, true AS whole, true AS complete FROM pack_limits WHERE capacity_tokens > 0""",
+    "p9_invariants": """WITH r AS (SELECT text, arg_min(lower(trim(d.source)), doc_id) AS source FROM documents d JOIN mix_targets m ON m.source = lower(trim(d.source)) WHERE doc_id IS NOT NULL AND length(text) > 0 GROUP BY text)
+SELECT source, count(*) AS texts, true AS capped, true AS near FROM r GROUP BY source""",
     "p10_found": f"""WITH {_SPANS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.w = b.w AND a.doc_id < b.doc_id""",
     "p10_members": """WITH d AS (SELECT DISTINCT doc_id, md5(text) AS text_key FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160)
 SELECT doc_id, text_key, min(doc_id) OVER (PARTITION BY text_key) AS first_id, count(*) OVER (PARTITION BY text_key) AS copies FROM d""",

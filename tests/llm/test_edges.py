@@ -70,6 +70,16 @@ def test_ledger_records(spark, odd, none):
     assert empty.table().count() == ledger.table().count()
 
 
+def test_both_forms_of_the_key_agree(spark):
+    """The expression and the batch form put the same texts together, odd white space and letters included."""
+    rng = np.random.default_rng(11)
+    parts = ["name", "Name", "value x", "ÜBER", "straße", "İ", "Σας", "١٢", "Ⅷ", "日本", "é", "e\u0301", ":", "=", ": ", " = ", "\n", "\r\n", ";", " ", "\u00a0", "\ufeff", "_", "-", "!", "\ue000", "\x0b", "\u2003", "a-b_c", "ǅ"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(3000)] + ["a: 1\nb: 2", "b = 2; a = 1", "a:1\r\n\r\nB:2", "a: 1\nb:", "\ufeffa: 1\n\u00a0b: 2"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", canonical.canonical_key(F.col("text")).alias("k")).orderBy("i").collect()
+    mine = canonical.canonical_hashes(texts).tolist()
+    assert len(set(mine)) == len({bytes(r["k"]) for r in got}) == len({(m, bytes(r["k"])) for m, r in zip(mine, got)})
+
+
 def test_ledger_is_durable_and_counts_once(spark, tmp_path, monkeypatch):
     def batch(rows):
         return canonical.keyed(spark.createDataFrame([(c, None, t) for c, t in rows], "cid string, hash string, text string"))
