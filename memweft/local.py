@@ -57,7 +57,7 @@ def index_bytes(snapshot: Snapshot) -> int:
 class LocalIndex:
     def __init__(self, snapshot: Snapshot, config: RecallConfig):
         self.snapshot, self.model, self.dim = snapshot, config.model, config.dim
-        read = lambda name, cols: pa.concat_tables([pq.ParquetFile(p).read(columns=cols) for p in snapshot.files(name)] or [pa.table({c: [] for c in cols})])
+        read = lambda name, cols: pa.concat_tables([pq.ParquetFile(p).read(columns=cols) for p in snapshot.files(name)] or [pa.table({c: [] for c in cols})], promote_options="permissive")
         chunks = read("chunks", ["cid", "path", "hash", "text", "age_days", "evergreen", "mtime", "dl"]).to_pandas()
         chunks = chunks.sort_values("cid", ignore_index=True)  # ties go by cid, so by place
         self.cid, self.path, self.text = (chunks[c].to_numpy(object) for c in ("cid", "path", "text"))

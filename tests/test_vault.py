@@ -132,3 +132,118 @@ def test_tool_server_and_command_line(make, capsys, monkeypatch, tmp_path):
     monkeypatch.setenv("MEMWEFT_LOG", "off")
     assert RecallLog.configured().path is None and cli.analyze(None, False, v.spark) == 0
     assert "No query log yet" in capsys.readouterr().out
+
+
+def test_single_search_equals_the_plan(make, spark):
+    """The index in memory and the distributed plan give the same hits, with ages, phrases and odd queries."""
+    files = {f"n{i:02d}.md": "\n\n".join(f"note {i} about {w} snake_case_{i % 3} Ünïcode {w * (i % 4)}" for w in ("garden", "river", "stone")[: 1 + i % 3]) for i in range(40)}
+    v = make({**files, "MEMORY.md": "garden of stones"}, half_life_days=20.0, chunk_chars=60)
+    for i in range(40):
+        os.utime(os.path.join(v.dir, f"n{i:02d}.md"), (1_700_000_000 + i * 86400.5,) * 2)
+    v.reindex(now=1_800_000_000.0)
+    asked = ["garden stone", "snake_case_1", "UNICODE river", "the of and", "_", "", "nothing here", "note 7 about"]
+    rows = v.recall(spark.createDataFrame([(i, q, 4) for i, q in enumerate(asked)], "qid long, query string, k int")).orderBy("qid", "pos").collect()
+    want = {i: [(r["id"], r["score"], r["file"], r["snippet"]) for r in rows if r["qid"] == i] for i in range(len(asked))}
+    assert {i: [(h["id"], h["score"], h["file"], h["snippet"]) for h in v.search(q, 4)] for i, q in enumerate(asked)} == want
+    import memweft.vault as V
+
+    old, V.MOST_BYTES = V.MOST_BYTES, 0  # an index too large for memory
+    try:
+        v._local = (0, None)
+        assert [h["id"] for h in v.search(asked[0], 4)] == [x[0] for x in want[0]] and v._local[1] is None
+    finally:
+        V.MOST_BYTES = old
+
+
+def test_hostile_queries(make):
+    v = make({"a.md": 'def f(x): return {"key": x[0]} # OR AND NEAR'})
+    v.reindex()
+    for q in ('"unbalanced', "a OR AND NEAR(b", "key: [x] {y}", "*", "' ; drop", "\x00", "x" * 5000, "AND", "-- /* */"):
+        assert isinstance(v.search(q), list)
+    assert v.search("def f return key")[0]["file"] == "a.md"
+
+
+def test_lost_index_is_rebuilt(make):
+    import shutil
+
+    v = make({"a.md": "alpha"})
+    v.reindex()
+    shutil.rmtree(v.index_path)
+    os.makedirs(v.index_path)
+    assert v.search("alpha") == []
+    assert v.reindex(full=True)["files_reindexed"] == 1 and v.search("alpha")[0]["file"] == "a.md"
+
+
+def test_no_empty_read_while_the_index_changes(make):
+    v = make({f"n{i}.md": f"common topic {i}" for i in range(8)})
+    v.reindex()
+    reader = Vault(v.dir, v.config, v.spark)
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set() or len(seen) < 20:
+            seen.append(len(reader.search("common topic", 3)))
+
+    t = threading.Thread(target=read)
+    t.start()
+    for i in range(3):
+        write(v, f"n{i}.md", f"common topic changed {i}")
+        v.reindex()
+    stop.set()
+    t.join(120)
+    assert len(seen) >= 20 and min(seen) == 3
+
+
+def test_only_touched_buckets_are_rewritten(make, monkeypatch):
+    import memweft.plans.index as index
+
+    monkeypatch.setattr(index, "FILES", 3)
+    monkeypatch.setattr(index, "FOLDERS", 2)
+    v = make({f"n{i}.md": f"topic {i}" for i in range(12)})
+    v.reindex()
+    before = v.store.current()
+    assert before["buckets"] == 4
+    for k in range(4):
+        write(v, "n3.md", f"other {k}", 1_000_000_000 + k)
+        v.reindex()
+        meta = v.store.current()
+        changed = [b for b in meta["tables"]["chunks"] if meta["tables"]["chunks"][b] != before["tables"]["chunks"].get(b)]
+        assert len(changed) == 1 and len(meta["tables"]["emb_cache"]) <= 3
+        before = meta
+        assert v.search(f"other {k}")[0]["file"] == "n3.md" and v.stats() == {"files": 12, "chunks": 12, "index": v.index_path}
+    kept = {f.split("/")[0] for t in before["tables"].values() for f, _ in t.values()}
+    assert kept <= {d for d in os.listdir(v.index_path) if d.startswith("v=")}
+
+
+WRITER = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+os.environ["PYTHONPATH"] = sys.argv[1]
+os.environ["MEMWEFT_LOG"] = "off"
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").config("spark.driver.memory", "700m").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+from memweft import RecallConfig, Vault
+v = Vault(sys.argv[2], RecallConfig(model="signed-hash-64", dim=64, db_dir=sys.argv[3]), spark)
+for i in range(2):
+    with open(os.path.join(v.dir, f"p{sys.argv[4]}-{i}.md"), "w") as f:
+        f.write(f"written by {sys.argv[4]} at {i}")
+    v.reindex()
+"""
+
+
+def test_writers_in_three_processes(make, tmp_path):
+    import subprocess
+    import sys
+
+    v = make({f"n{i}.md": f"note {i}" for i in range(10)})
+    v.reindex()
+    script = tmp_path / "writer.py"
+    script.write_text(WRITER)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ps = [subprocess.Popen([sys.executable, str(script), root, v.dir, v.config.db_dir, str(k)], stdout=subprocess.DEVNULL, stderr=subprocess.PIPE) for k in range(3)]
+    for p in ps:
+        _, err = p.communicate(timeout=300)
+        assert p.returncode == 0, err[-2000:]
+    v.reindex()
+    assert v.stats()["files"] == 16 and v.search("written by 2", 8)[0]["file"].startswith("p2")
