@@ -213,5 +213,6 @@ def maybe_repeated(df: DataFrame, keys: Keys, n_keys: int) -> DataFrame:
                     held.append((h, np.frombuffer(data[1], np.int64), np.frombuffer(data[2], np.int32)))
         yield from close()
 
-    rows = df.mapInArrow(split, _PACKED).repartition("part").sortWithinPartitions("part")
+    # four ranges a task on average, however many partitions the session has by default
+    rows = df.mapInArrow(split, _PACKED).repartition(-(-ranges // 4), "part").sortWithinPartitions("part")
     return rows.mapInArrow(decide, "h long, owner long, place int")
