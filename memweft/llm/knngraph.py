@@ -30,6 +30,13 @@ CENTERS = 1 << 17
 PROBES, DEGREE, ALPHA = 3, 32, 1.05
 #: Widths of the beams that build a graph, search it for its own nodes, which start where they stand, and for others.
 BUILD, OWN, BEAM = 48, 32, 64
+#: Where the last of a node's ``OWN`` best is not this much farther than the last that is wanted, everything is about as far
+#: as everything else; there the node searches again by a beam of this width.
+HARD, WIDE = 1.08, 160
+#: Nodes of a search that are ranked by exact distance and id; many of a dense cluster can be at one distance.
+RANKED = 32
+#: Spread nodes of a shard that a query which isn't one of its nodes is compared with, and how many of them it starts from.
+SPREAD, STARTS = 2048, 16
 #: Queries of one shard that one task takes.
 QUERIES = 65536
 
@@ -56,12 +63,14 @@ def beam_search(x, sq, graph, starts, q, beam: int, width: int = 4, visited_out:
     seen[rows, starts] = True
     ids[:, :s] = starts
     d[:, :s] = _dist(x, sq, q, starts)
-    if s > 1:  # the same start twice
+    if s > 1:  # the same start twice; then best first
         order = np.argsort(ids[:, :s], axis=1)
         st = np.take_along_axis(ids[:, :s], order, 1)
         twin = np.zeros((b, s), bool)
         np.put_along_axis(twin, order[:, 1:], st[:, 1:] == st[:, :-1], 1)
         d[:, :s][twin] = np.inf
+        order = np.argsort(d[:, :s], axis=1, kind="stable")
+        ids[:, :s], d[:, :s] = np.take_along_axis(ids[:, :s], order, 1), np.take_along_axis(d[:, :s], order, 1)
     done = np.zeros((b, beam), bool)
     slot = np.zeros((b, n + 1), np.int16)
     live = np.arange(b)
@@ -179,18 +188,23 @@ def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int =
 def search(x, graph, entry: int, q: np.ndarray, self_at: np.ndarray, beam: int = BEAM, batch: int = 512) -> np.ndarray:
     """Ids of the ``beam`` best nodes of each query. ``self_at`` is the query's own node, or -1.
 
-    A query that is a node starts there; others start at the entry and the best of some spread nodes.
+    A query that is a node starts there; others start at the entry and the best ``STARTS`` of ``SPREAD`` spread nodes.
     """
     n = len(x)
     beam = min(beam, n)
     sq = np.einsum("ij,ij->i", x, x)
-    spread = np.unique(np.linspace(0, n - 1, min(n, 256)).astype(int))
+    spread = np.unique(np.linspace(0, n - 1, min(n, SPREAD)).astype(int))
+    some = min(STARTS, len(spread), beam - 1)
     out = np.full((len(q), beam), n, np.int64)
     for s in range(0, len(q), batch):
         part = q[s : s + batch]
-        near = spread[np.argsort(sq[spread][None, :] - 2 * part @ x[spread].T, axis=1)[:, :2]]
-        own = np.where(self_at[s : s + batch] >= 0, self_at[s : s + batch], entry)
-        starts = np.column_stack([own, near]) if near.shape[1] == 2 and beam >= 3 else own[:, None]  # of two nodes, one leads to the other
+        own = self_at[s : s + batch, None]
+        if some and (own < 0).all():
+            d = sq[spread][None, :] - 2 * part @ x[spread].T
+            near = spread[np.argpartition(d, some - 1, axis=1)[:, :some]]
+            starts = np.column_stack([np.full(len(part), entry), near])
+        else:
+            starts = np.where(own >= 0, own, entry)
         out[s : s + len(part)], _ = beam_search(x, sq, graph, starts, part, beam)
     return out
 
@@ -272,7 +286,7 @@ def partition(nodes: DataFrame) -> dict[str, Cells]:
     for model, n in sorted(sizes.items()):
         own = nodes.where(F.col("model") == model)
         k = max(1, min(round(n / CELL), SAMPLE // 8))
-        sample = np.stack(own.where(share(F.lit(float(n)))).select("vec").limit(2 * SAMPLE).toPandas()["vec"].tolist() or [own.select("vec").first()["vec"]]).astype(np.float32)
+        sample = np.stack(own.where(share(F.lit(float(n)))).select("node", "vec").limit(2 * SAMPLE).toPandas().sort_values("node")["vec"].tolist() or [own.select("vec").first()["vec"]]).astype(np.float32)
         coarse = _centroids(sample, min(k, len(sample))) if k > 1 else np.zeros((1, sample.shape[1]), np.float32)
         out[model] = Cells(coarse)
     bc = nodes.sparkSession.sparkContext.broadcast(out)  # at most SAMPLE // 8 centroids a model
@@ -287,7 +301,7 @@ def partition(nodes: DataFrame) -> dict[str, Cells]:
             yield pdf[["model", "node", "vec"]].assign(cell=cell)
 
     def split(pdf):
-        x = np.stack(pdf["vec"].tolist()).astype(np.float32)
+        x = np.stack(pdf.sort_values("node")["vec"].tolist()).astype(np.float32)
         k = min(int(pdf["k"].iloc[0]), max(1, len(x) // 8))
         return pd.DataFrame({"model": pdf["model"].iloc[0], "cell": pdf["cell"].iloc[0], "center": list(_centroids(x, k))})
 
@@ -297,7 +311,7 @@ def partition(nodes: DataFrame) -> dict[str, Cells]:
         counts = placed.groupBy("model", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
         most = F.lit(CENTERS // (SAMPLE // 8))
         large = counts.withColumn("k", F.least(F.ceil(F.col("n") / CELL), most, F.lit(SAMPLE // 8)))
-        rows = placed.join(F.broadcast(large), ["model", "cell"]).where(share(F.col("n"))).select("model", "cell", "vec", "k")  # a row a cell
+        rows = placed.join(F.broadcast(large), ["model", "cell"]).where(share(F.col("n"))).select("model", "cell", "node", "vec", "k")  # a row a cell
         cut: dict = {}
         for r in rows.groupBy("model", "cell").applyInPandas(split, "model string, cell int, center array<float>").collect():  # at most CENTERS a model
             cut.setdefault((r["model"], r["cell"]), []).append(r["center"])
@@ -370,7 +384,14 @@ def _own(batches, keep: int):
             ask = np.flatnonzero(np.asarray(row["asked"], bool))
             if len(ask):
                 s = _Shard(row)
-                near = search(s.x, s.graph, s.entry, s.x[ask], ask, max(OWN, 2 * keep))[:, : 2 * keep]
+                ranked = max(RANKED, 2 * keep)
+                near = search(s.x, s.graph, s.entry, s.x[ask], ask, max(OWN, ranked))[:, :ranked]
+                if near.shape[1] > keep:
+                    some = np.where(near[:, [keep - 1, -1]] < len(s.x), near[:, [keep - 1, -1]], 0)
+                    d = ((s.x[some] - s.x[ask, None, :]) ** 2).sum(2)
+                    hard = np.flatnonzero((near[:, -1] < len(s.x)) & (d[:, 1] < HARD**2 * d[:, 0]))
+                    if len(hard):
+                        near[hard] = search(s.x, s.graph, s.entry, s.x[ask[hard]], ask[hard], max(WIDE, ranked))[:, : near.shape[1]]
                 d, i = s.best(s.x[ask], near, keep)
                 yield pd.DataFrame({"model": row["model"], "node": np.asarray(row["nodes"], object)[ask], "d": d, "id": i})
 
@@ -428,7 +449,7 @@ def neighbours(cache: DataFrame, models: DataFrame, k: int = 5, queries=None, ex
         if not len(g) or not len(q):
             return pd.DataFrame({"model": [], "node": [], "d": [], "id": []})
         s, y = _Shard(g.iloc[0]), np.stack(q["vec"].tolist()).astype(np.float32)
-        most = min(len(s.x), 2 * keep)
+        most = min(len(s.x), max(RANKED, 2 * keep) * (2 if exact else 1))
         if exact:
             sq = np.einsum("ij,ij->i", s.x, s.x)
             near = np.concatenate([np.argpartition(sq[None, :] - 2 * y[i : i + 512] @ s.x.T, most - 1, axis=1)[:, :most] for i in range(0, len(y), 512)])

@@ -365,6 +365,20 @@ def test_cells_cut_again_and_many_shards_find_the_same(spark, monkeypatch):
     assert all(r["recall"] >= 0.95 for r in knngraph.recall(cache, models).collect())
 
 
+def test_dense_noise_is_searched_more_widely():
+    """Points all about as far from each other, where a narrow beam loses some: the wider second search finds them."""
+    rng = np.random.default_rng(5)
+    x = (np.round(rng.normal(0, 0.3, (4000, 48)) * 64) / 64).astype(np.float32)
+    graph, entry = knngraph.build(x)
+    row = {"x": x.tobytes(), "graph": graph.astype(np.int32).tobytes(), "dim": 48, "entry": entry, "sizes": [1] * 4000, "ids": list(range(4000)), "nodes": [str(i) for i in range(4000)], "asked": [i % 20 == 0 for i in range(4000)], "model": "m"}
+    got = pd.concat(knngraph._own([pd.DataFrame([row])], 6))
+    hits = 0
+    for node, ids in zip(got["node"], got["id"]):
+        d = ((x.astype(float) - x[int(node)].astype(float)) ** 2).sum(1)
+        hits += len(set(np.lexsort((np.arange(4000), d))[:6]) & set(ids))
+    assert len(got) == 200 and hits / 1200 > 0.97
+
+
 def test_bounds_of_cells_hold():
     """A point's cell is the one that it is assigned to, and no point of another cell is nearer than its bound says."""
     rng = np.random.default_rng(3)
