@@ -98,12 +98,21 @@ def test_evergreen(spark, path, want):
     assert one(spark, path, T.is_evergreen(F.col("x"), RecallConfig().evergreen_re)) == want
 
 
-@pytest.mark.parametrize(("title", "content"), [("A b!", "c"), (None, "Héllo wörld " * 9), ("", "--x--"), ("!!!", "y"), ("日本 x", "z")])
-def test_slug_is_the_same_in_both_forms(spark, title, content):
-    from memweft.server import slug
+@pytest.mark.parametrize(
+    ("title", "content", "want"),
+    [("A b!", "c", "a-b"), (None, "Héllo wörld " * 9, "héllo-wörld-héllo-wörld-héllo-wörld-héll"), ("", "--x--", "x"), ("!!!", "y", "card"), ("日本 x", "z", "日本-x"), ("a" * 60, "z", "a" * 50)],
+)
+def test_cards(spark, tmp_path, title, content, want):
+    """A card's name and text, as written and read back; a card of the same name is replaced."""
+    import datetime as dt
+
+    from memweft.sources import cards
 
-    df = spark.createDataFrame([(title, content)], "t string, c string")
-    assert df.select(T.card_slug(F.col("t"), F.col("c"))).first()[0] == slug(title, content)
+    facts = spark.createDataFrame([(title, content, dt.datetime(2025, 3, 4, 5, 6, 7)), ("none", None, dt.datetime(2025, 1, 1)), ("none", "x", None)], "title string, content string, at timestamp")
+    for _ in range(2):
+        assert [r["file"] for r in cards.write_cards(facts, str(tmp_path)).collect()] == [f"card-20250304-050607-{want}.md"]
+    (made,) = tmp_path.iterdir()
+    assert made.name == f"card-20250304-050607-{want}.md" and made.read_text() == (f"# {title}\n\n" if title else "") + content + "\n"
 
 
 def test_fold_map_rule():
