@@ -124,7 +124,8 @@ def p6_deliveries(spark, sf) -> DataFrame:
     run = incremental.IncrementalRun(spark, scratch_dir(spark))
     out = None
     for k in (1, 2, 3):
-        entry = run.step(files.where(F.col("listed_at").isNull() | (F.col("listed_at") <= F.lit(lo + (hi - lo) * k // 3))))
+        until = F.lit(str(lo + (hi - lo) * k // 3)).cast(files.schema["listed_at"].dataType)  # as text: no session's time zone plays a part
+        entry = run.step(files.where(F.col("listed_at").isNull() | (F.col("listed_at") <= until)))
         one = run.output(entry).select("tenant", "path", "mtime", F.lit(k).alias("run"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -270,7 +271,7 @@ def windowed_recalls(spark, sf) -> DataFrame:
 
     log = table(spark, sf, "query_log").withColumn("latency_ms", F.when(~F.isnan("latency_ms"), F.col("latency_ms")))
     w = windows(log, "1 day", "2 days")
-    return w.select("tenant", F.date_format("start", "yyyy-MM-dd").alias("day"), "recalls", F.round("empty_rate", 6).alias("empty_rate"), F.round("mean_latency_ms", 3).alias("mean_latency_ms"))
+    return w.select("tenant", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("start") / 86400).cast("int")).cast("string").alias("day"), "recalls", F.round("empty_rate", 6).alias("empty_rate"), F.round("mean_latency_ms", 3).alias("mean_latency_ms"))
 
 
 QUERIES = {
