@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
