@@ -29,3 +29,8 @@ def test_entry_runs_without_the_llm_folder(spark):
     assert df.columns == ["qid", "pos", "id", "score", "file", "snippet"]
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_vault_recall_answers_every_recall_of_the_log(spark, sf):
+    lines = spark.read.parquet(f"{sf}/query_log.parquet").where("event = 'recall' AND tenant IS NOT NULL").select("line_no").collect()
+    assert {r["qid"] for r in VQ.QUERIES["vault_recall"](spark, sf).select("qid").collect()} == {r["line_no"] for r in lines}
