@@ -247,3 +247,28 @@ def test_writers_in_three_processes(make, tmp_path):
         assert p.returncode == 0, err[-2000:]
     v.reindex()
     assert v.stats()["files"] == 16 and v.search("written by 2", 8)[0]["file"].startswith("p2")
+
+
+def test_index_of_a_table_is_that_of_its_files(make, spark):
+    """Notes of a table give the chunks, terms and hits of the same notes as files, of which none is written."""
+    from memweft.sources.markdown import write_notes
+
+    rows = [("a.md", "one\r\n\r\ntwo\rthree\n\none", 1e9), ("d/.b.md", "alpha", 1e9), (".x/c.md", "no", 1e9), ("t.txt", "no", 1e9), ("tmp/t.md", "no", 1e9), ("e.md", "", 1e9), ("n.md", None, 1e9)]
+    notes = spark.createDataFrame(rows, "path string, text string, mtime double")
+    v = make({}, recursive=True, ignore_globs=("tmp/*",), chunk_chars=5)
+    write_notes(notes, v.dir)
+    w = Vault(v.dir + "-table/notes", v.config, spark, notes)
+    assert v.reindex(now=2e9) == w.reindex(now=2e9) == {"files_total": 3, "files_reindexed": 3, "chunks": 3, "embedded": 3, "cached": 0}
+    assert w.reindex(now=2e9)["files_reindexed"] == 0 and os.listdir(w.dir) == []
+    of = lambda x: sorted(map(tuple, x.snapshot().chunks.drop("fresh").collect()))
+    occ = lambda x: sorted(map(tuple, x.snapshot().occ.collect()))
+    assert of(v) == of(w) and occ(v) == occ(w) and v.search("alpha one") == w.search("alpha one")
+    w.notes = notes.where("path <> 'a.md'").union(spark.createDataFrame([("f.md", "new", 1e9)], notes.schema))
+    assert w.reindex(now=2e9)["embedded"] == 1 and {x[2] for x in of(w)} == {"d/.b.md", "f.md"}
+
+
+def test_index_has_a_row_of_terms_for_each_chunk(make, spark):
+    v = make({"a.md": "word " * 1000})
+    v.reindex()
+    rows = sum(spark.read.parquet(f).count() for f, _ in v.snapshot().folders("occurrences"))
+    assert rows == 1 and v.snapshot().occ.count() == 1000
