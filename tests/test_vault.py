@@ -249,6 +249,21 @@ def test_writers_in_three_processes(make, tmp_path):
     assert v.stats()["files"] == 16 and v.search("written by 2", 8)[0]["file"].startswith("p2")
 
 
+def test_many_searches_are_one_plan(make, monkeypatch):
+    """An index too large for memory is searched once for all questions; hits are those of single searches, and all are logged."""
+    import memweft.vault as V
+
+    v = make({f"n{i:02d}.md": f"note {i} about {w}" for i, w in enumerate(["garden", "river", "stone"] * 6)})
+    v.reindex()
+    asked = ["garden note", None, "river", "garden note", "", "nothing here"]
+    want = [v.search(q, 3) for q in asked]
+    monkeypatch.setattr(V, "MOST_BYTES", 0)
+    v._local, runs, one = (0, None), [], v.recall
+    monkeypatch.setattr(v, "recall", lambda q: runs.append(1) or one(q))
+    assert list(v.search_all(asked, 3)) == want and len(runs) == 1
+    assert len(open(RecallLog.configured().path).readlines()) == 2 * len(asked)
+
+
 def test_index_of_a_table_is_that_of_its_files(make, spark):
     """Notes of a table give the chunks, terms and hits of the same notes as files, of which none is written."""
     from memweft.sources.markdown import write_notes
