@@ -262,6 +262,12 @@ def test_many_searches_are_one_plan(make, monkeypatch):
     monkeypatch.setattr(v, "recall", lambda q: runs.append(1) or one(q))
     assert list(v.search_all(asked, 3)) == want and len(runs) == 1
     assert len(open(RecallLog.configured().path).readlines()) == 2 * len(asked)
+    out = io.StringIO()
+    call = lambda i, q, name="memory_recall": json.dumps({"id": i, "method": "tools/call", "params": {"name": name, "arguments": {"query": q, "content": q}}})
+    server.answer(v, [call(1, "garden note"), "no json", call(2, "river"), call(3, None), call(4, "The comet passes.", "memory_record"), call(5, "comet")], out)
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in replies] == [1, 2, 3, 4, 5] and len(runs) == 4  # two together, the null by itself, one after the record
+    assert "The comet passes." in replies[4]["result"]["content"][0]["text"] and "garden" in replies[0]["result"]["content"][0]["text"]
 
 
 def test_index_of_a_table_is_that_of_its_files(make, spark):
