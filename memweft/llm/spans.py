@@ -12,8 +12,11 @@ that is needed to decide whether the shared span around it reaches ``length``.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,46 +72,117 @@ def _kept(docs, length: int, width: int):
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, V.U), np.empty(0, np.int64), np.empty(0, np.int32))
 
 
-OCCURRENCES = "h long, same string, doc_id long, pos int, around string, lead int"
+#: Code points of a part of the texts on average (fewer parts than ``PARTS`` have so many, more have up to ``WIDE``), and bytes that a task packs at a time.
+SHARE, PARTS, WIDE, PACK = 1 << 21, 1 << 9, 1 << 26, 1 << 25
+
+_PACKED = "part int, texts boolean, n long, size long, data binary"
+OCCURRENCES = "h long, same string, pos int, cx int, around string, lead int"
+
+
+def _by_part(doc: np.ndarray, parts: int):
+    """(part, rows of it) for documents by their ids."""
+    part = (((V.mix(doc.astype(np.int64).view(V.U)) >> V.U(32)) * V.U(parts)) >> V.U(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return [(int(part[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows)]
+
+
+def _packed(rows) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _together(batches, most: int):
+    """Tables of some ``most`` bytes or more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """(h, same, doc_id, pos, around, lead) of windows that may be repeated, written to scratch.
+    """(h, same, pos, cx, around, lead) of windows that may be repeated, written to scratch.
+
+    ``same`` names the text (128-bit hash). ``around`` is the window with its context, ``lead`` how much of it is before.
+    A text that repeats a pattern has the same window in the same context at thousands of places; ``cx`` is the first
+    of them, and only that row has the context. Copies of one text keep the rows of one of them in each part.
 
-    ``same`` names the text (128-bit hash); copies of one text keep one occurrence, that of the
-    smallest doc_id. ``around`` is the window with its context, ``lead`` how much of it is before.
-    Windows that may be repeated come back from their hash ranges and are joined with their texts.
+    Windows that may be repeated come back from their hash ranges and meet their texts in parts by document. Texts
+    travel once, in compressed packs of one task and part; what a text has several times is found where it is whole.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select("doc_id", "text")
     chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     back = maybe_repeated(usable, lambda batch: _kept(batch, length, width), 2 * chars // (length - width + 2))
-    places = back.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))  # the windows of one text
-    side = length - width
-
-    def place(batches):
-        for pdf in batches:
-            n = pdf["hs"].map(len).to_numpy(np.int64)
-            if not n.sum():
-                continue
-            texts, doc = pdf["text"].tolist(), np.repeat(np.arange(len(pdf)), n)
-            h, pos = (np.concatenate(pdf[c].to_list()).astype(np.int64) for c in ("hs", "places"))
-            lead = np.minimum(pos, side)
-            around = [texts[d][p - k : p + width + side] for d, p, k in zip(doc.tolist(), pos.tolist(), lead.tolist())]
-            yield pd.DataFrame({"h": h, "same": pdf["same"].to_numpy()[doc], "doc_id": pdf["doc_id"].to_numpy()[doc], "pos": pos, "around": around, "lead": lead})
-
-    got = usable.withColumn("same", F.md5("text")).join(places, "doc_id").mapInPandas(place, OCCURRENCES)
-    one = got.groupBy("h", "same", "pos").agg(F.min(F.struct("doc_id", "lead", "around")).alias("o"))
-    return materialize(one.select("h", "same", F.col("o.doc_id").alias("doc_id"), "pos", F.col("o.around").alias("around"), F.col("o.lead").alias("lead")))
+    side, parts = length - width, max(1, min(-(-chars // SHARE), max(PARTS, -(-chars // WIDE))))
+
+    def places(batches):
+        for t in _together(batches, PACK):
+            h, owner, pos = (t.column(c).to_numpy() for c in ("h", "owner", "place"))
+            yield _packed([(part, False, len(rows), 0, owner[rows].tobytes() + h[rows].tobytes() + pos[rows].tobytes()) for part, rows in _by_part(owner, parts)])
+
+    def texts(batches):
+        codec = pa.Codec("zstd", 3)
+        for t in _together(batches, PACK):
+            doc, text, out = t.column("doc_id").to_numpy(), t.column("text").cast(pa.large_binary()).to_pylist(), []
+            size = np.fromiter(map(len, text), np.int64, len(text))
+            for part, rows in _by_part(doc, parts):
+                data = b"".join([doc[rows].tobytes(), size[rows].tobytes(), *(text[i] for i in rows.tolist())])
+                out.append((part, True, len(rows), len(data), codec.compress(data, asbytes=True)))
+            yield _packed(out)
+
+    def meet(batches):
+        codec, last = pa.Codec("zstd", 3), None
+        for batch in batches:
+            for part, is_texts, n, size, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if part != last:
+                    last, asked, owner, seen = part, [], None, set()
+                if not is_texts:
+                    asked.append((np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.int32, n, 16 * n)))
+                    continue
+                if not asked:
+                    continue
+                if owner is None:  # the places of a part come before its texts
+                    owner, h, pos = (np.concatenate(x) for x in zip(*asked))
+                    order = np.lexsort((pos, owner))
+                    owner, h, pos = owner[order], h[order], pos[order]
+                data = codec.decompress(data, size, asbytes=True)
+                doc, ends = np.frombuffer(data, np.int64, n), 16 * n + np.cumsum(np.frombuffer(data, np.int64, n, 8 * n))
+                first, end = np.searchsorted(owner, doc, "left"), np.searchsorted(owner, doc, "right")
+                out = []
+                for i in np.flatnonzero(first < end).tolist():
+                    text = data[ends[i - 1] if i else 16 * n : ends[i]]
+                    same = hashlib.md5(text).hexdigest()
+                    if same in seen:
+                        continue
+                    seen.add(same)
+                    text, at = text.decode(), {}
+                    for key, p in zip(h[first[i] : end[i]].tolist(), pos[first[i] : end[i]].tolist()):
+                        if p + width > len(text):  # of another text with this id
+                            continue
+                        lead = min(p, side)
+                        around = text[p - lead : p + width + side]
+                        cx = at.setdefault((key, lead, around), p)
+                        out.append((key, same, p, cx, around if cx == p else None, lead))
+                if out:
+                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [c.split()[0] for c in OCCURRENCES.split(", ")])
+
+    # four parts a task on average, however many partitions the session has by default
+    rows = back.mapInArrow(places, _PACKED).union(usable.mapInArrow(texts, _PACKED))
+    return materialize(rows.repartition(-(-parts // 4), "part").sortWithinPartitions("part", "texts").mapInArrow(meet, OCCURRENCES))
 
 
 def contexts(occ: DataFrame) -> DataFrame:
-    """(h, same, cx, doc_id, around, lead): the different contexts that a window has in a text.
+    """(h, same, cx, around, lead): the different contexts that a window has in a text; all of a window in one task.
 
-    A text that repeats a pattern has the same window in the same context at thousands of places; for
-    what it shares with other texts one of them says it all.
+    For what a text shares with others one of the places of a context says it all.
     """
-    cx = F.md5(F.concat_ws(":", "lead", "around"))
-    return occ.withColumn("cx", cx).groupBy("h", "same", "cx").agg(F.min("doc_id").alias("doc_id"), F.first("around").alias("around"), F.first("lead").alias("lead"))
+    return occ.where("pos = cx").select("h", "same", "cx", "around", "lead").repartition("h").groupBy("h", "same", "cx").agg(F.first("around").alias("around"), F.first("lead").alias("lead"))
 
 
 def _reach(batches, length: int, width: int):
@@ -149,18 +223,18 @@ class Shared:
     def __init__(self, occ: DataFrame, length: int = LENGTH, width: int = WIDTH, crowd: int = CROWD):
         self.occ, self.length, self.width = occ, length, width
         cx = contexts(occ)
-        sizes = cx.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "k")
+        sizes = occ.where("pos = cx").select("h", "same", "cx").repartition("h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "k")
         rows = materialize(cx.join(sizes, "h"))
         quiet, loud = rows.where(F.col("k") <= crowd).drop("k"), rows.where(F.col("k") > crowd).drop("k")
-        side = lambda t: quiet.select("h", F.col("same").alias(f"s{t}"), F.col("doc_id").alias(f"d{t}"), F.col("cx").alias(f"c{t}"), F.col("around").alias(f"x{t}"), F.col("lead").alias(f"l{t}"))
-        both = side("a").join(side("b"), "h").where("da < db and sa <> sb").select("sa", "sb", "h", "ca", "cb", "xa", "xb", "la", "lb")
-        self.pairs = both.mapInPandas(lambda b: _reach(b, length, width), "sa string, sb string, h long, ca string, cb string, left int, right int")
+        side = lambda t: quiet.select("h", F.col("same").alias(f"s{t}"), F.col("cx").alias(f"c{t}"), F.col("around").alias(f"x{t}"), F.col("lead").alias(f"l{t}"))
+        both = side("a").join(side("b"), "h").where("sa < sb").select("sa", "sb", "h", "ca", "cb", "xa", "xb", "la", "lb")
+        self.pairs = both.mapInPandas(lambda b: _reach(b, length, width), "sa string, sb string, h long, ca int, cb int, left int, right int")
         self.spans = None
         if not loud.isEmpty():
             first = F.greatest(F.lit(0), F.col("lead") - (length - width))
             starts = F.sequence(first, F.least(F.col("lead"), F.length("around") - length))
             spans = loud.where((F.length("around") >= length) & (first <= F.length("around") - length)).withColumn("at", F.explode(starts))
-            spans = spans.select("h", "same", "cx", "doc_id", "lead", "at", F.md5(F.substring("around", F.col("at") + 1, F.lit(length))).alias("span"))
+            spans = spans.select("h", "same", "cx", "lead", "at", F.md5(F.substring("around", F.col("at") + 1, F.lit(length))).alias("span"))
             many = spans.groupBy("h", "span").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "span")
             self.spans = materialize(spans.join(many, ["h", "span"]))
 
@@ -168,8 +242,8 @@ class Shared:
         """(sa, sb): pairs of texts that share a span."""
         got = self.pairs.select("sa", "sb")
         if self.spans is not None:
-            one = materialize(self.spans.groupBy("h", "span", "same").agg(F.min("doc_id").alias("d")))
-            got = got.union(_paired(one, ["h", "span"], "same", "d"))
+            one = materialize(self.spans.select("h", "span", "same").distinct())
+            got = got.union(_paired(one, ["h", "span"], "same"))
         return got.distinct()
 
     def covered(self) -> DataFrame:
@@ -180,21 +254,21 @@ class Shared:
             right = F.max(F.col("at") + self.length - F.col("lead") - self.width)
             ends = ends.union(self.spans.groupBy("h", "same", "cx").agg(F.max(F.col("lead") - F.col("at")).alias("left"), right.alias("right")))
         most = ends.groupBy("h", "same", "cx").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-        at = self.occ.select("h", "same", "pos", F.md5(F.concat_ws(":", "lead", "around")).alias("cx")).join(most, ["h", "same", "cx"])
+        at = self.occ.select("h", "same", "pos", "cx").join(most, ["h", "same", "cx"])
         return at.select("same", (F.col("pos") - F.col("left")).alias("p"), (F.col("pos") + self.width + F.col("right")).alias("e"))
 
 
-def _paired(rows: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
-    """(sa, sb): the names of every two rows that agree in ``keys``, the one of smaller ``order`` first.
+def _paired(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(sa, sb): the names of every two rows that agree in ``keys``, the smaller first.
 
     Rows of a key with more than ``PART`` of them are cut into parts by hash, and each two parts meet in a task of their own.
     """
     hot = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("n")).where("n > 1")
     rows = rows.join(hot, keys, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(name, F.lit("part")), F.col("n")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    a = rows.select(*keys, F.col(name).alias("sa"), F.col(order).alias("da"), F.col("own").alias("pa"), each.alias("pb"))
-    b = rows.select(*keys, F.col(name).alias("sb"), F.col(order).alias("db"), each.alias("pa"), F.col("own").alias("pb"))
-    return a.join(b, [*keys, "pa", "pb"]).where("da < db").select("sa", "sb")
+    a = rows.select(*keys, F.col(name).alias("sa"), F.col("own").alias("pa"), each.alias("pb"))
+    b = rows.select(*keys, F.col(name).alias("sb"), each.alias("pa"), F.col("own").alias("pb"))
+    return a.join(b, [*keys, "pa", "pb"]).where("sa < sb").select("sa", "sb")
 
 
 def _copies(docs: DataFrame, length: int) -> DataFrame:

@@ -559,3 +559,56 @@ def test_unclosed_marks_take_linear_time(mark):
     began = time.process_time()
     markup.leaves(text)
     assert time.process_time() - began < 20
+
+
+def _shuffled(spark) -> int:
+    """Bytes of shuffle files that the session has written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_and_contexts_of_spans_travel_once(spark):
+    """What p10_found shuffles, the packed keys included, is less than the texts themselves."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), n)) for n in rng.integers(2, 10, 3000)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    cores = [say(60) for _ in range(300)]
+    texts = [say(40) + " " + cores[i % 300] + " " + say(40) for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).localCheckpoint()
+    before = _shuffled(spark)
+    occ = spans.occurrences(docs)
+    assert spans.contexts(occ).groupBy("h").count().count() > 1000
+    assert _shuffled(spark) - before < sum(map(len, texts))
+
+
+def test_spans_in_small_parts_and_packs_are_those_of_sql(spark, monkeypatch):
+    """Copies, patterns, characters of four bytes, ids of either sign and empty parts, in parts and packs of a few texts."""
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    say = lambda n: "".join(rng.choice(list("abcdefgh ü日😀"), n))
+    cores = [say(n) for n in (159, 160, 161, 400)]
+    texts = [say(int(rng.integers(0, 200))) + cores[i % 4] + say(int(rng.integers(0, 200))) for i in range(40)]
+    texts += [texts[i] for i in range(0, 40, 3)] * 2 + ["ab" * 200, "ab" * 90 + "c", "x" * 159, "x" * 160, "y" + "x" * 161, None, ""]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)) * 7919 - 200_000, texts)]
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, cores[3])], "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows + rows[:5], columns=["doc_id", "text"]))
+    for share, pack, crowd in ((1 << 21, 1 << 25, 64), (300, 4000, 2)):
+        monkeypatch.setattr(spans, "SHARE", share)
+        monkeypatch.setattr(spans, "PACK", pack)
+        monkeypatch.setattr(spans.Shared.__init__, "__defaults__", (spans.LENGTH, spans.WIDTH, crowd))
+        got = [tuple(r) for r in spans.found(docs).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(con.sql(Q.SQL["p10_found"]).fetchall())
+        assert {tuple(r) for r in spans.shared_share(docs).collect()} == set(con.sql(Q.SQL["p10_shared"]).fetchall())
+
+
+def test_spans_of_an_id_delivered_with_two_texts(spark):
+    """Two texts of which the smallest doc_id is the same are still paired."""
+    rng = np.random.default_rng(12)
+    say = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    core = say(170)
+    a, b = say(50) + core + say(20), say(90) + core
+    docs = spark.createDataFrame([(1, a), (5, a), (1, b), (7, b)], "doc_id long, text string")
+    assert {tuple(r) for r in spans.found(docs).collect()} == {(1, 5), (1, 7), (5, 7)}
