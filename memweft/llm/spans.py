@@ -76,7 +76,7 @@ def _kept(docs, length: int, width: int):
 SHARE, PARTS, WIDE, PACK = 1 << 21, 1 << 9, 1 << 26, 1 << 25
 
 _PACKED = "part int, texts boolean, n long, size long, data binary"
-OCCURRENCES = "h long, same string, pos int, cx int, around string, lead int"
+OCCURRENCES = "h long, same binary, pos int, cx int, around string, lead int"
 
 
 def _by_part(doc: np.ndarray, parts: int):
@@ -156,7 +156,7 @@ def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> Da
                 out = []
                 for i in np.flatnonzero(first < end).tolist():
                     text = data[ends[i - 1] if i else 16 * n : ends[i]]
-                    same = hashlib.md5(text).hexdigest()
+                    same = hashlib.md5(text).digest()
                     if same in seen:
                         continue
                     seen.add(same)
@@ -169,7 +169,7 @@ def occurrences(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> Da
                         cx = at.setdefault((key, lead, around), p)
                         out.append((key, same, p, cx, around if cx == p else None, lead))
                 if out:
-                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [c.split()[0] for c in OCCURRENCES.split(", ")])
 
     # four parts a task on average, however many partitions the session has by default
@@ -228,13 +228,13 @@ class Shared:
         quiet, loud = rows.where(F.col("k") <= crowd).drop("k"), rows.where(F.col("k") > crowd).drop("k")
         side = lambda t: quiet.select("h", F.col("same").alias(f"s{t}"), F.col("cx").alias(f"c{t}"), F.col("around").alias(f"x{t}"), F.col("lead").alias(f"l{t}"))
         both = side("a").join(side("b"), "h").where("sa < sb").select("sa", "sb", "h", "ca", "cb", "xa", "xb", "la", "lb")
-        self.pairs = both.mapInPandas(lambda b: _reach(b, length, width), "sa string, sb string, h long, ca int, cb int, left int, right int")
+        self.pairs = both.mapInPandas(lambda b: _reach(b, length, width), "sa binary, sb binary, h long, ca int, cb int, left int, right int")
         self.spans = None
         if not loud.isEmpty():
             first = F.greatest(F.lit(0), F.col("lead") - (length - width))
             starts = F.sequence(first, F.least(F.col("lead"), F.length("around") - length))
             spans = loud.where((F.length("around") >= length) & (first <= F.length("around") - length)).withColumn("at", F.explode(starts))
-            spans = spans.select("h", "same", "cx", "lead", "at", F.md5(F.substring("around", F.col("at") + 1, F.lit(length))).alias("span"))
+            spans = spans.select("h", "same", "cx", "lead", "at", F.unhex(F.md5(F.substring("around", F.col("at") + 1, F.lit(length)))).alias("span"))
             many = spans.groupBy("h", "span").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("h", "span")
             self.spans = materialize(spans.join(many, ["h", "span"]))
 
@@ -273,7 +273,7 @@ def _paired(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def _copies(docs: DataFrame, length: int) -> DataFrame:
     """(same, doc_id) of all documents long enough to share a span."""
-    return docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select(F.md5("text").alias("same"), "doc_id").distinct()
+    return docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= length)).select(F.unhex(F.md5("text")).alias("same"), "doc_id").distinct()
 
 
 def members_to_pair(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
@@ -323,7 +323,7 @@ def shared_share(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     before = F.max("e").over(W.partitionBy("same").orderBy("p").rowsBetween(W.unboundedPreceding, -1))
     cover = ends.withColumn("b", before).withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("p", F.coalesce("b", F.lit(0)))))
     cover = cover.groupBy("same").agg(F.sum("new").alias("c"))
-    per_doc = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.md5("text").alias("same"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).dropDuplicates(["doc_id"])
+    per_doc = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("same"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).dropDuplicates(["doc_id"])
     copies = per_doc.where(F.col("n_chars") >= length).groupBy("same").agg(F.count(F.lit(1)).alias("k"))
     got = per_doc.join(copies, "same", "left").join(cover, "same", "left")
     shared = F.when(F.col("k") > 1, F.col("n_chars")).otherwise(F.coalesce("c", F.lit(0))).cast("long")
@@ -338,4 +338,4 @@ def members(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows = _copies(docs, length)
     groups = rows.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return rows.join(groups, "same").select("doc_id", F.col("same").alias("text_key"), "first_id", "copies")
+    return rows.join(groups, "same").select("doc_id", F.lower(F.hex("same")).alias("text_key"), "first_id", "copies")
